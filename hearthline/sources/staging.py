@@ -1,0 +1,25 @@
+"""Small results that several branches of one pipeline read."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Compute once and keep in the shared checkpoint folder.
+
+    For reduced tables only (a row per month, or per region and month): the facts behind them are
+    then scanned once, however many branches follow, and the result outlives lost executors.
+    The folder is the one the session names; only a local session without one gets its own.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            shared = tempfile.mkdtemp(prefix="hearthline-checkpoint-")
+        context.setCheckpointDir(shared)
+    return df.checkpoint()

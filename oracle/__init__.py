@@ -1,0 +1 @@
+"""The SQL each query must equal."""
