@@ -16,23 +16,26 @@ def half_even(c: Column) -> Column:
     return F.bround(c, 0)
 
 
-def hundredths(c: Column) -> Column:
+def hundredths_sql(column: str) -> str:
+    return f"cast(rint({column} * 100) AS bigint)"
+
+
+def hundredths(column: str) -> Column:
     """A two-decimal amount as a whole number of hundredths.
 
     Whole-number sums are exact, so results do not depend on the order in which
     tasks finish.
     """
-    return F.round(c * 100).cast("bigint")
+    return F.expr(hundredths_sql(column))
 
 
-def fixed(c: Column, digits: int) -> Column:
-    """Report rounding to ``digits`` decimals.
+def fixed(column: str, digits: int) -> Column:
+    """Report rounding to ``digits`` decimals, under the same name.
 
     The offset sits just above one half: averages of few two-decimal amounts often end
     on an exact half, and the last bit of a sum must not decide its direction.
     """
-    scale = F.lit(float(10**digits))
-    return F.floor(c * scale + F.lit(0.5001)) / scale
+    return F.expr(f"floor(`{column}` * 1e{digits} + 0.5001D) / 1e{digits} AS `{column}`")
 
 
 def number_array(values) -> Column:

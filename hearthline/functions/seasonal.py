@@ -24,14 +24,12 @@ def harmonic_names(harmonics: int) -> list[str]:
     ]
 
 
-def harmonic(name: str, month: Column) -> Column:
-    """The seasonal column called ``name`` for a calendar month 1..12."""
+def harmonic(name: str, date: str) -> Column:
+    """The seasonal column called ``name`` at the calendar month of ``date``."""
     wave, h = name[:3], int(name[3 : name.index("_")])
-    angle = month * F.lit(h * 2 * math.pi / 12)
-    return F.sin(angle) if wave == "sin" else F.cos(angle)
+    return F.expr(f"{wave}(month({date}) * {h * 2 * math.pi / 12!r}D)")
 
 
 def with_harmonics(df: DataFrame, harmonics: int, *, date: str = "month_end") -> DataFrame:
     """Add ``sin{h}_month`` and ``cos{h}_month`` for h = 1..``harmonics``."""
-    month = F.month(date)
-    return df.withColumns({name: harmonic(name, month) for name in harmonic_names(harmonics)})
+    return df.withColumns({name: harmonic(name, date) for name in harmonic_names(harmonics)})

@@ -75,6 +75,7 @@ def market(urban_code: int, rooms: int) -> Column:
 
 def every_market(df: DataFrame) -> DataFrame:
     """Repeat each row for each of the twelve markets (three densities, four room counts)."""
-    return df.withColumn(
-        "urban_code", F.explode(F.array(*[F.lit(code) for code in DENSITIES]))
-    ).withColumn("rooms", F.explode(F.array(*[F.lit(r) for r in ROOMS])))
+    codes, rooms = (", ".join(str(v) for v in values) for values in (DENSITIES, ROOMS))
+    return df.selectExpr("*", f"explode(array({codes})) AS urban_code").selectExpr(
+        "*", f"explode(array({rooms})) AS rooms"
+    )

@@ -12,7 +12,7 @@ from .relational import ROOMS
 
 def unpivot_rooms(df: DataFrame, ids: Sequence[str], template: str, value: str) -> DataFrame:
     """One row per bedroom count from columns named by ``template`` (``'fmr_{}'``)."""
-    named = df.select(*ids, *[F.col(template.format(r)).alias(str(r)) for r in ROOMS])
+    named = df.selectExpr(*ids, *[f"{template.format(r)} AS `{r}`" for r in ROOMS])
     return named.unpivot(list(ids), [str(r) for r in ROOMS], "rooms", value).withColumn(
         "rooms", F.col("rooms").cast("int")
     )

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +14,7 @@ from .relational import every_market, with_density
 
 def linear_value(features: Sequence[str]) -> Column:
     """Intercept plus the weighted features, as one column expression."""
-    return reduce(add, [F.col(coef_name(f)) * F.col(f) for f in features], F.col("intercept"))
+    return F.expr(" + ".join(["intercept", *[f"{coef_name(f)} * {f}" for f in features]]))
 
 
 def score_markets(features: DataFrame, models: DataFrame, columns: Sequence[str]) -> DataFrame:

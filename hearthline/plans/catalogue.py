@@ -66,14 +66,9 @@ class Inputs:
     def cells(self) -> DataFrame:
         return staged(tpch.order_cells(self.spark, self.sf_dir))
 
-    @cached_property
-    def rate_once(self) -> DataFrame:
-        """Monthly rate for queries that read it in one place."""
-        return panels.monthly_rate(tpch.rate_weekly(self.spark, self.sf_dir))
-
     @cached_property
     def rate(self) -> DataFrame:
-        return staged(self.rate_once)
+        return panels.monthly_rate(tpch.rate_weekly(self.spark, self.sf_dir))
 
     # Panel, dimension, targets.
 
@@ -135,25 +130,27 @@ class Inputs:
 
     @cached_property
     def fmr_before(self) -> DataFrame:
-        """Fair-rent index of the years the combined features cover, read by several branches."""
-        return staged(self.fmr.filter(cal.before_year("month_end", FEATURES_BEFORE)))
-
-    def features_from(self, rate: DataFrame) -> DataFrame:
-        return panels.join_macro(rate, self.hpi, self.fmr.filter(cal.before_year("month_end", FEATURES_BEFORE)))
+        """Fair-rent index of the years the combined features cover."""
+        return self.fmr.filter(cal.before_year("month_end", FEATURES_BEFORE))
 
     @cached_property
     def features(self) -> DataFrame:
-        return staged(panels.join_macro(self.rate, self.hpi, self.fmr_before))
+        return panels.join_macro(self.rate, self.hpi, self.fmr_before)
+
+    @cached_property
+    def macro(self) -> DataFrame:
+        """The three macro series as rows, for trends and history alike."""
+        return staged(sc.macro_rows(self.rate, self.hpi, self.fmr_before))
 
     # Models.
 
     @cached_property
     def price_model(self) -> models.MarketModel:
-        return models.MarketModel(PRICE, panels.join_macro(self.rate_once, self.hpi), self.price_targets)
+        return models.MarketModel(PRICE, panels.join_macro(self.rate, self.hpi), self.price_targets)
 
     @cached_property
     def rent_model(self) -> models.MarketModel:
-        return models.MarketModel(RENT, panels.join_macro(self.fmr, self.rate_once), self.rent_targets)
+        return models.MarketModel(RENT, panels.join_macro(self.fmr, self.rate), self.rent_targets)
 
     @cached_property
     def fixed_price_models(self) -> DataFrame:
@@ -167,12 +164,12 @@ class Inputs:
 
     @cached_property
     def trends(self) -> DataFrame:
-        return sc.macro_trends(self.hpi, self.fmr_before, self.rate, SCENARIO)
+        return sc.macro_trends(self.macro, SCENARIO)
 
     def continued(self, dips) -> DataFrame:
         """Observed and projected macro series, one frame per dip."""
         future = sc.future_macro(self.trends, SCENARIO, dips)
-        return staged(sc.history_plus_future(self.features, future, dips))
+        return staged(sc.history_plus_future(sc.shared_months(self.macro), future, dips))
 
     def price_scores(self, frame: DataFrame) -> DataFrame:
         model = models.MarketModel(PRICE, frame, None)
@@ -202,7 +199,7 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     df = f(Inputs(spark, sf_dir))
     return df.select(
         *[
-            fixed(F.col(c.name), digits).alias(c.name) if isinstance(c.dataType, T.DoubleType) else F.col(c.name)
+            fixed(c.name, digits) if isinstance(c.dataType, T.DoubleType) else F.col(c.name)
             for c in df.schema.fields
         ]
     )
@@ -226,7 +223,7 @@ def density_lookup(i: Inputs) -> DataFrame:
 
 @query(8)
 def select_features(i: Inputs) -> DataFrame:
-    return relational.select_features(i.features_from(i.rate_once), ["month_end", "apr", "hpi_sa"])
+    return relational.select_features(i.features, ["month_end", "apr", "hpi_sa"])
 
 
 @query(4)
@@ -251,7 +248,7 @@ def market_slice(i: Inputs) -> DataFrame:
 
 @query()
 def head_5(i: Inputs) -> DataFrame:
-    return i.features_from(i.rate_once).orderBy("month_end").limit(5)
+    return i.features.orderBy("month_end").limit(5)
 
 
 @query()
@@ -305,7 +302,7 @@ def fmr_index(i: Inputs) -> DataFrame:
 
 @query(8)
 def monthly_rate(i: Inputs) -> DataFrame:
-    return i.rate_once
+    return i.rate
 
 
 @query()
@@ -345,7 +342,7 @@ def savgol_smooth(i: Inputs) -> DataFrame:
 @query(8)
 def savgol_sweep(i: Inputs) -> DataFrame:
     """The rate smoothed with several windows and orders, each a series of its own."""
-    rate = i.rate
+    rate = staged(i.rate)
     sweeps = [
         smoothing.savgol(rate, ["apr"], w, p).select(
             F.lit(w).alias("window_length"), F.lit(p).alias("poly_order"), "month_end", "apr_savgol"
@@ -367,7 +364,7 @@ def gradient_2(i: Inputs) -> DataFrame:
 
 @query(8)
 def harmonics(i: Inputs) -> DataFrame:
-    return with_harmonics(i.rate_once, MAX_HARMONICS)
+    return with_harmonics(i.rate, MAX_HARMONICS)
 
 
 # Joins and features.
@@ -375,17 +372,17 @@ def harmonics(i: Inputs) -> DataFrame:
 
 @query(8)
 def features_join(i: Inputs) -> DataFrame:
-    return i.features_from(i.rate_once)
+    return i.features
 
 
 @query(8)
 def price_features(i: Inputs) -> DataFrame:
-    return PRICE.preprocess(panels.join_macro(i.rate_once, i.hpi_from(i.price_cells)))
+    return PRICE.preprocess(panels.join_macro(i.rate, i.hpi_from(i.price_cells)))
 
 
 @query(8)
 def rent_features(i: Inputs) -> DataFrame:
-    return RENT.preprocess(panels.join_macro(i.fmr, i.rate_once))
+    return RENT.preprocess(panels.join_macro(i.fmr, i.rate))
 
 
 @query(8)
@@ -401,7 +398,7 @@ def rent_training_set(i: Inputs) -> DataFrame:
 @query()
 def fitted_vs_actual(i: Inputs) -> DataFrame:
     """Price predictions on the combined features beside the actual prices."""
-    scores = i.price_model.predict(i.features_from(i.rate_once), i.fixed_price_models)
+    scores = i.price_model.predict(i.features, i.fixed_price_models)
     actual = relational.with_density(i.price_targets)
     return scores.join(actual, ["month_end", "rooms", "urban_code", "density"])
 
@@ -466,7 +463,7 @@ def score_table(i: Inputs) -> DataFrame:
 
 @query()
 def score_markets(i: Inputs) -> DataFrame:
-    return i.price_model.predict(i.features_from(i.rate_once), i.fixed_price_models)
+    return i.price_model.predict(i.features, i.fixed_price_models)
 
 
 # Scenario.

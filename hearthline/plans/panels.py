@@ -73,9 +73,12 @@ def region_counts(panel: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def eligible_regions(panel: DataFrame, dim: DataFrame) -> DataFrame:
-    """Counties of the dimension with at least one value of every required measure."""
-    enough = region_counts(panel, dim).filter(all_nonzero(REQUIRED_MEASURES))
-    return dim.join(enough, "RegionName", "left_semi")
+    """Counties of the dimension with at least one value of every required measure.
+
+    Counting per county row keeps its attributes, so the counts need not be joined back.
+    """
+    counts = non_null_counts(panel.join(dim, "RegionName"), dim.columns, REQUIRED_MEASURES)
+    return counts.filter(all_nonzero(REQUIRED_MEASURES)).select(*dim.columns)
 
 
 def region_panel(panel: DataFrame, regions: DataFrame) -> DataFrame:

@@ -38,19 +38,38 @@ class Scenario:
         return month_end(day(self.start))
 
 
-def macro_trends(hpi: DataFrame, fmr: DataFrame, apr: DataFrame, scenario: Scenario) -> DataFrame:
-    """Line of each macro series after its own cut-off, one row per series."""
-    parts = [(hpi, "hpi_sa", scenario.hpi_after), (fmr, "fmr", scenario.fmr_after), (apr, "apr", scenario.apr_after)]
-    long = reduce(
-        DataFrame.unionByName,
-        [
-            df.filter(F.col("month_end") > day(after)).select(
-                F.lit(name).alias("series"), "month_end", F.col(name).alias("value")
-            )
-            for df, name, after in parts
-        ],
+# The macro series, and the name of each one's line without a dip.
+MACRO = ("apr", "hpi_sa", "fmr")
+LINES = {"hpi_sa": "hpi_linear", "fmr": "fmr_linear"}
+
+
+def macro_rows(*series: DataFrame) -> DataFrame:
+    """Long table of the macro series: ``series, month_end, value``; one value column each."""
+    parts = []
+    for df in series:
+        (name,) = [c for c in df.columns if c != "month_end"]
+        parts.append(df.selectExpr(f"'{name}' AS series", "month_end", f"{name} AS value"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _wide(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.groupBy("month_end").agg(
+        F.count(F.lit(1)).alias("present"),
+        *[F.expr(f"any_value(value) FILTER (WHERE series = '{s}') AS {c}") for s, c in names.items()],
     )
-    return fit_trends(long, "value", keys=["series"])
+
+
+def shared_months(rows: DataFrame) -> DataFrame:
+    """Months every macro series has a row for, one column per series."""
+    wide = _wide(rows, {s: s for s in MACRO})
+    return wide.filter(F.col("present") == len(MACRO)).drop("present")
+
+
+def macro_trends(rows: DataFrame, scenario: Scenario) -> DataFrame:
+    """Line of each macro series after its own cut-off, one row per series."""
+    after = {"hpi_sa": scenario.hpi_after, "fmr": scenario.fmr_after, "apr": scenario.apr_after}
+    recent = " OR ".join(f"(series = '{s}' AND month_end > DATE'{d}')" for s, d in after.items())
+    return fit_trends(rows.filter(recent), "value", keys=["series"])
 
 
 def project(trends: DataFrame, scenario: Scenario) -> DataFrame:
@@ -67,12 +86,7 @@ def dip_column(scenario: Scenario, height):
 
 def future_macro(trends: DataFrame, scenario: Scenario, dips: Sequence[float]) -> DataFrame:
     """Projected series with each dip, and the lines without it alongside."""
-    lines = project(trends, scenario).groupBy("month_end").agg(
-        *[
-            F.max(F.when(F.col("series") == s, F.col("value"))).alias(c)
-            for s, c in (("apr", "apr"), ("hpi_sa", "hpi_linear"), ("fmr", "fmr_linear"))
-        ]
-    )
+    lines = _wide(project(trends, scenario), {"apr": "apr", **LINES}).drop("present")
     drop = dip_column(scenario, -F.col("dip"))
     return with_dips(lines, dips).withColumns(
         {

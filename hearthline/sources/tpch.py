@@ -4,19 +4,19 @@ Orders stand in for listings: nations are counties, the order priority's first d
 bedroom count (5 is left out of every measure), order totals are prices and the price per
 unit of an order's lines is its rent. Discounts are the weekly mortgage rate.
 
-The facts are reduced to *cells* (nation, month, priority) in one pass, with whole-number sums,
-and every order-based source is read off the cells.
+The facts are reduced to *cells* (nation and month) in one pass, with whole-number sums, and
+every order-based source is read off the cells.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_end
-from ..functions.numbers import hundredths
+from ..functions.numbers import hundredths, hundredths_sql
 from ..operators.relational import ROOMS
 
 # Nations without rents, so that the eligibility test has something to drop.
@@ -31,60 +31,67 @@ UNUSED_CODE_COLUMNS = (
 )
 
 
+# Columns the sources use, so that opening a table needs no look at its files.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz, "
+        "o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_quantity double, l_extendedprice double, l_discount double, "
+        "l_shipdate timestamp_ntz"
+    ),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def unit_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price per unit of each order, from its lines."""
+    cents = F.sum(hundredths("l_extendedprice"))
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey")
-        .agg(
-            F.try_divide(
-                F.sum(hundredths(F.col("l_extendedprice"))).cast("double") / 100,
-                F.sum("l_quantity"),
-            ).alias("unit_price")
-        )
+        .agg(F.try_divide(cents / 100, F.sum("l_quantity")).alias("unit_price"))
     )
 
 
 def order_cells(
     spark: SparkSession, sf_dir: str, *, rents: bool = True, since: dt.date | None = None
 ) -> DataFrame:
-    """Counts and sums per nation, month and priority.
+    """Counts and sums per nation and month: over all orders, and for each room count.
 
-    Orders are combined per customer and month before they meet the customer table, so a
-    customer with a large share of all orders is a few rows by then. Lines are combined per
+    Orders are combined per customer, month and priority before they meet the customer table, so
+    a customer with a large share of all orders is a few rows by then. Lines are combined per
     order. ``since`` is a filter the order scan can use to skip data.
     """
     orders = table(spark, sf_dir, "orders")
     if since is not None:
         orders = orders.filter(F.col("o_orderdate") >= F.lit(since).cast("timestamp_ntz"))
-    sums = [F.count(F.lit(1)).alias("orders"), F.sum("cents").alias("cents")]
-    totals = [F.sum("orders").alias("orders"), F.sum("cents").alias("cents")]
+    sums = {"orders": "count(1)", "cents": f"sum({hundredths_sql('o_totalprice')})"}
     if rents:
         orders = orders.join(
             unit_prices(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left"
         )
-        sums += [F.count("unit_price").alias("rents"), F.sum("unit_price").alias("rent_total")]
-        totals += [F.sum("rents").alias("rents"), F.sum("rent_total").alias("rent_total")]
-    by_customer = (
-        orders.withColumns(
-            {
-                "month_end": month_end("o_orderdate"),
-                "priority": F.substring("o_orderpriority", 1, 1).cast("int"),
-                "cents": hundredths(F.col("o_totalprice")),
-            }
-        )
-        .groupBy("o_custkey", "month_end", "priority")
-        .agg(*sums)
-    )
+        sums |= {"rents": "count(unit_price)", "rent_total": "sum(unit_price)"}
+    by_customer = orders.groupBy(
+        "o_custkey",
+        month_end("o_orderdate").alias("month_end"),
+        F.expr("cast(substring(o_orderpriority, 1, 1) AS int)").alias("rooms"),
+    ).agg(*[F.expr(f"{total} AS {name}") for name, total in sums.items()])
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    per_room = [
+        F.expr(f"sum({c}) FILTER (WHERE rooms = {r}) AS {c}_{r}") for c in sums for r in ROOMS
+    ]
     return (
         by_customer.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy(F.col("c_nationkey").alias("nation"), "month_end", "priority")
-        .agg(*totals)
+        .groupBy(F.col("c_nationkey").alias("nation"), "month_end")
+        .agg(F.sum("orders").alias("orders"), F.sum("cents").alias("cents"), *per_room)
     )
 
 
@@ -93,43 +100,33 @@ def rate_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.date_trunc("week", "l_shipdate").cast("date").alias("DATE"))
-        .agg((F.sum(hundredths(F.col("l_discount"))) / F.count("l_discount")).alias("MORTGAGE30US"))
+        .agg((F.sum(hundredths("l_discount")) / F.count("l_discount")).alias("MORTGAGE30US"))
     )
 
 
 def county_panel(cells: DataFrame) -> DataFrame:
     """Wide panel: one row per month-end and region, eight measures; empty cells are NULL."""
-
-    def where(r: int, c: str) -> Column:
-        return F.sum(F.when(F.col("priority") == r, F.col(c)))
-
-    has_rent = ~F.col("RegionName").isin(*NATIONS_WITHOUT_RENT)
-    wide = cells.groupBy(F.col("month_end").alias("Date"), F.col("nation").alias("RegionName")).agg(
+    unrented = ", ".join(str(n) for n in NATIONS_WITHOUT_RENT)
+    return cells.selectExpr(
+        "month_end AS Date",
+        "nation AS RegionName",
+        *[f"try_divide(cents_{r} / 100, orders_{r}) AS MedianListingPrice_{r}Bedroom" for r in ROOMS],
         *[
-            F.try_divide(where(r, "cents").cast("double") / 100, where(r, "orders")).alias(
-                f"MedianListingPrice_{r}Bedroom"
-            )
+            f"CASE WHEN nation NOT IN ({unrented}) THEN try_divide(rent_total_{r}, rents_{r}) END "
+            f"AS MedianRentalPrice_{r}Bedroom"
             for r in ROOMS
         ],
-        *[
-            F.try_divide(where(r, "rent_total"), where(r, "rents")).alias(f"MedianRentalPrice_{r}Bedroom")
-            for r in ROOMS
-        ],
-    )
-    return wide.withColumns(
-        {c: F.when(has_rent, F.col(c)) for c in wide.columns if c.startswith("MedianRental")}
     )
 
 
 def county_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code table under its original column names, with the columns nobody uses."""
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.col("n_nationkey").alias("FIPS code"),
-        (F.col("n_nationkey") % 4 + 1).alias("2013 code"),
-        F.when(F.col("n_regionkey") < 3, "AA").otherwise("BB").alias("State Abr."),
-        F.col("n_name").alias("County name"),
-        *[F.col("r_name").alias(c) for c in UNUSED_CODE_COLUMNS],
+    return table(spark, sf_dir, "nation").selectExpr(
+        "n_nationkey AS `FIPS code`",
+        "n_nationkey % 4 + 1 AS `2013 code`",
+        "CASE WHEN n_regionkey < 3 THEN 'AA' ELSE 'BB' END AS `State Abr.`",
+        "n_name AS `County name`",
+        *[f"n_name AS `{c}`" for c in UNUSED_CODE_COLUMNS],
     )
 
 
@@ -139,49 +136,28 @@ def price_index(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame
     places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         "n_nationkey", F.col("r_name").alias("place_name")
     )
-    month, quarter = F.month("month_end"), F.quarter("month_end")
-    kinds = [
-        ("monthly", "purchase-only", month),
-        ("quarterly", "purchase-only", quarter),
-        ("monthly", "all-transactions", month),
-    ]
-    rows = F.inline(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(frequency).alias("frequency"),
-                    F.lit("traditional").alias("hpi_type"),
-                    F.lit(flavor).alias("hpi_flavor"),
-                    period.alias("period"),
-                )
-                for frequency, flavor, period in kinds
-            ]
-        )
-    )
-    cents = F.sum("cents").cast("double") / 100
+    kinds = """inline(array(
+        struct('monthly' AS frequency, 'purchase-only' AS hpi_flavor, month(month_end) AS period),
+        struct('quarterly' AS frequency, 'purchase-only' AS hpi_flavor, quarter(month_end) AS period),
+        struct('monthly' AS frequency, 'all-transactions' AS hpi_flavor, month(month_end) AS period)))"""
     return (
         cells.join(places, F.col("nation") == F.col("n_nationkey"))
-        .select("place_name", F.year("month_end").alias("yr"), "orders", "cents", rows)
+        .selectExpr(
+            "place_name", "'traditional' AS hpi_type", "year(month_end) AS yr", "orders", "cents", kinds
+        )
         .groupBy("hpi_type", "hpi_flavor", "frequency", "place_name", "yr", "period")
         .agg(
-            (cents / F.sum("orders") / 1000).alias("index_sa"),
-            (cents / 1_000_000).alias("index_nsa"),
+            F.expr("sum(cents) / 100 / sum(orders) / 1000 AS index_sa"),
+            F.expr("sum(cents) / 100 / 1000000 AS index_nsa"),
         )
     )
 
 
 def fair_rent(cells: DataFrame) -> DataFrame:
     """Fair rent per year, dated 1 October, and county."""
-
-    def where(r: int, c: str) -> Column:
-        return F.sum(F.when(F.col("priority") == r, F.col(c)))
-
-    date = F.make_date(F.year("month_end"), F.lit(10), F.lit(1))
-    return cells.groupBy(date.alias("Date"), F.col("nation").alias("fips_simple")).agg(
-        *[
-            F.try_divide(where(r, "cents").cast("double") / 10_000, where(r, "orders")).alias(f"fmr_{r}")
-            for r in ROOMS
-        ]
+    date = F.expr("make_date(year(month_end), 10, 1) AS Date")
+    return cells.groupBy(date, F.col("nation").alias("fips_simple")).agg(
+        *[F.expr(f"try_divide(sum(cents_{r}) / 100, sum(orders_{r})) / 100 AS fmr_{r}") for r in ROOMS]
     )
 
 
@@ -210,10 +186,9 @@ RENT_COEFFICIENTS = {
 def fixed_models(spark: SparkSession, coefficients: dict[str, str], terms: list[str]) -> DataFrame:
     """Twelve models with known coefficients, in the shape of fitted ones."""
     markets = spark.range(12).selectExpr("cast(id % 3 + 1 AS int) u", "cast(id div 3 + 1 AS int) r")
-    values = [F.expr(coefficients.get(t, "0.0")).cast("double").alias(f"coef_{t}") for t in terms]
-    return markets.select(
-        F.col("u").alias("urban_code"),
-        F.col("r").alias("rooms"),
-        F.expr(coefficients["intercept"]).cast("double").alias("intercept"),
-        *values,
+    return markets.selectExpr(
+        "u AS urban_code",
+        "r AS rooms",
+        f"cast({coefficients['intercept']} AS double) AS intercept",
+        *[f"cast({coefficients.get(t, '0.0')} AS double) AS coef_{t}" for t in terms],
     )
