@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ONE = "one"
@@ -27,8 +27,8 @@ def feature_stats(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) ->
     """Mean and population standard deviation of each column per market."""
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("points"),
-        *[F.avg(c).alias(f"{c}_mean") for c in columns],
-        *[F.stddev_pop(c).alias(f"{c}_std") for c in columns],
+        *[F.expr(f"avg({c}) AS {c}_mean") for c in columns],
+        *[F.expr(f"stddev_pop({c}) AS {c}_std") for c in columns],
     )
 
 
@@ -38,24 +38,23 @@ def standardise(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> D
     Sums of products of standardised values lose nothing to cancellation when one fold's
     sums are later taken from the total. A constant column becomes zero.
     """
-    group = Window.partitionBy(*keys)
-    means = {c: F.avg(c).over(group) for c in columns}
-    scales = {c: F.stddev_pop(c).over(group) for c in columns}
-    df = df.withColumns({f"__mean_{c}": m for c, m in means.items()}).withColumns(
-        {f"__scale_{c}": s for c, s in scales.items()}
+    market = f"OVER (PARTITION BY {', '.join(keys)})"
+    kept = [c for c in df.columns if c not in columns]
+    measured = df.selectExpr(
+        *kept,
+        *columns,
+        *[f"avg({c}) {market} AS {c}__mean" for c in columns],
+        *[f"stddev_pop({c}) {market} AS {c}__scale" for c in columns],
     )
-
-    def z(c: str) -> Column:
-        mean, scale = F.col(f"__mean_{c}"), F.col(f"__scale_{c}")
-        constant = scale <= 1e-12 * (F.abs(mean) + 1)
-        return F.when(constant, F.lit(0.0)).otherwise((F.col(c) - mean) / scale)
-
-    kept = [c for c in df.columns if c not in columns and not c.startswith("__")]
-    return df.select(
+    return measured.selectExpr(
         *kept,
-        *[z(c).alias(c) for c in columns],
-        F.array(*[f"__mean_{c}" for c in columns]).alias("means"),
-        F.array(*[f"__scale_{c}" for c in columns]).alias("scales"),
+        *[
+            f"CASE WHEN {c}__scale <= 1e-12 * (abs({c}__mean) + 1) THEN 0D "
+            f"ELSE ({c} - {c}__mean) / {c}__scale END AS {c}"
+            for c in columns
+        ],
+        f"array({', '.join(f'{c}__mean' for c in columns)}) AS means",
+        f"array({', '.join(f'{c}__scale' for c in columns)}) AS scales",
     )
 
 
@@ -66,17 +65,15 @@ def cross_products(df: DataFrame, terms: Sequence[str], keys: Sequence[str]) ->
     term ``one`` holds plain sums. Each training row opens into its terms inside the scan
     stage and is summed there before anything is shuffled.
     """
-    df = df.withColumn(ONE, F.lit(1.0))
     names = [ONE, *terms]
-    rows = F.inline(
-        F.array(*[F.struct(F.lit(t).alias("term"), F.col(t).alias("__left")) for t in names])
-    )
+    rows = ", ".join(f"struct('{t}' AS term, {t} AS left_value)" for t in names)
     scales = [c for c in ("means", "scales") if c in df.columns]
     return (
-        df.select(*keys, "fold", *scales, *names, rows)
+        df.withColumn(ONE, F.lit(1.0))
+        .selectExpr(*keys, "fold", *scales, *names, f"inline(array({rows}))")
         .groupBy(*keys, "fold", "term")
         .agg(
-            *[F.sum(F.col("__left") * F.col(t)).alias(t) for t in names],
+            *[F.expr(f"sum(left_value * {t}) AS {t}") for t in names],
             *[F.any_value(c).alias(c) for c in scales],
         )
     )
