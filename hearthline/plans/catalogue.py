@@ -1,7 +1,7 @@
 """Every query over the TPC-H stand-in tables, by name.
 
-A query is a function of ``Inputs``. Facts are scanned once per query: where several branches
-need the order cells or the monthly rate, those reduced tables are staged first.
+A query is a function of ``Inputs``. Facts are scanned once per query: the order cells are staged
+where several branches read them.
 """
 
 from __future__ import annotations
@@ -17,25 +17,30 @@ from pyspark.sql import types as T
 from ..functions import calendar as cal
 from ..functions.numbers import fixed
 from ..functions.seasonal import MAX_HARMONICS, with_harmonics
-from ..operators import cost, gram, relational, series, smoothing, trend
+from ..operators import gram, relational, series, smoothing, trend
 from ..sources import tpch
 from ..sources.staging import staged
-from . import models, panels, scenario as sc
+from . import panels
+from . import scenario as sc
+from .market import MarketData, Outlook, Parameters
 from .models import MARKET, PRICE, RENT
 
 # Parameters of the queries on the stand-in tables.
-MIN_YEAR = 1996
-FEATURES_BEFORE = 2001
-PLACE = "EUROPE"
-STATE = "AA"
-EXCLUDED_CELL = {"last_year": 1996, "rooms": 1, "urban_code": 2}
-SCENARIO = sc.Scenario(
-    hpi_after="1999-01-01",
-    fmr_after="1996-01-01",
-    apr_after="1997-01-01",
-    start="2001-01-01",
-    lease_start="2001-01-31",
+PARAMETERS = Parameters(
+    state="AA",
+    place="EUROPE",
+    min_year=1996,
+    features_before=2001,
+    excluded_cell={"last_year": 1996, "rooms": 1, "urban_code": 2},
+    scenario=sc.Scenario(
+        hpi_after="1999-01-01",
+        fmr_after="1996-01-01",
+        apr_after="1997-01-01",
+        start="2001-01-01",
+        lease_start="2001-01-31",
+    ),
 )
+SCENARIO = PARAMETERS.scenario
 DIP = 85
 DIP_GRID = (0, 65, 130)
 AS_OF = "2001-08-31"
@@ -45,112 +50,40 @@ SWEEP = ((11, 1), (21, 1), (11, 3))
 
 
 class Inputs:
-    """Source tables and shared intermediate results of one query."""
+    """Source tables of one query, and the market data built on them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    # Facts, reduced.
+    def table(self, name: str) -> DataFrame:
+        return tpch.table(self.spark, self.sf_dir, name)
 
-    @cached_property
-    def price_cells(self) -> DataFrame:
-        """Order cells without rents, for queries that read them in one place."""
-        return tpch.order_cells(self.spark, self.sf_dir, rents=False)
-
-    @cached_property
-    def recent_cells(self) -> DataFrame:
-        """Order cells from the first panel year on, skipping older data in the scan."""
-        return tpch.order_cells(self.spark, self.sf_dir, since=dt.date(MIN_YEAR, 1, 1))
-
-    @cached_property
-    def cells(self) -> DataFrame:
-        return staged(tpch.order_cells(self.spark, self.sf_dir))
-
-    @cached_property
-    def rate(self) -> DataFrame:
-        return panels.monthly_rate(tpch.rate_weekly(self.spark, self.sf_dir))
-
-    # Panel, dimension, targets.
-
-    @cached_property
-    def codes(self) -> DataFrame:
-        return tpch.county_codes(self.spark, self.sf_dir)
-
-    @cached_property
-    def dim(self) -> DataFrame:
-        return panels.county_dim(self.codes, STATE)
-
-    @cached_property
-    def panel(self) -> DataFrame:
-        return panels.recent_panel(tpch.county_panel(self.cells), MIN_YEAR)
-
-    @cached_property
-    def panel_once(self) -> DataFrame:
-        return panels.recent_panel(tpch.county_panel(self.recent_cells), MIN_YEAR)
+    def on(self, cells: DataFrame) -> MarketData:
+        """Market data read off these cells, which are small: nothing more needs to be kept."""
+        sources = tpch.TpchSources(self.spark, self.sf_dir, cells)
+        return MarketData(sources, PARAMETERS, keep=lambda df: df)
 
     @cached_property
-    def regions(self) -> DataFrame:
-        return panels.eligible_regions(self.panel, self.dim)
+    def market(self) -> MarketData:
+        """For queries that read the cells in several places."""
+        return self.on(staged(tpch.order_cells(self.spark, self.sf_dir)))
 
     @cached_property
-    def means(self) -> DataFrame:
-        return panels.region_panel(self.panel, self.regions)
+    def prices_only(self) -> MarketData:
+        """For queries that read order totals in one place; lines are not looked at."""
+        return self.on(tpch.order_cells(self.spark, self.sf_dir, rents=False))
 
     @cached_property
-    def price_targets(self) -> DataFrame:
-        return panels.price_targets(self.means)
-
-    @cached_property
-    def rent_targets(self) -> DataFrame:
-        return panels.rent_targets(self.means, excluded=EXCLUDED_CELL)
-
-    # Macro series.
-
-    def hpi_from(self, cells: DataFrame) -> DataFrame:
-        index = tpch.price_index(self.spark, self.sf_dir, cells)
-        return panels.index_series(index, PLACE).select("month_end", "hpi_sa")
+    def recent(self) -> MarketData:
+        """For queries that read the panel in one place; older orders are skipped in the scan."""
+        since = dt.date(PARAMETERS.min_year, 1, 1)
+        return self.on(tpch.order_cells(self.spark, self.sf_dir, since=since))
 
     @cached_property
     def places(self) -> DataFrame:
         """Index series of every place."""
-        index = tpch.price_index(self.spark, self.sf_dir, self.price_cells)
-        return panels.index_series(index).select("place_name", "month_end", "hpi_sa")
-
-    @cached_property
-    def hpi(self) -> DataFrame:
-        return self.hpi_from(self.cells)
-
-    @cached_property
-    def fmr_monthly(self) -> DataFrame:
-        return panels.fair_rent_monthly(tpch.fair_rent(self.cells), self.regions)
-
-    @cached_property
-    def fmr(self) -> DataFrame:
-        return panels.fair_rent_index(self.fmr_monthly)
-
-    @cached_property
-    def fmr_before(self) -> DataFrame:
-        """Fair-rent index of the years the combined features cover."""
-        return self.fmr.filter(cal.before_year("month_end", FEATURES_BEFORE))
-
-    @cached_property
-    def features(self) -> DataFrame:
-        return panels.join_macro(self.rate, self.hpi, self.fmr_before)
-
-    @cached_property
-    def macro(self) -> DataFrame:
-        """The three macro series as rows, for trends and history alike."""
-        return staged(sc.macro_rows(self.rate, self.hpi, self.fmr_before))
-
-    # Models.
-
-    @cached_property
-    def price_model(self) -> models.MarketModel:
-        return models.MarketModel(PRICE, panels.join_macro(self.rate, self.hpi), self.price_targets)
-
-    @cached_property
-    def rent_model(self) -> models.MarketModel:
-        return models.MarketModel(RENT, panels.join_macro(self.fmr, self.rate), self.rent_targets)
+        index = panels.index_series(self.prices_only.sources.index)
+        return index.select("place_name", "month_end", "hpi_sa")
 
     @cached_property
     def fixed_price_models(self) -> DataFrame:
@@ -160,24 +93,8 @@ class Inputs:
     def fixed_rent_models(self) -> DataFrame:
         return tpch.fixed_models(self.spark, tpch.RENT_COEFFICIENTS, RENT.terms)
 
-    # Scenario.
-
-    @cached_property
-    def trends(self) -> DataFrame:
-        return sc.macro_trends(self.macro, SCENARIO)
-
-    def continued(self, dips) -> DataFrame:
-        """Observed and projected macro series, one frame per dip."""
-        future = sc.future_macro(self.trends, SCENARIO, dips)
-        return staged(sc.history_plus_future(sc.shared_months(self.macro), future, dips))
-
-    def price_scores(self, frame: DataFrame) -> DataFrame:
-        model = models.MarketModel(PRICE, frame, None)
-        return model.predict(frame, self.fixed_price_models, keys=["dip"])
-
-    def rent_scores(self, frame: DataFrame) -> DataFrame:
-        model = models.MarketModel(RENT, frame, None)
-        return model.predict(frame, self.fixed_rent_models, keys=["dip"])
+    def outlook(self, *dips: float) -> Outlook:
+        return self.market.outlook(self.fixed_price_models, self.fixed_rent_models, dips)
 
 
 Query = Callable[[Inputs], DataFrame]
@@ -210,60 +127,63 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def county_dim(i: Inputs) -> DataFrame:
-    return i.dim
+    return i.prices_only.dim
 
 
 @query()
 def density_lookup(i: Inputs) -> DataFrame:
-    customers = tpch.table(i.spark, i.sf_dir, "customer").select("c_custkey", "c_nationkey")
-    codes = i.codes.select(F.col("FIPS code").alias("c_nationkey"), F.col("2013 code").alias("urban_code"))
-    located = customers.join(codes, "c_nationkey").drop("c_nationkey")
-    return relational.with_density(located)
+    """Urban code and density of every customer; codes without a density stay."""
+    codes = tpch.county_codes(i.spark, i.sf_dir).select(
+        F.col("FIPS code").alias("c_nationkey"), F.col("2013 code").alias("urban_code")
+    )
+    located = i.table("customer").select("c_custkey", "c_nationkey").join(codes, "c_nationkey")
+    return relational.with_density(located.drop("c_nationkey"))
 
 
 @query(8)
 def select_features(i: Inputs) -> DataFrame:
-    return relational.select_features(i.features, ["month_end", "apr", "hpi_sa"])
+    return relational.select_features(i.market.features, ["month_end", "apr", "hpi_sa"])
 
 
 @query(4)
 def filter_year(i: Inputs) -> DataFrame:
-    return i.panel_once
+    return i.recent.panel
 
 
 @query()
 def index_series(i: Inputs) -> DataFrame:
-    return panels.index_series(tpch.price_index(i.spark, i.sf_dir, i.price_cells), PLACE)
+    return panels.index_series(i.prices_only.sources.index, PARAMETERS.place)
 
 
 @query(4)
 def exclude_cell(i: Inputs) -> DataFrame:
-    return i.rent_targets
+    return i.market.rent_targets
 
 
 @query()
 def market_slice(i: Inputs) -> DataFrame:
-    return i.price_model.market_rows(*SLICE).select("month_end", "urban_code", "rooms", "density", "target")
+    rows = i.market.price_model.market_rows(*SLICE)
+    return rows.select("month_end", "urban_code", "rooms", "density", "target")
 
 
 @query()
 def head_5(i: Inputs) -> DataFrame:
-    return i.features.orderBy("month_end").limit(5)
+    return i.market.features.orderBy("month_end").limit(5)
 
 
 @query()
 def date_fns(i: Inputs) -> DataFrame:
-    placed = F.to_date(F.col("o_orderdate").cast("string").substr(1, 10), "yyyy-MM-dd")
-    return tpch.table(i.spark, i.sf_dir, "orders").select(
+    parsed = F.to_date(F.col("o_orderdate").cast("string").substr(1, 10), "yyyy-MM-dd")
+    return i.table("orders").select(
         "o_orderkey",
-        placed.alias("parsed"),
+        parsed.alias("parsed"),
         F.make_date(F.year("o_orderdate"), F.month("o_orderdate"), F.lit(1)).alias("first_day"),
         cal.month_end("o_orderdate").alias("month_end"),
-        cal.previous_month_end(placed).alias("previous_month_end"),
-        cal.shift_month_ends(placed, 12).alias("a_year_on"),
+        cal.previous_month_end(parsed).alias("previous_month_end"),
+        cal.shift_month_ends(parsed, 12).alias("a_year_on"),
         F.year("o_orderdate").cast("bigint").alias("year"),
         F.month("o_orderdate").cast("bigint").alias("month"),
-        cal.epoch_days(placed).cast("bigint").alias("epoch_day"),
+        cal.epoch_days(parsed).cast("bigint").alias("epoch_day"),
     )
 
 
@@ -272,45 +192,44 @@ def date_fns(i: Inputs) -> DataFrame:
 
 @query()
 def region_counts(i: Inputs) -> DataFrame:
-    return panels.region_counts(i.panel_once, i.dim)
+    return panels.region_counts(i.recent.panel, i.recent.dim)
 
 
 @query()
 def eligible_regions(i: Inputs) -> DataFrame:
-    return panels.eligible_regions(i.panel_once, i.dim)
+    return i.recent.regions
 
 
 @query(4)
 def region_panel(i: Inputs) -> DataFrame:
-    return i.means
+    return i.market.means
 
 
 @query()
 def targets_long(i: Inputs) -> DataFrame:
-    return i.price_targets
+    return i.market.price_targets
 
 
 @query(4)
 def rent_targets_long(i: Inputs) -> DataFrame:
-    return panels.rent_targets(i.means)
+    return panels.rent_targets(i.market.means)
 
 
 @query(4)
 def fmr_index(i: Inputs) -> DataFrame:
-    return i.fmr
+    return i.market.fmr
 
 
 @query(8)
 def monthly_rate(i: Inputs) -> DataFrame:
-    return i.rate
+    return i.prices_only.rate
 
 
 @query()
 def chart_feed(i: Inputs) -> DataFrame:
     """Mean price per month and density over the bedroom counts of a chart."""
-    return relational.with_density(i.price_targets).groupBy("month_end", "density").agg(
-        F.avg("target").alias("mean_target")
-    )
+    targets = relational.with_density(i.market.price_targets)
+    return targets.groupBy("month_end", "density").agg(F.avg("target").alias("mean_target"))
 
 
 # Time series.
@@ -318,15 +237,19 @@ def chart_feed(i: Inputs) -> DataFrame:
 
 @query(4)
 def monthly_interp(i: Inputs) -> DataFrame:
-    return i.fmr_monthly
+    return i.market.fmr_monthly
+
+
+def _months_ahead(i: Inputs) -> DataFrame:
+    """Month-ends that follow the last observed month of each place, and the first of them."""
+    last = i.places.groupBy("place_name").agg(F.max("month_end").alias("last"))
+    first = last.withColumn("first", cal.shift_month_ends("last", 1))
+    return series.month_ends_after(first, "first", SCENARIO.periods)
 
 
 @query()
 def future_spine(i: Inputs) -> DataFrame:
-    """Month-ends that follow the last observed month of each place."""
-    last = i.places.groupBy("place_name").agg(F.max("month_end").alias("last"))
-    start = last.withColumn("start", cal.shift_month_ends("last", 1))
-    return series.month_ends_after(start, "start", SCENARIO.periods).select("place_name", "month_end")
+    return _months_ahead(i).select("place_name", "month_end")
 
 
 @query()
@@ -341,8 +264,8 @@ def savgol_smooth(i: Inputs) -> DataFrame:
 
 @query(8)
 def savgol_sweep(i: Inputs) -> DataFrame:
-    """The rate smoothed with several windows and orders, each a series of its own."""
-    rate = staged(i.rate)
+    """The rate smoothed with several windows and orders."""
+    rate = staged(i.prices_only.rate)
     sweeps = [
         smoothing.savgol(rate, ["apr"], w, p).select(
             F.lit(w).alias("window_length"), F.lit(p).alias("poly_order"), "month_end", "apr_savgol"
@@ -364,7 +287,7 @@ def gradient_2(i: Inputs) -> DataFrame:
 
 @query(8)
 def harmonics(i: Inputs) -> DataFrame:
-    return with_harmonics(i.rate, MAX_HARMONICS)
+    return with_harmonics(i.prices_only.rate, MAX_HARMONICS)
 
 
 # Joins and features.
@@ -372,52 +295,50 @@ def harmonics(i: Inputs) -> DataFrame:
 
 @query(8)
 def features_join(i: Inputs) -> DataFrame:
-    return i.features
+    return i.market.features
 
 
 @query(8)
 def price_features(i: Inputs) -> DataFrame:
-    return PRICE.preprocess(panels.join_macro(i.rate, i.hpi_from(i.price_cells)))
+    return PRICE.preprocess(panels.join_macro(i.prices_only.rate, i.prices_only.hpi))
 
 
 @query(8)
 def rent_features(i: Inputs) -> DataFrame:
-    return RENT.preprocess(panels.join_macro(i.fmr, i.rate))
+    return RENT.preprocess(i.market.rent_model.features)
 
 
 @query(8)
 def training_set(i: Inputs) -> DataFrame:
-    return i.price_model.training_set
+    return i.market.price_model.training_set
 
 
 @query(8)
 def rent_training_set(i: Inputs) -> DataFrame:
-    return i.rent_model.training_set
+    return i.market.rent_model.training_set
 
 
 @query()
 def fitted_vs_actual(i: Inputs) -> DataFrame:
     """Price predictions on the combined features beside the actual prices."""
-    scores = i.price_model.predict(i.features, i.fixed_price_models)
-    actual = relational.with_density(i.price_targets)
+    scores = i.market.price_model.predict(i.market.features, i.fixed_price_models)
+    actual = relational.with_density(i.market.price_targets)
     return scores.join(actual, ["month_end", "rooms", "urban_code", "density"])
 
 
 @query()
 def history_plus_future(i: Inputs) -> DataFrame:
-    return i.continued([DIP])
+    return i.market.continued([DIP])
 
 
 @query()
 def future_vs_actual(i: Inputs) -> DataFrame:
-    scores = i.price_scores(i.continued([DIP]))
-    return models.with_actuals(scores, i.price_targets, how="left")
+    return i.market.prices_with_actuals(i.outlook(DIP))
 
 
 @query()
 def future_rent_vs_actual(i: Inputs) -> DataFrame:
-    scores = i.rent_scores(i.continued([DIP]))
-    return models.with_actuals(scores, i.rent_targets, how="left")
+    return i.market.rents_with_actuals(i.outlook(DIP))
 
 
 # Fit.
@@ -425,45 +346,45 @@ def future_rent_vs_actual(i: Inputs) -> DataFrame:
 
 @query()
 def fold_assign(i: Inputs) -> DataFrame:
-    return i.price_model.folds.select(*MARKET, "month_end", "fold")
+    return i.market.price_model.folds.select(*MARKET, "month_end", "fold")
 
 
 @query(8)
 def feature_stats(i: Inputs) -> DataFrame:
-    return gram.feature_stats(i.price_model.folds, ["target", *PRICE.terms], MARKET)
+    return gram.feature_stats(i.market.price_model.folds, ["target", *PRICE.terms], MARKET)
 
 
 @query()
 def gram_stats(i: Inputs) -> DataFrame:
     """Sums of products of the standardised terms, one row per pair."""
     terms = [gram.ONE, "target", *PRICE.terms]
-    products = i.price_model.products.select(*MARKET, "fold", "term", *terms)
+    products = i.market.price_model.products.select(*MARKET, "fold", "term", *terms)
     return products.unpivot([*MARKET, "fold", "term"], terms, "other_term", "total")
 
 
 @query()
 def cv_scores(i: Inputs) -> DataFrame:
-    return i.price_model.candidates().select(*MARKET, "alpha", "harmonics", "r2")
+    return i.market.price_model.candidates().select(*MARKET, "alpha", "harmonics", "r2")
 
 
 @query()
 def best_candidate(i: Inputs) -> DataFrame:
-    return i.price_model.fit_all().select(*MARKET, "density", "alpha", "harmonics", "r2")
+    return i.market.price_model.fit_all().select(*MARKET, "density", "alpha", "harmonics", "r2")
 
 
 @query()
 def lasso_models(i: Inputs) -> DataFrame:
-    return i.price_model.fit_all().drop("fold_r2")
+    return i.market.price_model.fit_all().drop("fold_r2")
 
 
 @query()
 def score_table(i: Inputs) -> DataFrame:
-    return models.score_table(i.price_model.fit_all(), i.rent_model.fit_all())
+    return i.market.scores()
 
 
 @query()
 def score_markets(i: Inputs) -> DataFrame:
-    return i.price_model.predict(i.features, i.fixed_price_models)
+    return i.market.price_model.predict(i.market.features, i.fixed_price_models)
 
 
 # Scenario.
@@ -471,12 +392,12 @@ def score_markets(i: Inputs) -> DataFrame:
 
 @query(8)
 def trend_fit(i: Inputs) -> DataFrame:
-    return i.trends
+    return i.market.trends
 
 
 @query()
 def trend_project(i: Inputs) -> DataFrame:
-    return sc.project(i.trends, SCENARIO)
+    return sc.project(i.market.trends, SCENARIO)
 
 
 @query()
@@ -484,42 +405,31 @@ def correction_curve(i: Inputs) -> DataFrame:
     """The dip over the months that follow the last observed month of each place."""
     x = trend.months_since(F.col("month_end"), F.col("first"))
     curve = trend.dip(x, start=0, end=SCENARIO.periods, centre=SCENARIO.centre, height=-DIP)
-    last = i.places.groupBy("place_name").agg(F.max("month_end").alias("last"))
-    months = series.month_ends_after(
-        last.withColumn("first", cal.shift_month_ends("last", 1)), "first", SCENARIO.periods
-    )
-    return months.select("place_name", "month_end", x.alias("x"), curve.alias("correction"))
+    return _months_ahead(i).select("place_name", "month_end", x.alias("x"), curve.alias("correction"))
 
 
 @query()
 def scenario_macro(i: Inputs) -> DataFrame:
-    return sc.future_macro(i.trends, SCENARIO, [DIP])
+    return sc.future_macro(i.market.trends, SCENARIO, [DIP])
 
 
 @query(4)
 def rent_paid(i: Inputs) -> DataFrame:
-    scores = i.rent_scores(i.continued([DIP]))
-    return sc.rents_until(scores, SCENARIO).select("dip", *MARKET, "month_end", "rent_paid")
-
-
-def _choice(i: Inputs) -> DataFrame:
-    frame = i.continued([DIP])
-    rents = sc.rents_until(i.rent_scores(frame), SCENARIO)
-    return sc.choice_costs(i.price_scores(frame), rents, buy=BUY, rent=RENT_IN)
+    paid = i.market.rents_until(i.outlook(DIP))
+    return paid.select("dip", *MARKET, "month_end", "rent_paid")
 
 
 @query()
 def total_cost(i: Inputs) -> DataFrame:
-    return _choice(i)
+    return i.market.costs(i.outlook(DIP), buy=BUY, rent=RENT_IN)
 
 
 @query()
 def best_date(i: Inputs) -> DataFrame:
-    return cost.best_date(_choice(i), AS_OF)
+    best = i.market.best_date(i.outlook(DIP), AS_OF, buy=BUY, rent=RENT_IN)
+    return best.drop("dip")
 
 
 @query()
 def scenario_grid(i: Inputs) -> DataFrame:
-    frame = i.continued(DIP_GRID)
-    rents = sc.rents_until(i.rent_scores(frame), SCENARIO)
-    return sc.scenario_grid(i.price_scores(frame), rents, AS_OF)
+    return i.market.scenario_grid(i.outlook(*DIP_GRID), AS_OF)

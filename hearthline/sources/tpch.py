@@ -11,6 +11,7 @@ every order-based source is read off the cells.
 from __future__ import annotations
 
 import datetime as dt
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,6 +162,33 @@ def fair_rent(cells: DataFrame) -> DataFrame:
     )
 
 
+class TpchSources:
+    """The five source tables, each built when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, cells: DataFrame):
+        self.spark, self.sf_dir, self.cells = spark, sf_dir, cells
+
+    @cached_property
+    def weekly_rate(self) -> DataFrame:
+        return rate_weekly(self.spark, self.sf_dir)
+
+    @cached_property
+    def index(self) -> DataFrame:
+        return price_index(self.spark, self.sf_dir, self.cells)
+
+    @cached_property
+    def panel(self) -> DataFrame:
+        return county_panel(self.cells)
+
+    @cached_property
+    def codes(self) -> DataFrame:
+        return county_codes(self.spark, self.sf_dir)
+
+    @cached_property
+    def fair_rent(self) -> DataFrame:
+        return fair_rent(self.cells)
+
+
 # Fixed rules: coefficients of the stand-in models by density code u and bedroom count r;
 # coefficients not named are zero.
 PRICE_COEFFICIENTS = {
