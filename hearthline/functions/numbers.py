@@ -11,11 +11,6 @@ def missing_as_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def half_even(c: Column) -> Column:
-    """Round to a whole number, halves to the even neighbour."""
-    return F.bround(c, 0)
-
-
 def hundredths_sql(column: str) -> str:
     return f"cast(rint({column} * 100) AS bigint)"
 

@@ -6,10 +6,10 @@ import calendar
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import day, month_index
+from ..functions.calendar import day
 
 
 def rent_paid(
@@ -25,29 +25,31 @@ def rent_paid(
     start = dt.date.fromisoformat(start) if isinstance(start, str) else start
     if start.day != calendar.monthrange(start.year, start.month)[1]:
         raise ValueError(f"the lease must start on a month-end, not {start}")
-    first, today = day(start), F.col("month_end")
-    renewal = (today >= first) & (F.month(today) == start.month)
+    first = f"DATE'{start}'"
+    renewal = f"month_end >= {first} AND month(month_end) = {start.month}"
     earlier = (
-        Window.partitionBy(*keys)
-        .orderBy("month_end")
-        .rowsBetween(Window.unboundedPreceding, -1)
+        f"OVER (PARTITION BY {', '.join(keys)} ORDER BY month_end "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     )
-    on_renewal = F.struct(F.col("month_end").alias("since"), F.col(rate).alias("rate"))
-    with_totals = rates.withColumns(
-        {
-            "__total": F.sum(F.when(renewal, F.col(rate))).over(earlier),
-            "__known": F.count(F.when(renewal, F.col(rate))).over(earlier),
-            "__last": F.last(F.when(renewal, on_renewal), ignorenulls=True).over(earlier),
-        }
+    months_in = f"(year(month_end) - {start.year}) * 12 + month(month_end) - {start.month}"
+    return (
+        rates.selectExpr(
+            "*",
+            f"sum(CASE WHEN {renewal} THEN {rate} END) {earlier} AS __total",
+            f"count(CASE WHEN {renewal} THEN {rate} END) {earlier} AS __known",
+            f"last(CASE WHEN {renewal} THEN struct(month_end AS since, {rate} AS rate) END, true) "
+            f"{earlier} AS __last",
+        )
+        .selectExpr("*", "datediff(month_end, __last.since) AS __days")
+        .selectExpr(
+            *rates.columns,
+            f"""CASE WHEN month_end <= {first} THEN 0D
+                     WHEN __known = ceil(({months_in}) / 12) THEN
+                       (__total - __last.rate) * 12
+                       + __last.rate * CASE WHEN __days > 365 THEN 12D ELSE __days / 30 END
+                END AS rent_paid""",
+        )
     )
-    due = F.ceil((month_index(today) - month_index(first)) / 12)
-    current = F.col("__last")
-    days = F.datediff(today, current["since"])
-    months = F.when(days > 365, F.lit(12.0)).otherwise(days / 30)
-    paid = (F.col("__total") - current["rate"]) * 12 + current["rate"] * months
-    return with_totals.withColumn(
-        "rent_paid", F.when(today <= first, F.lit(0.0)).when(F.col("__known") == due, paid)
-    ).drop("__total", "__known", "__last")
 
 
 def total_cost(prices: DataFrame, rents: DataFrame, *, on: Sequence[str] = ("month_end",)) -> DataFrame:

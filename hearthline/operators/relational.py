@@ -75,7 +75,7 @@ def market(urban_code: int, rooms: int) -> Column:
 
 def every_market(df: DataFrame) -> DataFrame:
     """Repeat each row for each of the twelve markets (three densities, four room counts)."""
-    codes, rooms = (", ".join(str(v) for v in values) for values in (DENSITIES, ROOMS))
-    return df.selectExpr("*", f"explode(array({codes})) AS urban_code").selectExpr(
-        "*", f"explode(array({rooms})) AS rooms"
+    pairs = ", ".join(
+        f"struct({code} AS urban_code, {r} AS rooms)" for code in DENSITIES for r in ROOMS
     )
+    return df.selectExpr("*", f"inline(array({pairs}))")

@@ -11,17 +11,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import month_end, month_end_at, month_index, shift_month_ends
+from ..functions.calendar import month_end, shift_month_ends
 
-_MONTH, _NEXT, _AT = "__month", "__next", "__at"
+# A month as a whole number, and the month-end of such a number in column ``__at``.
+_MONTH = "year(month_end) * 12 + month(month_end) - 1"
+_MONTH_END = "last_day(make_date(__at div 12, cast(__at % 12 AS int) + 1, 1)) AS month_end"
+# Every month from a row's own up to the one before the next row's.
+_OPEN = "explode(sequence(__own, coalesce(__next - 1, __own))) AS __at"
 
 
-def in_order(keys: Sequence[str], order_by: str = "month_end") -> WindowSpec:
-    """Window over one series in time order."""
-    return Window.partitionBy(*keys).orderBy(order_by)
+def series_order(keys: Sequence[str], order_by: str = "month_end") -> str:
+    """Window specification of one series in time order, without its frame."""
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    return f"{part}ORDER BY {order_by}"
 
 
 def fill_month_gaps(df: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
@@ -31,16 +36,11 @@ def fill_month_gaps(df: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
     built and joined and the input is read once.
     """
     measures = [c for c in df.columns if c not in {*keys, "month_end"}]
-    opened = (
-        df.withColumn(_MONTH, month_index("month_end"))
-        .withColumn(_NEXT, F.lead(_MONTH).over(in_order(keys, _MONTH)))
-        .withColumn(_AT, F.explode(F.sequence(_MONTH, F.coalesce(F.col(_NEXT) - 1, F.col(_MONTH)))))
-    )
-    present = F.col(_AT) == F.col(_MONTH)
-    return opened.select(
-        *keys,
-        month_end_at(_AT).alias("month_end"),
-        *[F.when(present, F.col(c)).alias(c) for c in measures],
+    order = series_order(keys)
+    return (
+        df.selectExpr(*keys, *measures, f"{_MONTH} AS __own", f"lead({_MONTH}) OVER ({order}) AS __next")
+        .selectExpr(*keys, *measures, "__own", _OPEN)
+        .selectExpr(*keys, _MONTH_END, *[f"CASE WHEN __at = __own THEN {c} END AS {c}" for c in measures])
     )
 
 
@@ -62,37 +62,32 @@ def interpolate_monthly(
     Months between two known values are linear in their position. Months before the
     first known value stay NULL; months after the last repeat it.
     """
-    ordered = in_order(keys, _MONTH)
-    point = F.when(F.col(value).isNotNull(), F.struct(F.col(_MONTH).alias("m"), F.col(value).alias("v")))
-    opened = (
-        df.select(*keys, month_index("month_end").alias(_MONTH), value)
-        .select(
+    order = series_order(keys)
+    point = f"CASE WHEN {value} IS NOT NULL THEN struct({_MONTH} AS m, {value} AS v) END"
+    return (
+        df.selectExpr(
             *keys,
-            _MONTH,
-            F.last(point, ignorenulls=True)
-            .over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-            .alias("__before"),
-            F.first(point, ignorenulls=True)
-            .over(ordered.rowsBetween(1, Window.unboundedFollowing))
-            .alias("__after"),
-            F.lead(_MONTH).over(ordered).alias(_NEXT),
+            f"{_MONTH} AS __own",
+            f"lead({_MONTH}) OVER ({order}) AS __next",
+            f"last({point}, true) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS __a",
+            f"first({point}, true) OVER ({order} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS __b",
+        )
+        .selectExpr(*keys, "__a", "__b", _OPEN)
+        .selectExpr(
+            *keys,
+            _MONTH_END,
+            f"CASE WHEN __b IS NULL THEN __a.v "
+            f"ELSE __a.v + (__b.v - __a.v) / (__b.m - __a.m) * (__at - __a.m) END AS {value}",
         )
-        .withColumn(_AT, F.explode(F.sequence(_MONTH, F.coalesce(F.col(_NEXT) - 1, F.col(_MONTH)))))
-    )
-    before, after = F.col("__before"), F.col("__after")
-    slope = (after["v"] - before["v"]) / (after["m"] - before["m"])
-    filled = F.when(after.isNull(), before["v"]).otherwise(
-        before["v"] + slope * (F.col(_AT) - before["m"])
     )
-    return opened.select(*keys, month_end_at(_AT).alias("month_end"), filled.alias(value))
 
 
 def every_nth(df: DataFrame, n: int, *, keys: Sequence[str] = ()) -> DataFrame:
     """Every ``n``-th row of each series, starting with its first."""
     return (
-        df.withColumn(_AT, F.row_number().over(in_order(keys)))
-        .filter((F.col(_AT) - 1) % n == 0)
-        .drop(_AT)
+        df.selectExpr("*", f"row_number() OVER ({series_order(keys)}) AS __row")
+        .filter((F.col("__row") - 1) % n == 0)
+        .drop("__row")
     )
 
 

@@ -5,13 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import number_array
-from .series import in_order
-
-_POS, _LEN, _OUT, _ROW = "__pos", "__len", "__out", "__row"
+from .series import series_order
 
 
 def savgol_weights(window_length: int, poly_order: int) -> np.ndarray:
@@ -50,33 +48,32 @@ def savgol(
     w, half = window_length, window_length // 2
     weights = number_array(savgol_weights(w, poly_order).ravel())
     carried = [c for c in df.columns if c not in {*keys, *columns}]
-
-    numbered = df.withColumns(
-        {
-            _POS: F.row_number().over(in_order(keys, order_by)) - 1,
-            _LEN: F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("int"),
-        }
+    part = f"PARTITION BY {', '.join(keys)}" if keys else ""
+
+    # Outputs a row takes part in: those whose window holds it; short series only themselves.
+    first = f"CASE WHEN __n < {w} THEN __pos WHEN __pos < {w} THEN 0 ELSE __pos - {half} END"
+    last = f"CASE WHEN __n < {w} THEN __pos WHEN __pos >= __n - {w} THEN __n - 1 ELSE __pos + {half} END"
+    start = f"greatest(0, least(__out - {half}, __n - {w}))"
+    scattered = (
+        df.selectExpr(
+            "*",
+            f"row_number() OVER ({series_order(keys, order_by)}) - 1 AS __pos",
+            f"cast(count(1) OVER ({part}) AS int) AS __n",
+        )
+        .selectExpr("*", f"explode(sequence({first}, {last})) AS __out")
+        .withColumn("__weight", F.get(weights, F.expr(f"(__out - {start}) * {w} + __pos - {start}")))
     )
-    pos, n, out = F.col(_POS), F.col(_LEN), F.col(_OUT)
-    first = F.when(n < w, pos).when(pos < w, F.lit(0)).otherwise(pos - half)
-    last = F.when(n < w, pos).when(pos >= n - w, n - 1).otherwise(pos + half)
-    start = F.greatest(F.lit(0), F.least(out - half, n - w))
-    weight = F.get(weights, (out - start) * w + (pos - start))
-
-    scattered = numbered.withColumn(_OUT, F.explode(F.sequence(first, last)))
-    smoothed = scattered.groupBy(*keys, _OUT).agg(
-        F.first(F.when(out == pos, F.struct(_LEN, *carried)), ignorenulls=True).alias(_ROW),
+    own = f"CASE WHEN __out = __pos THEN struct({', '.join(['__n', *carried])}) END"
+    smoothed = scattered.groupBy(*keys, "__out").agg(
+        F.expr(f"first({own}, true) AS __own"),
         *[
-            F.when(F.count(c) == w, F.sum(weight * F.col(c))).alias(f"{c}_savgol")
+            F.expr(f"CASE WHEN count({c}) = {w} THEN sum(__weight * {c}) END AS {c}_savgol")
             for c in columns
         ],
     )
-    flag = [(F.col(_ROW)[_LEN] < w).alias(short_flag)] if short_flag else []
-    return smoothed.select(
-        *keys,
-        *[F.col(_ROW)[c].alias(c) for c in carried],
-        *[f"{c}_savgol" for c in columns],
-        *flag,
+    flag = [f"__own.__n < {w} AS {short_flag}"] if short_flag else []
+    return smoothed.selectExpr(
+        *keys, *[f"__own.{c} AS {c}" for c in carried], *[f"{c}_savgol" for c in columns], *flag
     )
 
 
@@ -93,15 +90,15 @@ def gradient(
     Central differences inside, one-sided at both ends. The end rows are found by their
     place in the series, not by a missing neighbour value.
     """
-    ordered = in_order(keys, order_by)
-    is_first = F.lag(F.lit(1)).over(ordered).isNull()
-    is_last = F.lead(F.lit(1)).over(ordered).isNull()
+    over = f"OVER ({series_order(keys, order_by)})"
     source = column
     for d in range(1, order + 1):
-        here, back, ahead = F.col(source), F.lag(source).over(ordered), F.lead(source).over(ordered)
-        source = f"{column}_div_{d}"
-        df = df.withColumn(
-            source,
-            F.when(is_first, ahead - here).when(is_last, here - back).otherwise((ahead - back) / 2),
+        name = f"{column}_div_{d}"
+        df = df.selectExpr(
+            "*",
+            f"CASE WHEN lag(1) {over} IS NULL THEN lead({source}) {over} - {source} "
+            f"WHEN lead(1) {over} IS NULL THEN {source} - lag({source}) {over} "
+            f"ELSE (lead({source}) {over} - lag({source}) {over}) / 2 END AS {name}",
         )
+        source = name
     return df

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import epoch_days
-from ..functions.numbers import half_even
 
 
 def fit_trends(df: DataFrame, value: str, *, keys: Sequence[str], date: str = "month_end") -> DataFrame:
@@ -55,29 +54,27 @@ def clamped_spline_pieces(x: Sequence[float], y: Sequence[float]) -> list[np.nda
     ]
 
 
-def dip(x: Column, *, start: float, end: float, centre: float, height: Column | float) -> Column:
+def dip(x: str, *, start: float, end: float, centre: float, height: str | float) -> Column:
     """Dip of ``height`` at ``centre`` that leaves zero at ``start`` and returns at ``end``.
 
-    The curve is flat within one step of either end. Beyond the last knot its last piece
-    goes on. It is linear in ``height``, so the pieces are solved once for height one.
+    ``x`` and ``height`` are SQL expressions. The curve is flat within one step of either end.
+    Beyond the last knot its last piece goes on. It is linear in ``height``, so the pieces are
+    solved once, for height one.
     """
-    knots = [start, start + 1, centre, end - 1, end]
-    pieces = clamped_spline_pieces(knots, [0, 0, 1, 0, 0])
-
-    def piece(i: int) -> Column:
-        u = x - F.lit(float(knots[i]))
-        value = F.lit(float(pieces[i][3]))
-        for c in pieces[i][2::-1]:
-            value = value * u + F.lit(float(c))
+    knots = [float(k) for k in (start, start + 1, centre, end - 1, end)]
+
+    def piece(knot: float, coefficients: np.ndarray) -> str:
+        u = f"({x} - {knot!r}D)"
+        value = f"{float(coefficients[3])!r}D"
+        for c in coefficients[2::-1]:
+            value = f"({value} * {u} + {float(c)!r}D)"
         return value
 
-    curve = F.when(x < knots[1], piece(0))
-    for i in range(1, len(pieces) - 1):
-        curve = curve.when(x < knots[i + 1], piece(i))
-    curve = curve.otherwise(piece(len(pieces) - 1))
-    return curve * (height if isinstance(height, Column) else F.lit(float(height)))
+    pieces = [piece(k, c) for k, c in zip(knots, clamped_spline_pieces(knots, [0, 0, 1, 0, 0]))]
+    branches = " ".join(f"WHEN {x} < {k!r}D THEN {p}" for k, p in zip(knots[1:], pieces[:-1]))
+    return F.expr(f"({height}) * CASE {branches} ELSE {pieces[-1]} END")
 
 
-def months_since(date: Column, first: Column) -> Column:
-    """Elapsed months as whole thirties of days, halves to even."""
-    return half_even(F.datediff(date, first) / 30)
+def months_since(date: str, first: str) -> str:
+    """Elapsed months as whole thirties of days, halves to even; SQL in and out."""
+    return f"bround(datediff({date}, {first}) / 30)"

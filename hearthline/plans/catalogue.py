@@ -403,9 +403,10 @@ def trend_project(i: Inputs) -> DataFrame:
 @query()
 def correction_curve(i: Inputs) -> DataFrame:
     """The dip over the months that follow the last observed month of each place."""
-    x = trend.months_since(F.col("month_end"), F.col("first"))
+    x = trend.months_since("month_end", "first")
     curve = trend.dip(x, start=0, end=SCENARIO.periods, centre=SCENARIO.centre, height=-DIP)
-    return _months_ahead(i).select("place_name", "month_end", x.alias("x"), curve.alias("correction"))
+    months = _months_ahead(i)
+    return months.select("place_name", "month_end", F.expr(x).alias("x"), curve.alias("correction"))
 
 
 @query()

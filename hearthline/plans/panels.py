@@ -68,17 +68,20 @@ def recent_panel(panel: DataFrame, min_year: int) -> DataFrame:
 
 
 def region_counts(panel: DataFrame, dim: DataFrame) -> DataFrame:
-    """Months with a value, per county of the dimension."""
-    return non_null_counts(panel.join(dim, "RegionName"), ["RegionName"], REQUIRED_MEASURES)
+    """Months with a value, per county of the dimension.
 
+    Rows are counted before they meet the dimension: a county with very many of them is one
+    row per task by then.
+    """
+    counts = non_null_counts(panel, ["RegionName"], REQUIRED_MEASURES)
+    return counts.join(dim.select("RegionName"), "RegionName")
 
-def eligible_regions(panel: DataFrame, dim: DataFrame) -> DataFrame:
-    """Counties of the dimension with at least one value of every required measure.
 
-    Counting per county row keeps its attributes, so the counts need not be joined back.
-    """
-    counts = non_null_counts(panel.join(dim, "RegionName"), dim.columns, REQUIRED_MEASURES)
-    return counts.filter(all_nonzero(REQUIRED_MEASURES)).select(*dim.columns)
+def eligible_regions(panel: DataFrame, dim: DataFrame) -> DataFrame:
+    """Counties of the dimension with at least one value of every required measure."""
+    counts = non_null_counts(panel, ["RegionName"], REQUIRED_MEASURES)
+    enough = counts.filter(all_nonzero(REQUIRED_MEASURES))
+    return dim.join(enough, "RegionName", "left_semi")
 
 
 def region_panel(panel: DataFrame, regions: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import day, month_end
+from ..functions.calendar import day
 from ..operators.cost import best_date, rent_paid, total_cost
 from ..operators.relational import market
 from ..operators.reshape import append_rows
@@ -32,11 +32,6 @@ class Scenario:
     fmr_factor: float = 8.0
     lease_start: str = "2018-01-31"
 
-    @property
-    def first(self):
-        """First projected month-end."""
-        return month_end(day(self.start))
-
 
 # The macro series, and the name of each one's line without a dip.
 MACRO = ("apr", "hpi_sa", "fmr")
@@ -78,16 +73,16 @@ def project(trends: DataFrame, scenario: Scenario) -> DataFrame:
     return spine.select("series", "month_end", trend_at().alias("value"))
 
 
-def dip_column(scenario: Scenario, height):
+def dip_column(scenario: Scenario, height: str | float):
     """Value of the dip at ``month_end``, in whole thirties of days from the first projected month."""
-    x = months_since(F.col("month_end"), scenario.first)
+    x = months_since("month_end", f"last_day(DATE'{scenario.start}')")
     return dip(x, start=0, end=scenario.periods, centre=scenario.centre, height=height)
 
 
 def future_macro(trends: DataFrame, scenario: Scenario, dips: Sequence[float]) -> DataFrame:
     """Projected series with each dip, and the lines without it alongside."""
     lines = _wide(project(trends, scenario), {"apr": "apr", **LINES}).drop("present")
-    drop = dip_column(scenario, -F.col("dip"))
+    drop = dip_column(scenario, "-dip")
     return with_dips(lines, dips).withColumns(
         {
             "hpi_sa": F.col("hpi_linear") + drop,

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthline.functions import calendar as cal
-from hearthline.functions.numbers import fixed, half_even
+from hearthline.functions.numbers import fixed
+from hearthline.operators.trend import months_since
 
 D = dt.date
 
@@ -47,8 +48,10 @@ def test_epoch_days(spark):
     assert one(spark, cal.epoch_days(F.lit(D(1970, 1, 11)))) == 10
 
 
-def test_halves_round_to_even(spark):
-    assert [one(spark, half_even(F.lit(x))) for x in (2.5, 3.5, -2.5, 2.4)] == [2.0, 4.0, -2.0, 2.0]
+@pytest.mark.parametrize("days, months", [(75, 2.0), (105, 4.0), (74, 2.0), (76, 3.0), (-75, -2.0)])
+def test_half_months_round_to_even(spark, days, months):
+    first = "DATE'2018-01-31'"
+    assert one(spark, F.expr(months_since(f"date_add({first}, {days})", first))) == months
 
 
 def test_report_rounding_has_no_negative_zero(spark):

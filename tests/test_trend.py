@@ -12,7 +12,7 @@ from helpers import column, month_ends, monthly
 
 def dip_at(spark, xs, height=-85.0):
     df = spark.createDataFrame([(float(x),) for x in xs], "x double")
-    curve = trend.dip(F.col("x"), start=0, end=120, centre=60, height=height)
+    curve = trend.dip("x", start=0, end=120, centre=60, height=height)
     return [r.y for r in df.select(curve.alias("y")).collect()]
 
 
@@ -65,7 +65,7 @@ def test_months_since_reach_121_and_repeat(spark):
     """Ten years of month-ends, rounded in thirties of days, skip some numbers and repeat others."""
     start = spark.createDataFrame([(dt.date(2018, 1, 1),)], "start date")
     months = month_ends_after(start, "start", 120)
-    x = column(months.withColumn("x", trend.months_since(F.col("month_end"), F.lit(dt.date(2018, 1, 31)))), "x")
+    x = column(months.withColumn("x", F.expr(trend.months_since("month_end", "DATE'2018-01-31'"))), "x")
     days = [(d - dt.date(2018, 1, 31)).days for d in month_ends("2018-01-31", 120)]
     assert x == [float(round(d / 30)) for d in days]
     assert max(x) == 121 and len(set(x)) < 120
