@@ -372,7 +372,7 @@ def best_candidate(i: Inputs) -> DataFrame:
     return i.market.price_model.fit_all().select(*MARKET, "density", "alpha", "harmonics", "r2")
 
 
-@query()
+@query(4)
 def lasso_models(i: Inputs) -> DataFrame:
     return i.market.price_model.fit_all().drop("fold_r2")
 

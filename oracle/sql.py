@@ -310,7 +310,7 @@ def statement(select: str, *more: dict[str, str]) -> str:
                 used.add(name)
                 frontier.append(steps[name])
     ctes = ",\n".join(f"{name} AS ({steps[name].strip()})" for name in steps if name in used)
-    return f"WITH {ctes}\n{select}" if ctes else select
+    return f"WITH RECURSIVE {ctes}\n{select}" if ctes else select
 
 
 def _mentions(text: str, name: str) -> bool:
@@ -351,6 +351,96 @@ GRAM = {
     "long_terms": f"UNPIVOT standard ON one, {', '.join(TERMS)} INTO NAME term VALUE v",
 }
 
+RENT_TRAINING = {
+    **RENT_FEATURES,
+    "rent_modelled": f"""
+        SELECT t.*, f.* EXCLUDE (month_end, series_key), density, {SEASONAL_SELECT}
+        FROM (SELECT * FROM rent_targets WHERE urban_code <= 3) t
+        JOIN rent_f_prepared f USING (month_end) LEFT JOIN v_density USING (urban_code)""",
+    "rent_folded": """
+        SELECT *, CAST((row_number() OVER (PARTITION BY urban_code, rooms
+                 ORDER BY md5(CAST(month_end AS VARCHAR) || '|20')) - 1) % 5 AS INTEGER) AS fold
+        FROM rent_modelled""",
+}
+
+
+def lasso_steps(p: str, folded: str, base: list[str], sweeps: int = 150) -> dict[str, str]:
+    """Cross-validated lasso of every market, straight from the training rows.
+
+    Problem ``k`` is trained on the rows of the other folds; -1 is the refit on all rows. Each
+    recursion is one sweep of coordinate descent over the weights of all problems.
+    """
+    terms = [*base, *SEASONAL]
+    n = len(terms)
+    order = ", ".join(f"({i}, '{t}')" for i, t in enumerate(terms, 1))
+    limits = ", ".join(
+        "alpha" if t in base else f"CASE WHEN h >= {t[3]} THEN alpha ELSE 1e300 END" for t in terms
+    )
+    values = ", ".join(terms)
+    problem = "urban_code, rooms, k"
+    coordinates = ", ".join(f"[{i}::DOUBLE]" for i in range(1, n + 1))
+    return {
+        f"{p}_order": f"SELECT * FROM (VALUES {order}) AS t(i, term)",
+        f"{p}_train": f"""
+            SELECT urban_code, rooms, CAST(k AS INTEGER) AS k, month_end, target, {values}
+            FROM {folded}, range(-1, 5) AS r(k) WHERE fold <> k""",
+        f"{p}_cells": f"UNPIVOT {p}_train ON {values} INTO NAME term VALUE v",
+        f"{p}_scaled": f"""
+            SELECT {problem}, month_end, i, avg(v) OVER w AS mean, stddev_pop(v) OVER w AS sd,
+                   (v - mean) / sd AS z, target - avg(target) OVER w AS y, avg(target) OVER w AS y_mean
+            FROM {p}_cells JOIN {p}_order USING (term) WINDOW w AS (PARTITION BY {problem}, term)""",
+        f"{p}_terms": f"""
+            SELECT {problem}, i, any_value(mean) AS mean, any_value(sd) AS sd, any_value(y_mean) AS y_mean,
+                   avg(z * y) AS xy FROM {p}_scaled GROUP BY ALL""",
+        f"{p}_pairs": f"""
+            SELECT a.urban_code, a.rooms, a.k, a.i, b.i AS j, avg(a.z * b.z) AS r
+            FROM {p}_scaled a JOIN {p}_scaled b ON a.urban_code = b.urban_code AND a.rooms = b.rooms
+             AND a.k = b.k AND a.month_end = b.month_end GROUP BY ALL""",
+        f"{p}_corr_rows": f"SELECT {problem}, i, list(r ORDER BY j) AS r FROM {p}_pairs GROUP BY {problem}, i",
+        f"{p}_corr": f"SELECT {problem}, list(r ORDER BY i) AS corr FROM {p}_corr_rows GROUP BY {problem}",
+        f"{p}_lists": f"""
+            SELECT {problem}, list(xy ORDER BY i) AS xy, list(mean ORDER BY i) AS mean, list(sd ORDER BY i) AS sd,
+                   any_value(y_mean) AS y_mean FROM {p}_terms GROUP BY {problem}""",
+        f"{p}_problems": f"""
+            SELECT {problem}, alpha, h, corr, xy, [{limits}] AS top, mean, sd, y_mean
+            FROM {p}_corr JOIN {p}_lists USING ({problem})
+            CROSS JOIN (VALUES (0.1::DOUBLE), (10), (1000)) AS a(alpha)
+            CROSS JOIN (SELECT CAST(range AS INTEGER) AS h FROM range(7))""",
+        f"{p}_descent": f"""
+            SELECT {problem}, alpha, h, 0 AS sweep, [{', '.join(['0.0::DOUBLE'] * n)}] AS w FROM {p}_problems
+            UNION ALL
+            SELECT d.urban_code, d.rooms, d.k, d.alpha, d.h, sweep + 1,
+                   list_reduce([{coordinates}], lambda acc, c: list_transform(acc, lambda v, i:
+                     CASE WHEN i <> c[1] THEN v
+                          ELSE sign(xy[i] - list_dot_product(corr[i], acc) + v)
+                               * greatest(abs(xy[i] - list_dot_product(corr[i], acc) + v) - top[i], 0) END), d.w)
+            FROM {p}_descent d JOIN {p}_problems q ON d.urban_code = q.urban_code AND d.rooms = q.rooms
+             AND d.k = q.k AND d.alpha = q.alpha AND d.h = q.h
+            WHERE sweep < {sweeps}""",
+        f"{p}_fits": f"""
+            SELECT {problem}, alpha, h, list_transform(w, lambda v, i: v / sd[i]) AS coef,
+                   y_mean - list_dot_product(coef, mean) AS intercept
+            FROM {p}_descent JOIN {p}_problems USING ({problem}, alpha, h) WHERE sweep = {sweeps}""",
+        f"{p}_held": f"""
+            SELECT f.urban_code, f.rooms, k, alpha, h, target,
+                   intercept + list_dot_product(coef, [{values}]) AS fitted
+            FROM {folded} t JOIN {p}_fits f ON t.urban_code = f.urban_code AND t.rooms = f.rooms AND t.fold = f.k""",
+        f"{p}_fold_scores": f"""
+            SELECT {problem}, alpha, h, 1 - sum(pow(target - fitted, 2)) / (var_pop(target) * count(*)) AS r2
+            FROM {p}_held GROUP BY ALL""",
+        f"{p}_scores_cv": f"SELECT urban_code, rooms, alpha, h, avg(r2) AS r2 FROM {p}_fold_scores GROUP BY ALL",
+        f"{p}_best": f"""
+            SELECT * FROM {p}_scores_cv QUALIFY row_number() OVER (
+              PARTITION BY urban_code, rooms ORDER BY round(r2, 12) DESC, alpha, h) = 1""",
+    }
+
+
+LASSO = {**TRAINING, **lasso_steps("lp", "folded", PRICE_COLUMNS)}
+BOTH_LASSOS = {**LASSO, **RENT_TRAINING, **lasso_steps("lr", "rent_folded", RENT_COLUMNS)}
+PRICE_COEFS = ", ".join(
+    f"{fixed(f'coef[{i}]', 4)} AS coef_{t}" for i, t in enumerate([*PRICE_COLUMNS, *SEASONAL], 1)
+)
+
 # Price predictions on the combined features, for all markets.
 FEATURE_SCORES = {
     **feature_steps("price", "features", "price"),
@@ -515,6 +605,29 @@ ORACLES: dict[str, str] = {
             GROUP BY ALL""",
         GRAM,
     ),
+    "cv_scores": statement(
+        f"SELECT urban_code, rooms, alpha, h AS harmonics, {columns(['r2'], 6)} FROM lp_scores_cv", LASSO
+    ),
+    "best_candidate": statement(
+        f"""SELECT urban_code, rooms, density, alpha, h AS harmonics, {columns(['r2'], 6)}
+            FROM lp_best LEFT JOIN v_density USING (urban_code)""",
+        LASSO,
+    ),
+    "lasso_models": statement(
+        f"""SELECT b.urban_code, b.rooms, density, b.alpha, b.h AS harmonics, {fixed('b.r2', 4)} AS r2,
+                   {columns(['intercept'], 4)}, {PRICE_COEFS}
+            FROM lp_best b JOIN lp_fits f ON f.k = -1 AND b.urban_code = f.urban_code AND b.rooms = f.rooms
+             AND b.alpha = f.alpha AND b.h = f.h
+            LEFT JOIN v_density d ON d.urban_code = b.urban_code""",
+        LASSO,
+    ),
+    "score_table": statement(
+        f"""SELECT p.rooms, p.urban_code, density, {fixed('p.r2', 6)} AS r2_price, {fixed('r.r2', 6)} AS r2_rent,
+                   printf('%.2f', p.r2) AS r2_price_label, p.r2 < 0.5 AS weak_price_fit
+            FROM lp_best p JOIN lr_best r ON p.urban_code = r.urban_code AND p.rooms = r.rooms
+            LEFT JOIN v_density d ON d.urban_code = p.urban_code""",
+        BOTH_LASSOS,
+    ),
     "trend_fit": statement(f"SELECT series, points, {columns(['slope', 'intercept'], 8)} FROM trends"),
     "trend_project": statement(f"SELECT series, month_end, {fixed('v', 6)} AS value FROM projected"),
     "correction_curve": statement(
