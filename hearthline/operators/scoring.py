@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seasonal import MAX_HARMONICS, harmonic_names, with_harmonics
 from .lasso import coef_name
-from .relational import every_market, with_density
+from .relational import DENSITIES, ROOMS, every_market, with_density
 
 
 def linear_value(features: Sequence[str]) -> Column:
@@ -20,12 +20,14 @@ def linear_value(features: Sequence[str]) -> Column:
 def score_markets(features: DataFrame, models: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Predict every feature row in every market that has a model.
 
-    Each feature row opens into the twelve markets and meets its model by key. Only these
-    markets can match, so the model side is at most twelve rows and is broadcast.
+    Each feature row opens into the twelve markets and meets its model by key. Models of other
+    markets are left out, so the model side is at most twelve rows and is broadcast.
     """
     terms = [*columns, *harmonic_names(MAX_HARMONICS)]
     keys = [c for c in features.columns if c not in columns]
-    fitted = models.select("urban_code", "rooms", "intercept", *[coef_name(t) for t in terms])
+    fitted = models.filter(F.col("urban_code").isin(*DENSITIES) & F.col("rooms").isin(*ROOMS)).select(
+        "urban_code", "rooms", "intercept", *[coef_name(t) for t in terms]
+    )
     return (
         every_market(features)
         .join(F.broadcast(fitted), ["urban_code", "rooms"])

@@ -7,7 +7,6 @@ from pathlib import Path
 
 import duckdb
 
-from hearthline.plans import catalogue
 from oracle.sql import ORACLES
 
 
@@ -24,8 +23,7 @@ def _rows(columns: list[str], rows) -> list[tuple]:
     return sorted(picked, key=lambda r: tuple((v is not None, str(v)) for v in r))
 
 
-def spark_rows(spark, sf_dir: str, name: str):
-    df = catalogue.run(name, spark, sf_dir)
+def spark_rows(df):
     return sorted(df.columns), _rows(df.columns, df.collect())
 
 

@@ -2,6 +2,7 @@ import datetime as dt
 import gzip
 import math
 
+import pandas as pd
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -96,6 +97,33 @@ def test_cells_since_a_day_equal_the_filtered_cells(spark):
     assert sorted(map(tuple, since.collect()), key=str) == sorted(map(tuple, later.collect()), key=str)
 
 
+def test_one_customer_and_one_order_with_a_third_of_the_rows(spark, tmp_path):
+    """Hot keys give the same cells as plain counting over the same rows."""
+    tables = {n: spark.read.parquet(f"{SF}/{n}.parquet") for n in ("orders", "lineitem", "customer")}
+    tables["orders"] = tables["orders"].withColumn("o_custkey", F.expr("if(o_orderkey % 3 = 0, 7, o_custkey)"))
+    tables["lineitem"] = tables["lineitem"].withColumn("l_orderkey", F.expr("if(l_partkey % 3 = 0, 11, l_orderkey)"))
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = tpch.order_cells(spark, str(tmp_path)).toPandas().set_index(["nation", "month_end"]).sort_index()
+
+    orders, lines, customers = (tables[n].toPandas() for n in ("orders", "lineitem", "customer"))
+    unit = lines.groupby("l_orderkey")[["l_extendedprice", "l_quantity"]].sum()
+    orders = orders.merge(customers[["c_custkey", "c_nationkey"]], left_on="o_custkey", right_on="c_custkey")
+    orders["unit"] = orders.o_orderkey.map(unit.l_extendedprice / unit.l_quantity)
+    orders["month_end"] = (orders.o_orderdate + pd.offsets.MonthEnd(0)).dt.date
+    orders["rooms"] = orders.o_orderpriority.str[0].astype(int)
+    groups = orders.groupby(["c_nationkey", "month_end"])
+    assert len(got) == len(groups)
+    assert got.orders.tolist() == groups.size().tolist()
+    assert (got.cents / 100).tolist() == pytest.approx(groups.o_totalprice.sum().tolist())
+    for r in range(1, 5):
+        room = orders[orders.rooms == r].groupby(["c_nationkey", "month_end"])
+        mine = got[got[f"orders_{r}"] > 0]
+        assert mine[f"orders_{r}"].tolist() == room.size().tolist()
+        assert mine[f"rents_{r}"].tolist() == room.unit.count().tolist()
+        assert mine[f"rent_total_{r}"].fillna(0).tolist() == pytest.approx(room.unit.sum().tolist())
+
+
 @pytest.fixture(scope="module")
 def area(spark, tmp_path_factory):
     """A small area in the original file formats: four counties, seven years."""
