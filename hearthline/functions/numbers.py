@@ -12,7 +12,8 @@ def missing_as_null(c: Column) -> Column:
 
 
 def hundredths_sql(column: str) -> str:
-    return f"cast(rint({column} * 100) AS bigint)"
+    """SQL of ``hundredths``; what is not a number becomes NULL."""
+    return f"try_cast(rint({column} * 100) AS bigint)"
 
 
 def hundredths(column: str) -> Column:

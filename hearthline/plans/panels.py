@@ -64,6 +64,9 @@ def county_dim(codes: DataFrame, state: str) -> DataFrame:
 
 
 def recent_panel(panel: DataFrame, min_year: int) -> DataFrame:
+    """Rows from ``min_year`` on; a panel stored by year skips the folders before."""
+    if "year" in panel.columns:
+        panel = panel.filter(F.col("year") >= min_year).drop("year")
     return panel.filter(from_year("Date", min_year))
 
 

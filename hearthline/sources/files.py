@@ -60,9 +60,13 @@ def read_csv(
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Declared columns of a Parquet table; missing values are NULL, never NaN."""
+    """Declared columns of a Parquet table; missing values are NULL, never NaN.
+
+    The ``year`` folders of ``write_by_year`` are kept as a column, for filters to skip.
+    """
     raw = spark.read.parquet(path)
-    return raw.select(*[_typed(f.name, f.dataType) for f in schema.fields])
+    folders = ["year"] if "year" in raw.columns and "year" not in schema.names else []
+    return raw.select(*[_typed(f.name, f.dataType) for f in schema.fields], *folders)
 
 
 def write_by_year(df: DataFrame, path: str, *, date: str = "Date", files_per_year: int = 16) -> None:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_end
-from ..functions.numbers import hundredths, hundredths_sql
+from ..functions.numbers import hundredths, hundredths_sql, missing_as_null
 from ..operators.relational import ROOMS
 
 # Nations without rents, so that the eligibility test has something to drop.
@@ -58,14 +58,14 @@ def unit_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey")
-        .agg(F.try_divide(cents / 100, F.sum("l_quantity")).alias("unit_price"))
+        .agg(F.try_divide(cents / 100, F.sum(missing_as_null(F.col("l_quantity")))).alias("unit_price"))
     )
 
 
 def order_cells(
     spark: SparkSession, sf_dir: str, *, rents: bool = True, since: dt.date | None = None
 ) -> DataFrame:
-    """Counts and sums per nation and month: over all orders, and for each room count.
+    """Priced orders and their totals per nation and month: of all, and for each room count.
 
     Orders are combined per customer, month and priority before they meet the customer table, so
     a customer with a large share of all orders is a few rows by then. Lines are combined per
@@ -74,7 +74,8 @@ def order_cells(
     orders = table(spark, sf_dir, "orders")
     if since is not None:
         orders = orders.filter(F.col("o_orderdate") >= F.lit(since).cast("timestamp_ntz"))
-    sums = {"orders": "count(1)", "cents": f"sum({hundredths_sql('o_totalprice')})"}
+    cents = hundredths_sql("o_totalprice")
+    sums = {"orders": f"count({cents})", "cents": f"sum({cents})"}
     if rents:
         orders = orders.join(
             unit_prices(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left"
@@ -83,7 +84,7 @@ def order_cells(
     by_customer = orders.groupBy(
         "o_custkey",
         month_end("o_orderdate").alias("month_end"),
-        F.expr("cast(substring(o_orderpriority, 1, 1) AS int)").alias("rooms"),
+        F.expr("try_cast(substring(o_orderpriority, 1, 1) AS int)").alias("rooms"),
     ).agg(*[F.expr(f"{total} AS {name}") for name, total in sums.items()])
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     per_room = [
@@ -101,7 +102,7 @@ def rate_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.date_trunc("week", "l_shipdate").cast("date").alias("DATE"))
-        .agg((F.sum(hundredths("l_discount")) / F.count("l_discount")).alias("MORTGAGE30US"))
+        .agg(F.avg(hundredths("l_discount")).alias("MORTGAGE30US"))
     )
 
 
@@ -148,7 +149,7 @@ def price_index(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame
         )
         .groupBy("hpi_type", "hpi_flavor", "frequency", "place_name", "yr", "period")
         .agg(
-            F.expr("sum(cents) / 100 / sum(orders) / 1000 AS index_sa"),
+            F.expr("try_divide(sum(cents) / 100, sum(orders)) / 1000 AS index_sa"),
             F.expr("sum(cents) / 100 / 1000000 AS index_nsa"),
         )
     )

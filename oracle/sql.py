@@ -49,7 +49,7 @@ STEPS: dict[str, str] = {
         JOIN region ON n_regionkey = r_regionkey""",
     "hpi_places": """
         SELECT place_name, month_end,
-               CAST(sum(cents) AS DOUBLE) / 100 / count(*) / 1000 AS hpi_sa,
+               CAST(sum(cents) AS DOUBLE) / 100 / count(cents) / 1000 AS hpi_sa,
                CAST(sum(cents) AS DOUBLE) / 100 / 1000000 AS hpi_nsa
         FROM index_rows GROUP BY 1, 2""",
     "hpi": f"SELECT month_end, hpi_sa FROM hpi_places WHERE place_name = '{PLACE}'",

@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from hearthline.plans import panels
 from hearthline.plans import scenario as sc
 from hearthline.plans.market import MarketData, Parameters, Sources
 from hearthline.sources import files, staging, tpch
@@ -72,6 +73,16 @@ def test_rewrite_by_year_keeps_rows_and_skips_years(spark, tmp_path):
     assert len(list((tmp_path / "by_year" / "year=2011").glob("*.parquet"))) <= 2
 
 
+def test_panel_stored_by_year_skips_the_years_before(spark, tmp_path):
+    path = str(tmp_path / "panel")
+    rows = [(d, 1, *[1.0] * 8) for d in month_ends("2009-01-31", 48)]
+    files.write_by_year(spark.createDataFrame(rows, files.COUNTY_PANEL), path)
+    panel = panels.recent_panel(files.read_parquet(spark, path, files.COUNTY_PANEL), 2011)
+    assert panel.columns == files.COUNTY_PANEL.names and panel.count() == 24
+    plan = panel._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan and "GreaterThanOrEqual(Date,2011-01-01)" in plan
+
+
 def test_staged_tables_use_the_folder_the_session_names(spark, tmp_path):
     df = spark.range(10).filter("id % 2 = 0")
     out = staging.staged(df)
@@ -97,6 +108,23 @@ def test_cells_since_a_day_equal_the_filtered_cells(spark):
     assert sorted(map(tuple, since.collect()), key=str) == sorted(map(tuple, later.collect()), key=str)
 
 
+def test_amounts_that_are_not_numbers_are_missing(spark, tmp_path):
+    day = dt.datetime(1999, 5, 3)
+    orders = [(1, 1, 10.0, day, "1-URGENT"), (2, 1, math.nan, day, "1-URGENT"), (3, 1, None, day, "2-HIGH"), (4, 1, 30.0, day, "x")]
+    lines = [(1, 2.0, 9.0, math.nan, day), (1, math.nan, 1.0, 0.04, day), (2, 4.0, math.inf, None, day)]
+    tables = {"orders": orders, "lineitem": lines, "customer": [(1, 5)]}
+    for name, rows in tables.items():
+        spark.createDataFrame(rows, tpch.SCHEMAS[name]).write.parquet(str(tmp_path / f"{name}.parquet"))
+    (cell,) = tpch.order_cells(spark, str(tmp_path)).collect()
+    assert (cell.nation, cell.month_end) == (5, D(1999, 5, 31))
+    assert (cell.orders, cell.cents) == (2, 4000)  # the unreadable priority still counts in the total
+    assert (cell.orders_1, cell.cents_1, cell.rents_1, cell.rent_total_1) == (1, 1000, 1, 5.0)
+    panel = tpch.county_panel(tpch.order_cells(spark, str(tmp_path))).first()
+    assert panel.MedianListingPrice_1Bedroom == 10.0 and panel.MedianListingPrice_2Bedroom is None
+    (week,) = tpch.rate_weekly(spark, str(tmp_path)).collect()
+    assert (week.DATE, week.MORTGAGE30US) == (D(1999, 5, 3), 4.0)
+
+
 def test_one_customer_and_one_order_with_a_third_of_the_rows(spark, tmp_path):
     """Hot keys give the same cells as plain counting over the same rows."""
     tables = {n: spark.read.parquet(f"{SF}/{n}.parquet") for n in ("orders", "lineitem", "customer")}
