@@ -7,7 +7,7 @@ from pathlib import Path
 
 import duckdb
 
-from oracle.sql import ORACLES
+from hearthline.checks.sql import ORACLES
 
 
 def connect(sf_dir: str):

@@ -3,7 +3,6 @@ import pandas as pd
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import functions as F
 
 from hearthline.functions.seasonal import harmonic_names, with_harmonics
 from hearthline.operators import gram, lasso

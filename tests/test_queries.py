@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as contract
 import compare
 from hearthline.plans import catalogue
-from oracle.sql import ORACLES
+from hearthline.checks.sql import ORACLES
 
 SF = "/root/testdata/sf0.01"
 
