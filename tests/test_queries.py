@@ -63,9 +63,15 @@ def test_first_panel_year_reaches_the_order_scan(spark):
     assert "GreaterThanOrEqual(o_orderdate,1996-01-01T00:00" in text
 
 
-def test_facts_are_combined_before_they_are_shuffled(spark):
-    text = plan(catalogue.run("monthly_rate", spark, SF))
-    assert text.index("partial_sum") > text.index("Exchange hashpartitioning")
+@pytest.mark.parametrize("name", ["monthly_rate", "index_series", "filter_year"])
+def test_facts_are_combined_before_they_are_shuffled(spark, name):
+    """Reading a plan bottom up: each fact scan meets a partial aggregate before an exchange by its group."""
+    lines = plan(catalogue.run(name, spark, SF)).splitlines()
+    finals = [i for i, line in enumerate(lines) if "HashAggregate(" in line and "partial_" not in line]
+    for i in finals:
+        below = lines[i + 1 :]
+        exchange = next(j for j, line in enumerate(below) if "Exchange hashpartitioning" in line)
+        assert "functions=[partial_" in below[exchange + 1]
 
 
 def test_entry_runs(spark):
