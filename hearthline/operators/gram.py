@@ -33,7 +33,7 @@ def feature_stats(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) ->
 
 
 def standardise(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Centre and scale columns within each market; ``means`` and ``scales`` undo it.
+    """Centre and scale columns within each market; ``<c>__mean`` and ``<c>__scale`` undo it.
 
     Sums of products of standardised values lose nothing to cancellation when one fold's
     sums are later taken from the total. A constant column becomes zero.
@@ -53,27 +53,30 @@ def standardise(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> D
             f"ELSE ({c} - {c}__mean) / {c}__scale END AS {c}"
             for c in columns
         ],
-        f"array({', '.join(f'{c}__mean' for c in columns)}) AS means",
-        f"array({', '.join(f'{c}__scale' for c in columns)}) AS scales",
+        *[f"{c}__{part}" for c in columns for part in ("mean", "scale")],
     )
 
 
 def cross_products(df: DataFrame, terms: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Per market and fold, the sums of products of every pair of terms and the count.
 
-    One row per ``term``, one column per term: a row of the cross-product matrix. The
-    term ``one`` holds plain sums. Each training row opens into its terms inside the scan
-    stage and is summed there before anything is shuffled.
+    One row per ``term``, one column per term: a row of the cross-product matrix, with the
+    ``mean`` and ``scale`` its term was standardised by. The term ``one`` holds plain sums. Each
+    training row opens into its terms inside the stage that reads it and is summed there, in hash
+    maps, before anything is shuffled.
     """
     names = [ONE, *terms]
-    rows = ", ".join(f"struct('{t}' AS term, {t} AS left_value)" for t in names)
-    scales = [c for c in ("means", "scales") if c in df.columns]
+    rows = [f"struct('{ONE}' AS term, 1D AS left_value, 0D AS mean, 1D AS scale)"] + [
+        f"struct('{t}' AS term, {t} AS left_value, {t}__mean AS mean, {t}__scale AS scale)"
+        for t in terms
+    ]
     return (
         df.withColumn(ONE, F.lit(1.0))
-        .selectExpr(*keys, "fold", *scales, *names, f"inline(array({rows}))")
+        .selectExpr(*keys, "fold", *names, f"inline(array({', '.join(rows)}))")
         .groupBy(*keys, "fold", "term")
         .agg(
             *[F.expr(f"sum(left_value * {t}) AS {t}") for t in names],
-            *[F.any_value(c).alias(c) for c in scales],
+            F.max("mean").alias("mean"),
+            F.max("scale").alias("scale"),
         )
     )

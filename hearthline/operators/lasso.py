@@ -138,8 +138,8 @@ def fit_candidates(
         gram = np.stack(
             [part.set_index("term").loc[terms, terms].to_numpy(float) for _, part in pdf.groupby("fold")]
         )
-        means = np.asarray(pdf["means"].iloc[0], float)
-        scales = np.asarray(pdf["scales"].iloc[0], float)
+        by_term = pdf.drop_duplicates("term").set_index("term").loc[terms[1:]]
+        means, scales = by_term["mean"].to_numpy(float), by_term["scale"].to_numpy(float)
         out = pd.DataFrame(grid_search(gram, means, scales, np.array(usable), alphas))
         coefs = pd.DataFrame(np.stack(out.pop("coefs")), columns=coef_columns)
         key_values = pd.DataFrame({k: [pdf[k].iloc[0]] * len(out) for k in keys})

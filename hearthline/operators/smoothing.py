@@ -63,18 +63,17 @@ def savgol(
         .selectExpr("*", f"explode(sequence({first}, {last})) AS __out")
         .withColumn("__weight", F.get(weights, F.expr(f"(__out - {start}) * {w} + __pos - {start}")))
     )
-    own = f"CASE WHEN __out = __pos THEN struct({', '.join(['__n', *carried])}) END"
+    own = "CASE WHEN __out = __pos THEN {} END"
+    flag = [F.expr(f"max(__n) < {w} AS {short_flag}")] if short_flag else []
     smoothed = scattered.groupBy(*keys, "__out").agg(
-        F.expr(f"first({own}, true) AS __own"),
+        *[F.expr(f"first({own.format(c)}, true) AS {c}") for c in carried],
         *[
             F.expr(f"CASE WHEN count({c}) = {w} THEN sum(__weight * {c}) END AS {c}_savgol")
             for c in columns
         ],
+        *flag,
     )
-    flag = [f"__own.__n < {w} AS {short_flag}"] if short_flag else []
-    return smoothed.selectExpr(
-        *keys, *[f"__own.{c} AS {c}" for c in carried], *[f"{c}_savgol" for c in columns], *flag
-    )
+    return smoothed.drop("__out")
 
 
 def gradient(
