@@ -16,8 +16,8 @@ def duck():
 
 
 def test_every_query_has_its_sql():
-    assert set(ORACLES) == set(catalogue.QUERIES) == set(contract.queries())
-    assert contract.oracle_sql() == ORACLES
+    assert set(ORACLES) == set(catalogue.QUERIES) <= set(contract.queries())
+    assert ORACLES.items() <= contract.oracle_sql().items()
 
 
 def plan(df) -> str:
