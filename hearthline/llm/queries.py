@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import multiset, pieces, quality_mil, toxicity
+from hearthline.llm import licenses, multiset, near_dedup, packing, pieces, quality_mil, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": quality_mil.op2_quality,
+    "op3_packing": packing.op3_packing,
     "op4_multiset": multiset.op4_multiset,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
+    "op8_licenses": licenses.op8_licenses,
     "op9_pieces": pieces.op9_pieces,
     "op10_toxicity": toxicity.op10_toxicity,
 }
