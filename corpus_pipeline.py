@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import toxicity
+from hearthline.llm import line_rules, near_dedup, packing, toxicity
 from hearthline.llm.tables import keep, table
 
 #: Each function takes (spark, docs, sf_dir); its result, written and read again, is the next one's docs.
 STAGES = [
     ("toxicity", toxicity.drop_toxic),
+    ("quality rules", line_rules.drop_poor),
+    ("near duplicates", near_dedup.drop_near_duplicates),
+    ("packing", packing.pack),
 ]
 
 #: No SQL: the first stage's model is trained.

@@ -6,16 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import licenses, multiset, near_dedup, packing, pieces, quality_mil, toxicity
+from hearthline.llm import fixity, licenses, line_rules, multiset, near_dedup, packing, pieces, quality_mil, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_extendible_shards": sharding.op1_extendible_shards,
     "op2_quality": quality_mil.op2_quality,
     "op3_packing": packing.op3_packing,
     "op4_multiset": multiset.op4_multiset,
+    "op5_line_rules": line_rules.op5_line_rules,
+    "op6_fixity": fixity.op6_fixity,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_licenses": licenses.op8_licenses,
     "op9_pieces": pieces.op9_pieces,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_extendible_shards": sharding.ORACLE,
+    "op5_line_rules": line_rules.ORACLE,
+    "op6_fixity": fixity.ORACLE,
+}
