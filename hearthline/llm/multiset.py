@@ -136,7 +136,7 @@ def buckets(docs: DataFrame, count: int) -> DataFrame:
     The borders are `count` approximate quantiles, fetched once, so every task deals alike.
     """
     shares = [i / count for i in range(1, count)] or [0.5]
-    borders = docs.select(F.percentile_approx("doc_id", shares, 100 * count)).first()[0] or []
+    borders = docs.select(F.percentile_approx("doc_id", shares, 100 * count)).first()[0] or [0]
     splits = [float("-inf"), *sorted({float(x) for x in borders}), float("inf")]
     place = Bucketizer(splits=splits, inputCol="_place", outputCol="_bucket", handleInvalid="keep")
     numbered = place.transform(docs.withColumn("_place", F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0))))
