@@ -9,10 +9,12 @@ aren't connected yet:
 1. each vertex with the most central vertex of its regions (the one that meets the most others),
 2. neighbours in sorted order, whose common prefix is the longest, and the regions' other centres; a region
    with more than `crowd` vertices is parted by `depth` more values first,
-3. in every region with more than one component left: whatever isn't in its largest one with all others.
+3. in the regions of one centre together, if more than one component is left: whatever isn't in the largest
+   one with all others, exactly and without a limit, by counting common shingles in blocks. Blocks hold a bounded
+   number of shingles and only links leave them.
 So a pair is only missed if it shares no region: (1 - s^depth)^trees at similarity s, 3e-6 at 0.8.
-The third round costs (vertices outside the largest component) x (vertices) per region; after the first two
-that is little wherever texts are alike.
+The third round's work is (vertices outside the largest component) x (vertices that share shingles with them);
+after the first two rounds that is little wherever texts are alike.
 
 Definitions: a missing text or one without words has an empty set and is linked with nothing. Fewer words
 than a shingle make one shingle. Repeated rows are equal texts. A missing doc_id is never the least one of its
@@ -26,19 +28,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearthline.llm import hashing
 from hearthline.llm.components import components
-from hearthline.llm.tables import keep, mapped, table, texts
+from hearthline.llm.tables import keep, mapped, ship, table, texts
 
 U64 = np.uint64
 
 
 @dataclass(frozen=True)
 class Settings:
-    """`percent`: least similarity. `crowd`: vertices that one sorted stretch may hold."""
+    """`percent`: least similarity. `crowd`: vertices that one sorted stretch may hold. `block`: shingles in a block, about."""
 
     shingle: int = 5
     percent: int = 80
@@ -46,6 +49,7 @@ class Settings:
     depth: int = 4
     crowd: int = 64
     neighbours: int = 2
+    block: int = 1_000_000
 
     @property
     def slots(self) -> int:
@@ -151,6 +155,67 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFr
     return mapped(found, work, "id binary, shingles binary").dropDuplicates(["id"])
 
 
+def closed(hubs: DataFrame, sets: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) between components that are left within the groups (hub, id).
+
+    In a group all vertices outside its largest component are held against all its vertices. Both are dealt to
+    blocks by a hash; each pair of blocks is one unit of work.
+    """
+    percent, limit = settings.percent, settings.block
+    sized = sets.select("id", (F.octet_length("shingles") / 8).alias("n"))
+    group = hubs.join(sized, "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    group = keep(group.select("hub", "id", "n", "label"))
+    parts = group.groupBy("hub", "label").agg(F.count("*").alias("vertices"), F.sum("n").alias("held"))
+    open_ = parts.groupBy("hub").agg(
+        F.max(F.struct("vertices", "label", "held")).alias("main"), F.count("*").alias("parts"), F.sum("vertices").alias("vertices"), F.sum("held").alias("held")
+    )
+    open_ = open_.where((F.col("parts") > 1) & (F.col("vertices") > settings.neighbours + 1)).select(
+        "hub",
+        F.col("main.label").alias("main"),
+        F.ceil((F.col("held") - F.col("main.held")) / limit).cast("int").alias("few"),
+        F.ceil(F.col("held") / limit).cast("int").alias("many"),
+    )
+    left = group.join(open_, "hub")
+
+    def dealt(rows: DataFrame, outer: bool) -> DataFrame:
+        own, other = ("few", "many") if outer else ("many", "few")
+        mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias("mine")
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other")
+        rows = rows.select("hub", "id", "label", mine, every)
+        i, j = ("mine", "other") if outer else ("other", "mine")
+        return rows.select("hub", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(outer).alias("outer"), "id", "label")
+
+    units = dealt(left.where(F.col("label") != F.col("main")), True).unionByName(dealt(left, False)).join(sets, "id")
+
+    def unit(found: pa.Table) -> pa.Table:
+        outer = found.filter(pc.field("outer"))
+        inner = found.filter(~pc.field("outer"))
+        ids, names = inner.column("id").to_pylist(), inner.column("label").to_pylist()
+        arrays = [np.frombuffer(x, "<u8") for x in inner.column("shingles").to_pylist()]
+        sizes = np.array([len(x) for x in arrays])
+        owner = np.repeat(np.arange(len(arrays)), sizes)
+        values = np.concatenate(arrays) if arrays else np.zeros(0, "<u8")
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        a, b = [], []
+        for x, name, raw in zip(*(outer.column(c).to_pylist() for c in ("id", "label", "shingles")), strict=True):
+            one = np.frombuffer(raw, "<u8")
+            low, high = np.searchsorted(values, one, "left"), np.searchsorted(values, one, "right")
+            length = high - low
+            at = np.repeat(low - np.cumsum(length) + length, length) + np.arange(length.sum())
+            common = np.bincount(owner[at], minlength=len(arrays))
+            seen = {name}
+            for k in np.flatnonzero(100 * common >= percent * (len(one) + sizes - common)).tolist():
+                if names[k] not in seen:  # one link to each component is enough
+                    seen.add(names[k])
+                    a.append(x)
+                    b.append(ids[k])
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    ship(hubs.sparkSession)
+    return units.groupBy("hub", "i", "j").applyInArrow(unit, "a binary, b binary")
+
+
 def linked(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, text_hash, n_shingles, set_id, component per row of docs; component: a set_id that all rows
     of a component share, NULL for empty sets."""
@@ -209,15 +274,8 @@ def linked(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     second = keep(apart(second.join(first, ["a", "b"], "left_anti")))
     labels = joined(confirmed(second, signatures, sets, settings))
 
-    large = members.where(F.col("n") > settings.neighbours + 1).join(labels, "id", "left")
-    large = keep(large.select("region", "id", F.coalesce("label", "id").alias("label")))
-    counts = large.groupBy("region", "label").agg(F.count("*").alias("n"))
-    main = counts.groupBy("region").agg(F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    left = large.join(main, "region")
-    others = left.where(F.col("label") != F.col("main.label")).select("region", F.col("id").alias("other"), F.col("label").alias("own"))
-    third = others.join(left.select("region", "id", "label"), "region").where(F.col("own") != F.col("label"))
-    third = _pairs(third, "id", "other").join(first.unionByName(second), ["a", "b"], "left_anti")
-    labels = joined(confirmed(third, signatures, sets, settings))
+    hubs = centres.select(F.col("top.id").alias("hub"), "id").distinct()
+    labels = joined(closed(hubs, sets, labels, settings))
 
     component = rows.join(labels.select(F.col("id").alias("set_id"), "label"), "set_id", "left")
     return component.select("doc_id", "text_hash", "n_shingles", "set_id", F.coalesce("label", "set_id").alias("component"))
