@@ -87,7 +87,7 @@ def passages(raw: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
         out[:, at + k] = share(flag)
     length = np.diff(np.append(first, len(data)))
     out[:, at + 2] = share(np.minimum(length, 40) / 40)
-    out[:, at + 3] = np.minimum(1, held / words)
+    out[:, at + 3] = np.bincount(row, minlength=n) / words
     order = np.lexsort((hashed, row))
     fresh = np.ones(len(hashed))
     fresh[order[1:]] = (hashed[order[1:]] != hashed[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
