@@ -23,6 +23,7 @@ BASE = {"under the mit license": "mit", "apache license version 2": "apache-2",
 
 #: Rules by hand, in order of priority: label | keyword | alternatives, each an expression of its own, from ids and
 #: full names (weight 1.0) over sentences that grant (0.8) to bare mentions (0.5), parted by " ; " and " / ".
+#: An alternative without its line's keyword goes by the longest text that it can't do without.
 #: Expressions see lower-case words with single blanks; a blank between words is a blank.
 TABLE = r"""
 agpl-3-or-later | agpl | spdx license identifier agpl 3 0 or later ; agpl 3 0 or later ; agplv3 or later ; agpl v3 / agplv3
@@ -185,6 +186,16 @@ class Rule:
     pattern: re.Pattern
 
 
+#: What a match may lack or vary: groups, classes, repeated dots, optional characters.
+_VARIES = re.compile(r"\([^()]*\)\??|\[[^]]*\](\{\d+\}|[?*+])?|\.\{[^}]*\}\??|.\?")
+
+
+def keyword_of(expression: str, keyword: str) -> str:
+    """The line's keyword if each match holds it, else the longest text that each match holds."""
+    fixed = _VARIES.sub("\0", expression)
+    return keyword if keyword in fixed else max(fixed.split("\0"), key=len).strip()
+
+
 def rules(text: str = TABLE) -> list[Rule]:
     """One rule per alternative. In a line " / " starts the next lower weight."""
     out = []
@@ -193,7 +204,8 @@ def rules(text: str = TABLE) -> list[Rule]:
         for grade, part in enumerate(alternatives.split(" / ")):
             for one in part.split(" ; "):
                 made = re.compile(rb"(?<= )(?:" + one.strip().encode() + rb")(?= )", re.DOTALL)
-                out.append(Rule(f"{label}:{len(out)}", label, keyword.encode(), _GRADES[min(grade, 2)], made))
+                first = keyword_of(one.strip(), keyword).encode()
+                out.append(Rule(f"{label}:{len(out)}", label, first, _GRADES[min(grade, 2)], made))
     families = {"-".join(r.label.split("-")[:k]) for r in out for k in range(1, r.label.count("-") + 1)}
     return [replace(r, weight=r.weight * 0.9) if r.label in families else r for r in out]
 

@@ -1,0 +1,231 @@
+"""Fingerprints, license scans, line rules, shards and archives against brute force and SQL."""
+
+import hashlib
+import re
+import sys
+from collections import Counter, defaultdict
+from pathlib import Path
+
+import corpora
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+import compare  # noqa: E402
+
+from hearthline.llm import fixity, licenses, line_rules, multiset, sharding  # noqa: E402
+from hearthline.llm.queries import ORACLES, QUERIES  # noqa: E402
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_its_sql(spark, name, monkeypatch):
+    monkeypatch.setitem(compare.ORACLES, name, ORACLES[name])
+    columns, ours = compare.spark_rows(QUERIES[name](spark, corpora.SMALL))
+    other, theirs = compare.oracle_rows(compare.connect(corpora.SMALL), name)
+    assert columns == other and len(ours) == len(theirs) > 0
+    assert compare.differences(ours, theirs) == []
+
+
+# fingerprints
+
+
+def test_fingerprints_of_edited_and_next_texts(spark):
+    rows = multiset.op4_multiset(spark, corpora.SMALL).toPandas().set_index("doc_id")
+    docs = corpora.documents(corpora.SMALL).sort_values("doc_id")
+    texts, ids = docs.text.tolist(), docs.doc_id.tolist()
+    assert len(rows) == len(ids)
+    for i, text, following in zip(ids, texts, texts[1:] + texts[:1], strict=True):
+        half = len(text) // 2
+        new = text[: len(text) - half] + following[:half]
+        r = rows.loc[i]
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
+        assert r.fingerprint == multiset.written(*multiset.fingerprints([text.encode()]))[0]
+        assert r.edited_fingerprint == multiset.written(*multiset.fingerprints([new.encode()]))[0]
+    assert rows.groupby(dict(zip(ids, texts, strict=True))).fingerprint.nunique().max() == 1
+    assert rows.near_edited.median() > 0.4 and rows.near_next[rows.near_next < 1].median() < 0.1
+
+
+def test_ties_of_doc_id_are_ordered_by_text(spark, tmp_path):
+    rows = [(k // 3, f"text number {k} " * 5, "s") for k in range(30)] + [(None, "x y z", "s"), (None, "u v w", "s")]
+    found = multiset.op4_multiset(spark, corpora.write(tmp_path, rows)).collect()
+    assert len(found) == 32 and all(0 <= r["near_next"] <= 1 for r in found)
+
+
+def test_paragraphs_commute_and_are_put_in_and_taken_out():
+    one = lambda t: multiset.written(*multiset.fingerprints([t.encode()]))[0]
+    assert one("a b c\nd e\n\nf") == one("f\n\nd e\na b c") != one("a b c\nd e\nf")
+    assert multiset.combine(one("a b c\nd e"), one("f g")) == one("f g\nd e\na b c")
+    assert multiset.combine(one("a b c\nd e\nf g"), one("d e"), -1) == one("a b c\nf g")
+    assert one("a a\na a") != one("a a")
+
+
+# licenses
+
+
+def test_base_places_against_brute_force(spark, tmp_path):
+    odd = "Under the MIT-license; under the mit license under THE  mit\nlicense. CC-BY-NC cc by nc by cc by ncé Apache License, Version 2.0 apachélicense version 2"
+    rows = [(1, odd, "s"), (2, "cc by nc " * 500, "s"), (3, "mit", "s")]
+    split = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    for sf in (corpora.write(tmp_path, rows), corpora.SMALL):
+        found = licenses.op8_licenses(spark, sf).toPandas().set_index("doc_id")
+        docs = corpora.documents(sf)
+        for i, text in zip(docs.doc_id, docs.text, strict=True):
+            words = split.findall(text.translate(lower))
+            places = []
+            for phrase, label in licenses.BASE.items():
+                own = phrase.split()
+                places += [(k, label) for k in range(len(words) - len(own) + 1) if words[k : k + len(own)] == own]
+            r = found.loc[i]
+            assert (r.n_words, r.n_base) == (len(words), len(places))
+            labels = sorted({x for _, x in places})
+            assert r.base_labels == ",".join(labels) and set(labels) <= set(r.labels.split(",")) | {""} - {""}
+            if places:
+                assert (r.first_word, r.last_word) == (min(places)[0], max(places)[0])
+
+
+def kept(text: str) -> list[str]:
+    return [d.label for d in licenses.scan(text)[2]]
+
+
+def test_rules_and_suppression():
+    assert len(licenses.RULES) > 300 and len({r.keyword for r in licenses.RULES}) > 60
+    assert kept("SPDX-License-Identifier: GPL-3.0-or-later") == ["gpl-3-or-later"]
+    assert kept("GNU Lesser General Public License version 2.1") == ["lgpl-2-1"]
+    assert kept("Licensed under the Apache License, Version 2.0.") == ["apache-2"]
+    assert kept("CC BY-NC-SA 4.0") == ["cc-by-nc-sa"]
+    assert kept("the BSD 3-Clause License and the MIT License") == ["bsd-3-clause", "mit"]
+    assert kept("no rights, no words about them") == []
+    assert kept("omit licenses, permit, agplx") == []
+
+
+def test_a_keyword_is_in_all_that_its_rule_matches():
+    """The prefilter loses nothing: without groups, classes and optional characters the keyword still stands there."""
+    for rule in licenses.RULES:
+        expression = rule.pattern.pattern.decode().removeprefix("(?<= )(?:").removesuffix(")(?= )")
+        least = re.sub(r"\([^()]*\)\??|\[[^]]*\](\{4\}|\+)?|\.\{.*?\}\??|.\?", "*", expression)
+        assert rule.keyword.decode() in least and len(rule.keyword) > 2
+    assert kept("this text is under the gfdl 1 3") == ["gfdl-1-3"]
+
+
+# line rules
+
+
+def test_line_rules_are_native(spark):
+    text = corpora.plan(line_rules.op5_line_rules(spark, corpora.TINY))
+    assert not re.search("Python|Pandas|Arrow|BatchEval", text)
+
+
+def test_repeated_windows_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(rng.choice(list("abc"), int(rng.integers(0, 60)))), "s") for k in range(200)]
+    found = {r["doc_id"]: r for r in line_rules.op5_line_rules(spark, corpora.write(tmp_path, rows)).collect()}
+    for i, text, _ in rows:
+        words = text.split()
+        windows = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+        often = Counter(windows)
+        covered = {k + j for k, w in enumerate(windows) if often[w] > 1 for j in range(5)}
+        assert found[i]["n_repeat_words"] == len(covered) and found[i]["n_words"] == len(words)
+
+
+def boilerplate(copies: int = 1) -> list[tuple]:
+    """On host h, 40 texts share a menu; three have little else. On host k only five texts have it."""
+    own = lambda k: " ".join(f"own{k}word{j}" for j in range(40))
+    menu = "Home About Contact Privacy and terms of this great site"
+    rows = [(k, f"{menu}\n{own(k)}", "h") for k in range(37)] + [(37 + k, f"{menu.upper()}  \nleft over {k}", "h") for k in range(3)]
+    rows += [(50 + k, f"{menu}\nleft over {k}", "k") for k in range(5)]
+    return rows + [(100 + k, "a text of its own that many rows repeat word by word", "h") for k in range(30)]
+
+
+def test_frequent_lines_go_and_depleted_documents_with_them(spark, tmp_path):
+    sf = corpora.write(tmp_path, boilerplate())
+    rows = {r["doc_id"]: r for r in line_rules.op5_line_rules(spark, sf).collect()}
+    assert [i for i, r in rows.items() if not r["base_failed"] and not r["kept"]] == [37, 38, 39]
+    assert rows[0]["words_left"] == 40 and rows[37]["words_left"] == 3
+    assert all(rows[100 + k]["kept"] for k in range(30))  # copies are one document
+    texts = {r["doc_id"]: r["clean_text"] for r in line_rules.cleaned(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert texts[37] == "left over 0" and texts[50].startswith("Home") and texts[100].startswith("a text")
+
+
+# shards
+
+
+def brute_shards(rows: list[tuple[str, int]], limit: int) -> dict[str, str]:
+    out = {}
+
+    def split(prefix: str, own: list[tuple[str, int]]) -> None:
+        if sum(n for _, n in own) <= limit:
+            out.update({b: prefix for b, _ in own})
+        else:
+            for bit in "01":
+                if inner := [x for x in own if x[0].startswith(prefix + bit)]:
+                    split(prefix + bit, inner)
+
+    split("", rows)
+    return out
+
+
+@pytest.mark.parametrize("limit", [20_000, 100_000, 10_000_000])
+def test_shards_against_brute_force(spark, limit):
+    docs = spark.read.parquet(f"{corpora.SMALL}/documents.parquet").where(F.octet_length("text") < 20_000)
+    size = F.octet_length("text")
+    rows = sharding.sharded(docs.select("doc_id", "text"), ["doc_id", "text"], size, limit)
+    rows = rows.select(sharding.bits("doc_id", "text").alias("b"), size.alias("n"), "shard", "depth").collect()
+    assert {r["b"]: r["shard"] for r in rows} == brute_shards([(r["b"], r["n"]) for r in rows], limit)
+    assert all(len(r["shard"]) == r["depth"] for r in rows)
+
+
+def test_equal_and_oversized_rows(spark, tmp_path):
+    rows = [(1, "x" * 99, "s")] * 1000 + [(2, "y" * 5000, "s")] * 3 + [(None, "one key " + str(k), "s") for k in range(500)]
+    docs = spark.read.parquet(corpora.write(tmp_path, rows) + "/documents.parquet")
+    out = sharding.sharded(docs, ["doc_id", "text"], F.octet_length("text") + 1, 2000).select("doc_id", "text", "shard").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in out) == Counter((i, t) for i, t, _ in rows)
+    held = defaultdict(list)
+    for r in out:
+        held[r["shard"]].append(len(r["text"]) + 1)
+    assert all(sum(x) <= 2000 or x == [5001] for x in held.values())
+    assert sum(x == [5001] for x in held.values()) == 3
+
+
+def test_shards_are_written_whole(spark, tmp_path):
+    docs = spark.read.parquet(f"{corpora.TINY}/documents.parquet")
+    path = str(tmp_path / "shards")
+    sharding.write_shards(docs, path, ["doc_id", "text"], F.octet_length("text"), 50_000)
+    back = spark.read.option("recursiveFileLookup", "false").parquet(path)
+    assert back.count() == docs.count() and back.select("shard").distinct().count() > 3
+
+
+# archives
+
+
+def test_audit_finds_all_damage_and_nothing_else(spark):
+    pages = spark.read.parquet(f"{corpora.SMALL}/pages.parquet")
+    settings = fixity.Settings(file_bytes=100_000, range_bytes=4_000, fan=4, damage=40)
+    records = fixity.replicas(pages, settings)
+    rows = records.collect()
+    sides = {s: {(r["file"], r["offset"]): r["digest"] for r in rows if r["replica"] == s} for s in "ab"}
+    expected = {k for k in sides["a"] if sides["b"].get(k) != sides["a"][k]}
+    found = fixity.audit(records, settings).collect()
+    assert {(r["file"], r["offset"]) for r in found} == expected and len(expected) > 5
+    assert {r["kind"] for r in found} == {"changed", "missing"}
+    for name in {r["file"] for r in rows}:
+        spans = sorted((r["offset"], r["length"]) for r in rows if r["replica"] == "a" and r["file"] == name)
+        assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False)) and spans[0][0] == 0
+
+
+def test_whole_replicas_have_equal_roots(spark):
+    pages = spark.read.parquet(f"{corpora.TINY}/pages.parquet")
+    records = fixity.replicas(pages, fixity.Settings(damage=0))
+    assert fixity.audit(records).collect() == []
+    extra = records.unionByName(records.where("replica = 'b'").limit(1).withColumn("offset", F.lit(10**9)))
+    assert [(r["kind"], r["offset"]) for r in fixity.audit(extra).collect()] == [("extra", 10**9)]
+    root = fixity.tree(records, fixity.Settings(damage=0))[-1].collect()
+    assert len(root) == 2 and len({r["hash"] for r in root}) == 1
+
+
+def test_repeated_pages_are_records_of_their_own(spark, awkward):
+    pages = spark.read.parquet(f"{awkward}/pages.parquet")
+    rows = fixity.replicas(pages, fixity.Settings(damage=0)).where("replica = 'a'").collect()
+    assert len(rows) == 5 and len({(r["file"], r["offset"]) for r in rows}) == 5
