@@ -14,6 +14,17 @@ def fixed(expression: str, digits: int) -> str:
     return f"floor(({expression}) * 1e{digits} + 0.5001) / 1e{digits}"
 
 
+def fitted(p: str, prepared: str, targets: str, base: list[str]) -> str:
+    """Predictions of a model's best candidates, refitted on all rows, beside the actual values."""
+    return f"""
+        SELECT t.month_end, t.urban_code, t.rooms, d.density, t.target,
+               f.intercept + list_dot_product(f.coef, [{', '.join([*base, *SEASONAL])}]) AS y_hat
+        FROM (SELECT *, {SEASONAL_SELECT} FROM {prepared} ) x JOIN {targets} t ON x.month_end = t.month_end
+        JOIN {p}_best b ON t.urban_code = b.urban_code AND t.rooms = b.rooms
+        JOIN {p}_fits f ON f.k = -1 AND b.urban_code = f.urban_code AND b.rooms = f.rooms AND b.alpha = f.alpha AND b.h = f.h
+        LEFT JOIN v_density d ON d.urban_code = t.urban_code"""
+
+
 # Named steps in dependency order; a statement takes all of them, unused ones cost nothing.
 STEPS: dict[str, str] = {
     "unit_prices": """
@@ -441,6 +452,10 @@ PRICE_COEFS = ", ".join(
     f"{fixed(f'coef[{i}]', 4)} AS coef_{t}" for i, t in enumerate([*PRICE_COLUMNS, *SEASONAL], 1)
 )
 
+RENT_COEFS = ", ".join(
+    f"{fixed(f'coef[{i}]', 4)} AS coef_{t}" for i, t in enumerate([*RENT_COLUMNS, *SEASONAL], 1)
+)
+
 # Price predictions on the combined features, for all markets.
 FEATURE_SCORES = {
     **feature_steps("price", "features", "price"),
@@ -448,6 +463,12 @@ FEATURE_SCORES = {
 }
 
 
+RENT_FEATURE_SCORES = {
+    **feature_steps("rent", "features", "rent"),
+    **score_step("rent", "rent"),
+}
+
+
 def scenario_steps(dips: list[int]) -> dict[str, str]:
     return {
         **dip_steps(dips),
@@ -459,7 +480,7 @@ def scenario_steps(dips: list[int]) -> dict[str, str]:
     }
 
 
-ONE_DIP, DIP_GRID = scenario_steps([85]), scenario_steps([0, 65, 130])
+ONE_DIP, DIP_GRID = scenario_steps([85]), scenario_steps(list(range(131)))
 COSTS = ["price_kusd", "rent_kusd", "total_cost_kusd"]
 CHOICE = "SELECT * FROM all_costs WHERE buy_code = 1 AND buy_rooms = 1 AND rent_code = 1 AND rent_rooms = 1"
 LAST_MONTHS = "SELECT place_name, max(month_end) AS last FROM hpi_places GROUP BY 1"
@@ -515,8 +536,8 @@ ORACLES: dict[str, str] = {
     "fmr_index": statement(f"SELECT month_end, {columns(['fmr'], 4)} FROM fmr"),
     "monthly_rate": statement(f"SELECT month_end, {columns(['apr'], 8)} FROM rate"),
     "chart_feed": statement(
-        f"""SELECT month_end, density, {fixed('avg(target)', 6)} AS mean_target
-            FROM price_targets LEFT JOIN v_density USING (urban_code) GROUP BY 1, 2"""
+        f"""SELECT month_end, rooms, density, {fixed('avg(target)', 6)} AS mean_target
+            FROM price_targets JOIN v_density USING (urban_code) GROUP BY 1, 2, 3"""
     ),
     "monthly_interp": statement(f"SELECT urban_code, rooms, month_end, {columns(['fmr'], 4)} FROM fmr_monthly"),
     "future_spine": statement(f"SELECT place_name, month_end FROM ({NEXT_120})"),
@@ -570,6 +591,28 @@ ORACLES: dict[str, str] = {
              AND s.urban_code = t.urban_code""",
         FEATURE_SCORES,
     ),
+    "fitted_rent_vs_actual": statement(
+        f"""SELECT s.month_end, s.rooms, s.urban_code, density, {columns(['y_hat', 'target'], 6)}
+            FROM rent_scores s JOIN rent_targets t ON s.month_end = t.month_end AND s.rooms = t.rooms
+             AND s.urban_code = t.urban_code""",
+        RENT_FEATURE_SCORES,
+    ),
+    "price_model_vs_actual": statement(
+        f"SELECT month_end, rooms, urban_code, density, {columns(['y_hat', 'target'], 4)} FROM model_rows",
+        {**LASSO, **feature_steps("all", "features", "price"), "model_rows": fitted("lp", "all_prepared", "price_targets", PRICE_COLUMNS)},
+    ),
+    "rent_model_vs_actual": statement(
+        f"SELECT month_end, rooms, urban_code, density, {columns(['y_hat', 'target'], 4)} FROM model_rows",
+        {**BOTH_LASSOS, **feature_steps("all", "features", "rent"), "model_rows": fitted("lr", "all_prepared", "rent_targets", RENT_COLUMNS)},
+    ),
+    "rent_lasso_models": statement(
+        f"""SELECT b.urban_code, b.rooms, density, b.alpha, b.h AS harmonics, {fixed('b.r2', 4)} AS r2,
+                   {columns(['intercept'], 4)}, {RENT_COEFS}
+            FROM lr_best b JOIN lr_fits f ON f.k = -1 AND b.urban_code = f.urban_code AND b.rooms = f.rooms
+             AND b.alpha = f.alpha AND b.h = f.h
+            LEFT JOIN v_density d ON d.urban_code = b.urban_code""",
+        BOTH_LASSOS,
+    ),
     "score_markets": statement(
         f"SELECT month_end, rooms, urban_code, density, {columns(['y_hat'], 6)} FROM price_scores", FEATURE_SCORES
     ),

@@ -29,9 +29,11 @@ def fixed(column: str, digits: int) -> Column:
     """Report rounding to ``digits`` decimals, under the same name.
 
     The offset sits just above one half: averages of few two-decimal amounts often end
-    on an exact half, and the last bit of a sum must not decide its direction.
+    on an exact half, and the last bit of a sum must not decide its direction. NaN stays NaN, and
+    numbers so large that a double has no such decimals stay as they are.
     """
-    return F.expr(f"floor(`{column}` * 1e{digits} + 0.5001D) / 1e{digits} AS `{column}`")
+    rounded = f"floor(`{column}` * 1e{digits} + 0.5001D) / 1e{digits}"
+    return F.expr(f"CASE WHEN abs(`{column}`) < 1e{15 - digits} THEN {rounded} ELSE `{column}` END AS `{column}`")
 
 
 def number_array(values) -> Column:

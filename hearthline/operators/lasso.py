@@ -18,7 +18,7 @@ from .gram import ONE
 ALPHAS = (0.1, 10.0, 1000.0)
 HARMONICS = (0, 1, 2, 3, 4, 5, 6)
 
-_TOLERANCE, _MAX_SWEEPS, _SWEEPS_PER_CHECK = 1e-13, 4_000, 5
+_TOLERANCE, _MAX_SWEEPS, _SWEEPS_PER_CHECK, _MAX_STEPS = 1e-13, 4_000, 5, 500
 
 # Workers get this module's functions with the task and need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -29,7 +29,8 @@ def lasso(corr: np.ndarray, xy: np.ndarray, penalty: np.ndarray) -> np.ndarray:
 
     ``corr`` is (batch, p, p) with unit diagonal where the feature varies and zeros where
     it does not; ``xy`` and ``penalty`` are (batch, p). An infinite penalty shuts a
-    feature out. Cyclic coordinate descent; a problem leaves the batch once its weights rest.
+    feature out. Cyclic coordinate descent; a problem leaves the batch once its weights rest. Problems
+    that don't rest, as with features that are almost the same, are solved by their active sets.
     """
     weights = np.zeros_like(xy)
     todo = np.arange(len(xy))
@@ -45,9 +46,54 @@ def lasso(corr: np.ndarray, xy: np.ndarray, penalty: np.ndarray) -> np.ndarray:
         todo = todo[moved > _TOLERANCE * (1.0 + np.abs(w).max(axis=1))]
         if not len(todo):
             break
+    for b in todo:
+        weights[b] = active_set(corr[b], xy[b], penalty[b], weights[b])
     return weights
 
 
+def active_set(corr: np.ndarray, xy: np.ndarray, penalty: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The exact minimum of one problem, by its active set and signs; NaN if none of the steps reaches it.
+
+    With signs fixed, the active weights solve a linear system. A step towards its solution ends where it
+    makes the objective least among itself and the places where a weight changes its sign, so each step
+    lowers the objective and no active set comes twice.
+    """
+
+    def objective(w: np.ndarray) -> float:
+        return w @ corr @ w / 2 - xy @ w + np.abs(w) @ np.where(np.isinf(penalty), 0.0, penalty)
+
+    w = np.where(np.isinf(penalty), 0.0, start)
+    scale = 1e-9 * (1.0 + np.abs(xy).max(initial=0.0))
+    for _ in range(_MAX_STEPS):
+        slope = xy - corr @ w
+        resting = w == 0
+        excess = np.where(resting, np.abs(slope) - penalty, 0.0)
+        off = np.where(resting, 0.0, np.abs(slope - np.sign(w) * np.where(resting, 0.0, penalty)))
+        if off.max(initial=0.0) <= scale:
+            if excess.max(initial=0.0) <= scale:
+                return w
+            joins = int(excess.argmax())
+        else:
+            joins = -1
+        signs = np.sign(w)
+        if joins >= 0:
+            signs[joins] = np.sign(slope[joins])
+        active = np.flatnonzero(signs)
+        goal = np.zeros_like(w)
+        goal[active] = np.linalg.lstsq(corr[np.ix_(active, active)], xy[active] - penalty[active] * signs[active], rcond=1e-14)[0]
+        turns = [k for k in active if signs[k] * goal[k] < 0 and w[k] != 0]
+        places = [goal]
+        for k in turns:
+            place = w + w[k] / (w[k] - goal[k]) * (goal - w)
+            place[k] = 0.0
+            places.append(place)
+        best = min(places, key=objective)
+        if np.array_equal(best, w):
+            break
+        w = best
+    return np.full_like(w, np.nan)
+
+
 def _training_moments(gram: np.ndarray):
     """Means, deviations, correlations and covariances with the target of a batch of sums.
 
@@ -120,12 +166,14 @@ def fit_candidates(
     *,
     alphas: Sequence[float] = ALPHAS,
     max_harmonics: int = HARMONICS[-1],
+    folds: int = 5,
 ) -> DataFrame:
     """Every (alpha, harmonics) candidate of every market: score, intercept, coefficients.
 
     ``products`` comes from ``cross_products`` over (target, features, seasonal terms).
     Tasks see one small matrix per fold, never training rows. ``r2`` is the unweighted mean
-    over folds, NULL if a fold has no spread to explain.
+    over folds, NULL if a fold has no spread to explain, if a market has too few rows for all ``folds``, or
+    if a solution could not be found.
     """
     keys = list(keys)
     terms = [ONE, "target", *features, *harmonic_names(max_harmonics)]
@@ -141,6 +189,8 @@ def fit_candidates(
         by_term = pdf.drop_duplicates("term").set_index("term").loc[terms[1:]]
         means, scales = by_term["mean"].to_numpy(float), by_term["scale"].to_numpy(float)
         out = pd.DataFrame(grid_search(gram, means, scales, np.array(usable), alphas))
+        if len(gram) < folds:
+            out["r2"] = np.nan
         coefs = pd.DataFrame(np.stack(out.pop("coefs")), columns=coef_columns)
         key_values = pd.DataFrame({k: [pdf[k].iloc[0]] * len(out) for k in keys})
         return pd.concat([key_values, out, coefs], axis=1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seasonal import MAX_HARMONICS, harmonic_names, with_harmonics
@@ -21,16 +21,17 @@ def score_markets(features: DataFrame, models: DataFrame, columns: Sequence[str]
     """Predict every feature row in every market that has a model.
 
     Each feature row opens into the twelve markets and meets its model by key. Models of other
-    markets are left out, so the model side is at most twelve rows and is broadcast.
+    markets are left out. A market with several models is an error when its rows are computed.
     """
     terms = [*columns, *harmonic_names(MAX_HARMONICS)]
     keys = [c for c in features.columns if c not in columns]
+    one = F.when(F.count("*").over(Window.partitionBy("urban_code", "rooms")) > 1, F.raise_error(F.lit("several models of one market"))).otherwise(F.col("intercept"))
     fitted = models.filter(F.col("urban_code").isin(*DENSITIES) & F.col("rooms").isin(*ROOMS)).select(
-        "urban_code", "rooms", "intercept", *[coef_name(t) for t in terms]
+        "urban_code", "rooms", one.alias("intercept"), *[coef_name(t) for t in terms]
     )
     return (
         every_market(features)
-        .join(F.broadcast(fitted), ["urban_code", "rooms"])
+        .join(fitted, ["urban_code", "rooms"])
         .transform(with_harmonics, MAX_HARMONICS)
         .select(*keys, "urban_code", "rooms", linear_value(terms).alias("y_hat"))
         .transform(with_density)

@@ -23,7 +23,7 @@ from ..sources.staging import staged
 from . import panels
 from . import scenario as sc
 from .market import MarketData, Outlook, Parameters
-from .models import MARKET, PRICE, RENT
+from .models import MARKET, PRICE, RENT, with_actuals
 
 # Parameters of the queries on the stand-in tables.
 PARAMETERS = Parameters(
@@ -42,7 +42,7 @@ PARAMETERS = Parameters(
 )
 SCENARIO = PARAMETERS.scenario
 DIP = 85
-DIP_GRID = (0, 65, 130)
+DIP_GRID = tuple(range(131))
 AS_OF = "2001-08-31"
 BUY, RENT_IN = (1, 1), (1, 1)
 SLICE = (1, 3)
@@ -227,9 +227,9 @@ def monthly_rate(i: Inputs) -> DataFrame:
 
 @query()
 def chart_feed(i: Inputs) -> DataFrame:
-    """Mean price per month and density over the bedroom counts of a chart."""
-    targets = relational.with_density(i.market.price_targets)
-    return targets.groupBy("month_end", "density").agg(F.avg("target").alias("mean_target"))
+    """Price per month and density for each bedroom count; codes without a density are not drawn."""
+    targets = relational.with_density(i.market.price_targets).filter("density IS NOT NULL")
+    return targets.groupBy("month_end", "rooms", "density").agg(F.avg("target").alias("mean_target"))
 
 
 # Time series.
@@ -326,6 +326,27 @@ def fitted_vs_actual(i: Inputs) -> DataFrame:
     return scores.join(actual, ["month_end", "rooms", "urban_code", "density"])
 
 
+@query()
+def fitted_rent_vs_actual(i: Inputs) -> DataFrame:
+    """Rent predictions on the combined features beside the actual rents."""
+    scores = i.market.rent_model.predict(i.market.features, i.fixed_rent_models)
+    return with_actuals(scores, i.market.rent_targets)
+
+
+@query(4)
+def price_model_vs_actual(i: Inputs) -> DataFrame:
+    """Prices predicted by the models fitted on them, beside the actual ones."""
+    model = i.market.price_model
+    return with_actuals(model.predict(i.market.features, model.fit_all()), i.market.price_targets)
+
+
+@query(4)
+def rent_model_vs_actual(i: Inputs) -> DataFrame:
+    """Rents predicted by the models fitted on them, beside the actual ones."""
+    model = i.market.rent_model
+    return with_actuals(model.predict(i.market.features, model.fit_all()), i.market.rent_targets)
+
+
 @query()
 def history_plus_future(i: Inputs) -> DataFrame:
     return i.market.continued([DIP])
@@ -377,6 +398,11 @@ def lasso_models(i: Inputs) -> DataFrame:
     return i.market.price_model.fit_all().drop("fold_r2")
 
 
+@query(4)
+def rent_lasso_models(i: Inputs) -> DataFrame:
+    return i.market.rent_model.fit_all().drop("fold_r2")
+
+
 @query()
 def score_table(i: Inputs) -> DataFrame:
     return i.market.scores()

@@ -72,10 +72,10 @@ class MarketModel:
     def training_set(self) -> DataFrame:
         """Targets with the prepared macro series of their month.
 
-        The macro side is one row per calendar month, so broadcasting it is always safe.
+        The macro side is one row per calendar month; Spark broadcasts it by its own size check.
         """
         prepared = self.spec.preprocess(self.features)
-        return self.targets.join(F.broadcast(prepared), "month_end").transform(with_density)
+        return self.targets.join(prepared, "month_end").transform(with_density)
 
     def market_rows(self, urban_code: int, rooms: int) -> DataFrame:
         return self.training_set.filter(market(urban_code, rooms))

@@ -69,17 +69,17 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return raw.select(*[_typed(f.name, f.dataType) for f in schema.fields], *folders)
 
 
-def write_by_year(df: DataFrame, path: str, *, date: str = "Date", files_per_year: int = 16) -> None:
+def write_by_year(df: DataFrame, path: str, *, date: str = "Date", rows_per_file: int = 10_000_000) -> None:
     """One-off rewrite as Parquet in one folder per year.
 
-    A gzipped file cannot be split, so one task reads it; the rows are then spread within each
-    year by their content, whatever date or region dominates, and later reads skip whole years.
+    A gzipped file cannot be split, so one task reads it; the rows are then rebalanced by year: Spark
+    splits large years and joins small ones by their size, and later reads skip whole years.
     """
-    part = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_year))
     (
         df.withColumn("year", F.year(date))
-        .repartition("year", part)
+        .hint("rebalance", "year")
         .write.mode("overwrite")
+        .option("maxRecordsPerFile", rows_per_file)
         .partitionBy("year")
         .parquet(path)
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
@@ -12,14 +10,11 @@ def staged(df: DataFrame) -> DataFrame:
 
     For reduced tables only (a row per month, or per region and month): the facts behind them are
     then scanned once, however many branches follow, and the result outlives lost executors.
-    The folder is the one the session names; only a local session without one gets its own.
+    The folder is the one the session names in spark.checkpoint.dir; without one, a folder in the
+    session's warehouse, which all executors share too.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="hearthline-checkpoint-")
-        context.setCheckpointDir(shared)
+        conf = df.sparkSession.conf
+        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     return df.checkpoint()

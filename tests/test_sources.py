@@ -65,7 +65,7 @@ def test_rewrite_by_year_keeps_rows_and_skips_years(spark, tmp_path):
     path = str(tmp_path / "by_year")
     rows = [(d, i, float(i)) for i, d in enumerate(month_ends("2010-01-31", 36) * 3)]
     df = spark.createDataFrame(rows, "Date date, RegionName int, x double")
-    files.write_by_year(df, path, files_per_year=2)
+    files.write_by_year(df, path)
     back = spark.read.parquet(path)
     assert sorted(map(tuple, back.drop("year").collect())) == sorted(map(tuple, df.collect()))
     plan = back.filter("year = 2011")._jdf.queryExecution().executedPlan().toString()
