@@ -43,12 +43,12 @@ _CODE = hashing.stream(22, 256)
 
 def features(raw: list[bytes], bits: int) -> list[np.ndarray]:
     """Distinct feature numbers of each text; none for a text shorter than three bytes with its border spaces."""
-    stamp = np.zeros(1 << bits, np.int64)
+    stamp = np.zeros(1 << bits, np.int32)
     out = []
     for one in raw:
         clean = b" " + b" ".join(one.split()) + b" "
         if len(clean) <= 2:
-            out.append(np.zeros(0, np.int64))
+            out.append(np.zeros(0, np.int32))
             continue
         code = _CODE[hashing.LOWER[np.frombuffer(clean, np.uint8)]]
         found = []
@@ -59,8 +59,8 @@ def features(raw: list[bytes], bits: int) -> list[np.ndarray]:
                     break
                 rolled = rolled[: len(code) - n + 1] + code[n - 1 :] * _WEIGHT[n - 1]
                 found.append((rolled * U64(0x9E3779B97F4A7C15)) >> U64(64 - bits))
-        every = np.concatenate(found).astype(np.int64)
-        order = np.arange(len(every))
+        every = np.concatenate(found).astype(np.int32)
+        order = np.arange(len(every), dtype=np.int32)
         stamp[every] = order
         out.append(every[stamp[every] == order])
     return out
@@ -78,16 +78,18 @@ def fit(raw: list[bytes], labels: list[int], settings: Settings = Settings()) ->
         share = float(y.mean()) if len(y) else 0.0
         return np.zeros(size, np.float32), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     sets = features(raw, settings.bits)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    held, toxic = np.zeros(size), np.zeros(size)
+    for own, label in zip(sets, labels, strict=True):
+        held[own] += 1
+        if label:
+            toxic[own] += 1
+    ratio = np.log((1 + toxic) / (y.sum() + 1)) - np.log((1 + held - toxic) / ((1 - y).sum() + 1))
+    names = np.flatnonzero((held >= settings.least_texts) & (np.abs(ratio) > 0.7))
+    place = np.full(size, -1, np.int32)
+    place[names] = np.arange(len(names), dtype=np.int32)
+    sets = [found[found >= 0] for found in (place[own] for own in sets)]
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
     col = np.concatenate(sets)
-    held = np.bincount(col, minlength=size)
-    p = 1 + np.bincount(col[y[row] == 1], minlength=size)
-    q = 1 + held + 1 - p
-    ratio = np.log(p / (y.sum() + 1)) - np.log(q / ((1 - y).sum() + 1))
-    ratio[held < settings.least_texts] = 0
-    used = np.abs(ratio[col]) > 0.7
-    row, col = row[used], col[used]
-    names, col = np.unique(col, return_inverse=True)
     value = ratio[names][col]
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     w, b = np.zeros(len(names)), 0.0
