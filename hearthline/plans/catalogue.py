@@ -1,7 +1,6 @@
 """Every query over the TPC-H stand-in tables, by name.
 
-A query is a function of ``Inputs``. Facts are scanned once per query: the order cells are staged
-where several branches read them.
+A query is a function of ``Inputs`` and builds one lazy plan; nothing runs before an action.
 """
 
 from __future__ import annotations
@@ -19,7 +18,6 @@ from ..functions.numbers import fixed
 from ..functions.seasonal import MAX_HARMONICS, with_harmonics
 from ..operators import gram, relational, series, smoothing, trend
 from ..sources import tpch
-from ..sources.staging import staged
 from . import panels
 from . import scenario as sc
 from .market import MarketData, Outlook, Parameters
@@ -59,14 +57,13 @@ class Inputs:
         return tpch.table(self.spark, self.sf_dir, name)
 
     def on(self, cells: DataFrame) -> MarketData:
-        """Market data read off these cells, which are small: nothing more needs to be kept."""
-        sources = tpch.TpchSources(self.spark, self.sf_dir, cells)
-        return MarketData(sources, PARAMETERS, keep=lambda df: df)
+        """Market data read off these cells."""
+        return MarketData(tpch.TpchSources(self.spark, self.sf_dir, cells), PARAMETERS)
 
     @cached_property
     def market(self) -> MarketData:
         """For queries that read the cells in several places."""
-        return self.on(staged(tpch.order_cells(self.spark, self.sf_dir)))
+        return self.on(tpch.order_cells(self.spark, self.sf_dir))
 
     @cached_property
     def prices_only(self) -> MarketData:
@@ -265,7 +262,7 @@ def savgol_smooth(i: Inputs) -> DataFrame:
 @query(8)
 def savgol_sweep(i: Inputs) -> DataFrame:
     """The rate smoothed with several windows and orders."""
-    rate = staged(i.prices_only.rate)
+    rate = i.prices_only.rate
     sweeps = [
         smoothing.savgol(rate, ["apr"], w, p).select(
             F.lit(w).alias("window_length"), F.lit(p).alias("poly_order"), "month_end", "apr_savgol"

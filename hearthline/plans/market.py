@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.calendar import before_year
 from ..operators.cost import best_date
 from ..sources import files
-from ..sources.staging import staged
 from . import panels
 from . import scenario as sc
 from .models import PRICE, RENT, MarketModel, score_table, with_actuals
@@ -22,8 +21,8 @@ from .models import PRICE, RENT, MarketModel, score_table, with_actuals
 class Parameters:
     """What is fixed in the analysis of one area."""
 
-    state: str = "MA"
-    place: str = "New England Division"
+    state: str
+    place: str
     min_year: int = 2011
     features_before: int = 2018
     excluded_cell: dict[str, int] = field(
@@ -75,16 +74,17 @@ class Outlook:
 class MarketData:
     """Series, targets and models of one area.
 
-    ``keep`` holds on to the reduced tables that several branches read (a row per county, per
-    code and month, or per month), so that the sources are scanned for them once.
+    Everything is one lazy plan; Spark reuses the exchanges that branches share. ``keep`` may write the
+    reduced tables that several branches read (a row per county, per code and month, or per month) to a
+    folder that all executors share, and read them back.
     """
 
     def __init__(
         self,
         sources: Sources,
-        parameters: Parameters = Parameters(),
+        parameters: Parameters,
         *,
-        keep: Callable[[DataFrame], DataFrame] = staged,
+        keep: Callable[[DataFrame], DataFrame] = lambda df: df,
     ):
         self.sources, self.parameters, self.keep = sources, parameters, keep
 
@@ -141,7 +141,7 @@ class MarketData:
     @cached_property
     def macro_rows(self) -> DataFrame:
         """The three macro series as rows, for trends and history alike."""
-        return staged(sc.macro_rows(self.rate, self.hpi, self.fmr_before))
+        return self.keep(sc.macro_rows(self.rate, self.hpi, self.fmr_before))
 
     @cached_property
     def trends(self) -> DataFrame:
@@ -162,7 +162,7 @@ class MarketData:
         """Observed and projected macro series, one frame per dip."""
         scenario = self.parameters.scenario
         future = sc.future_macro(self.trends, scenario, dips)
-        return staged(sc.history_plus_future(sc.shared_months(self.macro_rows), future, dips))
+        return self.keep(sc.history_plus_future(sc.shared_months(self.macro_rows), future, dips))
 
     def outlook(
         self, price_models: DataFrame, rent_models: DataFrame, dips: Sequence[float]

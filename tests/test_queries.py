@@ -45,6 +45,22 @@ def test_series_with_natural_gaps_equal_their_sql(spark, name):
     assert len(ours) == len(theirs) > 0 and compare.differences(ours, theirs) == []
 
 
+def test_building_a_query_runs_nothing(spark):
+    tracker = spark.sparkContext.statusTracker()
+    for name in catalogue.QUERIES:
+        catalogue.run(name, spark, SF)  # reads the tables' footers, which is no job of the group
+    spark.sparkContext.setJobGroup("building", "")
+    try:
+        for name in catalogue.QUERIES:
+            catalogue.run(name, spark, SF)
+        jobs = tracker.getJobIdsForGroup("building")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    schemas = len(catalogue.QUERIES) * 4  # Spark may read a Parquet footer with a job of one task
+    assert all(sum(tracker.getStageInfo(s).numTasks for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)) <= 1 for j in jobs)
+    assert len(jobs) <= schemas
+
+
 def formatted(spark, df) -> str:
     mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     return df._jdf.queryExecution().explainString(mode)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hearthline.plans import panels
 from hearthline.plans import scenario as sc
 from hearthline.plans.market import MarketData, Parameters, Sources
-from hearthline.sources import files, staging, tpch
+from hearthline.sources import files, tpch
 from helpers import month_ends
 
 D = dt.date
@@ -83,14 +83,6 @@ def test_panel_stored_by_year_skips_the_years_before(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(year" in plan and "GreaterThanOrEqual(Date,2011-01-01)" in plan
 
 
-def test_staged_tables_use_the_folder_the_session_names(spark, tmp_path):
-    df = spark.range(10).filter("id % 2 = 0")
-    out = staging.staged(df)
-    assert sorted(r.id for r in out.collect()) == [0, 2, 4, 6, 8]
-    folder = spark.sparkContext.getCheckpointDir()
-    assert spark.conf.get("spark.checkpoint.dir") in folder
-
-
 def test_cells_equal_plain_counting(spark):
     cells = tpch.order_cells(spark, SF)
     orders = tpch.table(spark, SF, "orders")
@@ -181,11 +173,11 @@ def area(spark, tmp_path_factory):
         spark, rate=write(folder / "rate.csv", rate), index=write(folder / "index.csv", index),
         panel=panel, codes=write(folder / "codes.csv", codes), fair_rent=fmr,
     )
-    return MarketData(sources)
+    return MarketData(sources, Parameters("MA", "New England Division"), keep=lambda df: df.cache())
 
 
 def test_defaults_are_the_published_analysis():
-    p = Parameters()
+    p = Parameters("MA", "New England Division")
     assert (p.state, p.place, p.min_year, p.features_before) == ("MA", "New England Division", 2011, 2018)
     assert p.excluded_cell == {"last_year": 2012, "rooms": 1, "urban_code": 2}
     assert p.scenario == sc.Scenario("2016-01-01", "2012-01-01", "2013-01-01", "2018-01-01", 120, 60, 8.0, "2018-01-31")
@@ -194,7 +186,7 @@ def test_defaults_are_the_published_analysis():
 def test_files_to_best_date(area):
     """The whole way from source files to a date, with fitted models."""
     prices, rents = area.price_model.fit_all(), area.rent_model.fit_all()
-    prices, rents = staging.staged(prices), staging.staged(rents)
+    prices, rents = prices.cache(), rents.cache()
     assert prices.count() == 12 and rents.count() == 12
     features = area.features.orderBy("month_end").collect()
     assert features[0].month_end == D(2000, 9, 30) and features[-1].month_end == D(2017, 12, 31)
