@@ -118,6 +118,13 @@ def test_line_rules_are_native(spark):
     assert not re.search("Python|Pandas|Arrow|BatchEval", text)
 
 
+def test_a_filter_on_the_verdict_stays_above_the_counts(spark, tmp_path):
+    docs = spark.read.parquet(corpora.write(tmp_path, [(1, "a b c d e " * 20_000, "s"), (2, corpora.LONG, "s")]) + "/documents.parquet")
+    for column in ("kept", "base_failed", "n_repeat_words > 5"):
+        found = line_rules.verdicts(docs).where(column)
+        assert [r["doc_id"] for r in found.collect()] == [2 if column == "kept" else 1]
+
+
 def test_repeated_windows_against_brute_force(spark, tmp_path):
     rng = np.random.default_rng(4)
     rows = [(k, " ".join(rng.choice(list("abc"), int(rng.integers(0, 60)))), "s") for k in range(200)]
