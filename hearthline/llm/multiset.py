@@ -16,15 +16,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearthline.llm import hashing
-from hearthline.llm.tables import STEP_BYTES, mapped, ship, table
+from hearthline.llm.tables import mapped, ship, steps, table
 
 U64 = np.uint64
 EXACT, LIKE = 8, 256
+#: Characters of text that are compared at once.
+STEP = 1 << 19
 _NEXT = hashing.stream(31, 2) | U64(1)
 
 
@@ -116,10 +117,10 @@ def _within(batches):
     def flush():
         return compared(ids[:-1], texts[:-1], texts[1:])
 
-    for batch in batches:
+    for batch in (step for whole in batches for step in steps(whole)):
         columns = (batch.column(c).to_pylist() for c in ("bucket", "doc_id", "text"))
         for at, i, text in zip(*columns, strict=True):
-            if at != bucket or sizes > STEP_BYTES:
+            if at != bucket or sizes > STEP:
                 if len(ids) > 1:
                     yield flush()
                 ids, texts, sizes, bucket = ([], [], 0, at) if at != bucket else (ids[-1:], texts[-1:], len(texts[-1]), at)
@@ -136,6 +137,8 @@ def buckets(docs: DataFrame, count: int) -> DataFrame:
     The borders are `count` approximate quantiles, fetched once, so every task deals alike.
     """
     shares = [i / count for i in range(1, count)] or [0.5]
+    from pyspark.ml.feature import Bucketizer  # on the driver only: workers do without its memory
+
     borders = docs.select(F.percentile_approx("doc_id", shares, 100 * count)).first()[0] or [0]
     splits = [float("-inf"), *sorted({float(x) for x in borders}), float("inf")]
     place = Bucketizer(splits=splits, inputCol="_place", outputCol="_bucket", handleInvalid="keep")
