@@ -44,6 +44,22 @@ def all_nonzero(columns: Sequence[str]) -> Column:
     return reduce(and_, [F.col(c) != 0 for c in columns])
 
 
+def means_through(
+    df: DataFrame, dim: DataFrame, key: str, date: str, group: str, measures: Sequence[str]
+) -> DataFrame:
+    """Mean of each measure per ``date`` and the ``group`` that ``dim`` gives a row's ``key``.
+
+    Rows are summed and counted per date and key before they meet the dimension: a key with very many
+    of them is one row per task and date by then. Rows with a missing date or group vanish.
+    """
+    sums = [F.sum(c).alias(f"{c}__sum") for c in measures] + [F.count(c).alias(f"{c}__n") for c in measures]
+    reduced = df.dropna(subset=[date]).groupBy(date, key).agg(*sums)
+    joined = reduced.join(dim.select(key, group).dropna(subset=[group]), key)
+    return joined.groupBy(date, group).agg(
+        *[F.try_divide(F.sum(f"{c}__sum"), F.sum(f"{c}__n")).alias(c) for c in measures]
+    )
+
+
 def group_means(df: DataFrame, keys: Sequence[str], drop: Sequence[str] = ()) -> DataFrame:
     """Mean of every numeric column by ``keys``; rows with a missing key vanish."""
     measures = [

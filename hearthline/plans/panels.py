@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.calendar import from_year, month_end_of, previous_month_end
 from ..operators.relational import (
     DENSITIES,
+    ROOMS,
     all_nonzero,
-    group_means,
+    means_through,
     non_null_counts,
     without_cell,
 )
@@ -89,11 +90,9 @@ def eligible_regions(panel: DataFrame, dim: DataFrame) -> DataFrame:
 
 def region_panel(panel: DataFrame, regions: DataFrame) -> DataFrame:
     """Unweighted mean of every measure over the counties of each code and month."""
-    return (
-        panel.join(regions.select("RegionName", "urban_code"), "RegionName")
-        .transform(group_means, ["Date", "urban_code"], drop=["RegionName"])
-        .withColumnRenamed("Date", "month_end")
-    )
+    measures = [c for c in panel.columns if c not in ("Date", "RegionName")]
+    means = means_through(panel, regions, "RegionName", "Date", "urban_code", measures)
+    return means.withColumnRenamed("Date", "month_end")
 
 
 def price_targets(means: DataFrame) -> DataFrame:
@@ -111,15 +110,10 @@ def rent_targets(means: DataFrame, *, excluded: dict[str, int] | None = None) ->
 
 def fair_rent_monthly(fair_rent: DataFrame, regions: DataFrame) -> DataFrame:
     """Annual fair rents by code, spread over the months: ``urban_code, rooms, month_end, fmr``."""
-    annual = (
-        fair_rent.join(
-            regions.select("RegionName", "urban_code"), F.col("fips_simple") == F.col("RegionName")
-        )
-        .drop("fips_simple", "RegionName")
-        .filter(F.col("urban_code").isin(*DENSITIES))
-        .transform(group_means, ["Date", "urban_code"])
-        .withColumn("month_end", previous_month_end("Date"))
-    )
+    modelled = regions.filter(F.col("urban_code").isin(*DENSITIES))
+    rents = fair_rent.select("Date", F.col("fips_simple").alias("RegionName"), *[f"fmr_{r}" for r in ROOMS])
+    annual = means_through(rents, modelled, "RegionName", "Date", "urban_code", [f"fmr_{r}" for r in ROOMS])
+    annual = annual.withColumn("month_end", previous_month_end("Date")).drop("Date")
     points = unpivot_rooms(annual, ["month_end", "urban_code"], "fmr_{}", "fmr")
     return interpolate_monthly(points, "fmr", keys=["urban_code", "rooms"])
 
