@@ -480,6 +480,22 @@ def scenario_steps(dips: list[int]) -> dict[str, str]:
     }
 
 
+def fitted_scores(p: str, prepared: str, base: list[str]) -> str:
+    """Every market scored by its best candidate, refitted on all rows."""
+    return f"""
+        SELECT x.series_key AS dip, x.month_end, b.urban_code, b.rooms, d.density,
+               f.intercept + list_dot_product(f.coef, [{', '.join([*base, *SEASONAL])}]) AS y_hat
+        FROM (SELECT *, {SEASONAL_SELECT} FROM {prepared} ) x CROSS JOIN {p}_best b
+        JOIN {p}_fits f ON f.k = -1 AND b.urban_code = f.urban_code AND b.rooms = f.rooms AND b.alpha = f.alpha AND b.h = f.h
+        LEFT JOIN v_density d ON d.urban_code = b.urban_code"""
+
+
+FITTED_DIP = {
+    **BOTH_LASSOS,
+    **scenario_steps([85]),
+    "price_scores": fitted_scores("lp", "price_prepared", PRICE_COLUMNS),
+    "rent_scores": fitted_scores("lr", "rent_prepared", RENT_COLUMNS),
+}
 ONE_DIP, DIP_GRID = scenario_steps([85]), scenario_steps(list(range(131)))
 COSTS = ["price_kusd", "rent_kusd", "total_cost_kusd"]
 CHOICE = "SELECT * FROM all_costs WHERE buy_code = 1 AND buy_rooms = 1 AND rent_code = 1 AND rent_rooms = 1"
@@ -700,4 +716,12 @@ ORACLES: dict[str, str] = {
                                        ORDER BY total_cost_kusd, month_end) = 1""",
         DIP_GRID,
     ),
+    "fitted_scenario_grid": statement(
+        f"""SELECT buy_code, buy_rooms, rent_code, rent_rooms, month_end AS best_date,
+                   {columns(['dip', 'total_cost_kusd'], 3)}
+            FROM all_costs WHERE month_end > DATE '2001-08-31'
+            QUALIFY row_number() OVER (PARTITION BY dip, buy_code, buy_rooms, rent_code, rent_rooms
+                                       ORDER BY total_cost_kusd, month_end) = 1""",
+        FITTED_DIP,
+    ),
 }

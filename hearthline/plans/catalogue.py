@@ -457,3 +457,10 @@ def best_date(i: Inputs) -> DataFrame:
 @query()
 def scenario_grid(i: Inputs) -> DataFrame:
     return i.market.scenario_grid(i.outlook(*DIP_GRID), AS_OF)
+
+
+@query(3)
+def fitted_scenario_grid(i: Inputs) -> DataFrame:
+    """The whole way: both kinds of models fitted, history and future scored, the best date of every choice."""
+    prices, rents = i.market.price_model.fit_all(), i.market.rent_model.fit_all()
+    return i.market.scenario_grid(i.market.outlook(prices, rents, [DIP]), AS_OF)
