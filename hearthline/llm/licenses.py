@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, replace
+from re import _constants, _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -186,13 +187,12 @@ class Rule:
     pattern: re.Pattern
 
 
-#: What a match may lack or vary: groups, classes, repeated dots, optional characters.
-_VARIES = re.compile(r"\([^()]*\)\??|\[[^]]*\](\{\d+\}|[?*+])?|\.\{[^}]*\}\??|.\?")
-
-
 def keyword_of(expression: str, keyword: str) -> str:
-    """The line's keyword if each match holds it, else the longest text that each match holds."""
-    fixed = _VARIES.sub("\0", expression)
+    """The line's keyword if each match holds it, else the longest text that each match holds.
+
+    Of the parsed expression only the characters outside groups, classes and repeats stand in every match.
+    """
+    fixed = "".join(chr(value) if kind is _constants.LITERAL else "\0" for kind, value in _parser.parse(expression))
     return keyword if keyword in fixed else max(fixed.split("\0"), key=len).strip()
 
 
