@@ -25,10 +25,9 @@ U64 = np.uint64
 @dataclass(frozen=True)
 class Settings:
     """`sample` bounds the labelled texts that the fit sees, half of each label where there are as many (those
-    with the smallest md5 of their id); of texts over `sample_chars` it sees a middle part. Scores use whole texts."""
+    with the smallest md5 of their id). The fit and the scores use whole texts."""
 
     sample: int = 3000
-    sample_chars: int = 12_000
     words: int = 64
     encoded: int = 24
     attention: int = 12
@@ -171,12 +170,23 @@ def scores(raw: list[bytes], model: dict[str, np.ndarray], words: int) -> np.nda
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> dict[str, np.ndarray]:
-    """A model from the labelled rows whose crc32(doc_id) mod 5 is not 0."""
-    most = settings.sample_chars
-    middle = F.when(F.length("text") > most, F.expr(f"substring(text, int((length(text) - {most}) / 2) + 1, {most})")).otherwise(F.col("text"))
-    found = labelled(docs, labels, "quality", 5, 0, settings.sample).withColumn("text", middle).toArrow().sort_by("doc_id")
-    x, rows = passages([t.encode() for t in found.column("text").to_pylist()], settings.words)
-    return fit(x, rows, np.array(found.column("y").to_pylist(), float), settings)
+    """A model from the labelled rows whose crc32(doc_id) mod 5 is not 0.
+
+    Tasks turn whole texts into passages' numbers; those of the sampled rows are collected.
+    """
+    rows = labelled(docs, labels, "quality", 5, 0, settings.sample)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, at = passages([t.encode() for t in texts(batch)], settings.words)
+        bags = [x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(bags, pa.binary())], ["doc_id", "y", "bag"])
+
+    rows = rows.select("doc_id", "text", F.col("y").cast("int").alias("y"))
+    found = mapped(rows, work, "doc_id long, y int, bag binary").toArrow().sort_by("doc_id")  # `sample` rows at most
+    bags = [np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in found.column("bag").to_pylist()]
+    x = np.concatenate([np.zeros((0, WIDTH), np.float32), *bags])
+    starts = np.cumsum([0, *map(len, bags)])
+    return fit(x, starts, np.array(found.column("y").to_pylist(), float), settings)
 
 
 def scored(docs: DataFrame, model: dict[str, np.ndarray], settings: Settings = Settings()) -> DataFrame:

@@ -24,11 +24,9 @@ U64 = np.uint64
 @dataclass(frozen=True)
 class Settings:
     """`sample` bounds the labelled texts that the fit sees, half of them toxic where there are as many;
-    of each label those with the smallest md5 of their id are taken. `sample_bytes` bounds their length:
-    of longer texts the fit sees a middle part. Scores always use whole texts."""
+    of each label those with the smallest md5 of their id are taken. The fit and the scores use whole texts."""
 
     sample: int = 4000
-    sample_bytes: int = 24_000
     bits: int = 18
     least_texts: int = 5
     penalty: float = 1.0
@@ -67,7 +65,12 @@ def features(raw: list[bytes], bits: int) -> list[np.ndarray]:
 
 
 def fit(raw: list[bytes], labels: list[int], settings: Settings = Settings()) -> tuple[np.ndarray, float]:
-    """Weights per feature (already times the log-count ratio) and the intercept.
+    """fit_sets() on the features of these texts."""
+    return fit_sets(features(raw, settings.bits), labels, settings)
+
+
+def fit_sets(sets: list[np.ndarray], labels: list[int], settings: Settings = Settings()) -> tuple[np.ndarray, float]:
+    """Weights per feature (already times the log-count ratio) and the intercept, from each text's features.
 
     Newton steps with conjugate gradients on the penalised logistic loss; classes weigh the same in total.
     Without texts of both labels the weights are zero and the score is the share of toxic ones (0 without any).
@@ -77,7 +80,6 @@ def fit(raw: list[bytes], labels: list[int], settings: Settings = Settings()) ->
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return np.zeros(size, np.float32), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    sets = features(raw, settings.bits)
     held, toxic = np.zeros(size), np.zeros(size)
     for own, label in zip(sets, labels, strict=True):
         held[own] += 1
@@ -147,13 +149,36 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_
     return texts_.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
 
+def _written(found: np.ndarray, bits: int) -> bytes:
+    """Feature numbers, or a bit for each possible one where that is shorter: 2^bits / 8 bytes at most."""
+    if 4 * len(found) < (1 << bits) // 8:
+        return np.sort(found).tobytes()
+    held = np.zeros(1 << bits, bool)
+    held[found] = True
+    return np.packbits(held).tobytes()
+
+
+def _read(written: bytes, bits: int) -> np.ndarray:
+    if len(written) < (1 << bits) // 8:
+        return np.frombuffer(written, np.int32)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(written, np.uint8))).astype(np.int32)
+
+
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, settings: Settings = Settings()):
-    """Weights and intercept from the labelled rows whose crc32(doc_id) mod 4 is not 2."""
-    cut, most = F.length("text"), settings.sample_bytes // 2
-    middle = F.when(cut > most, F.expr(f"substring(text, int((length(text) - {most}) / 2) + 1, {most})")).otherwise(F.col("text"))
-    rows = labelled(docs, labels, "toxic", 4, 2, settings.sample).withColumn("text", middle).toArrow().sort_by("doc_id")
-    raw = [x.encode() for x in rows.column("text").to_pylist()]
-    return fit(raw, rows.column("y").to_pylist(), settings)
+    """Weights and intercept from the labelled rows whose crc32(doc_id) mod 4 is not 2.
+
+    Tasks turn whole texts into features; only the distinct feature numbers of the sampled rows are collected.
+    """
+    rows = labelled(docs, labels, "toxic", 4, 2, settings.sample)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [_written(found, settings.bits) for found in features([x.encode() for x in texts(batch)], settings.bits)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(sets, pa.binary())], ["doc_id", "y", "features"])
+
+    rows = rows.select("doc_id", "text", F.col("y").cast("int").alias("y"))
+    found = mapped(rows, work, "doc_id long, y int, features binary").toArrow().sort_by("doc_id")  # `sample` rows at most
+    sets = [_read(x, settings.bits) for x in found.column("features").to_pylist()]
+    return fit_sets(sets, found.column("y").to_pylist(), settings)
 
 
 def scored(docs: DataFrame, weights: np.ndarray, intercept: float, settings: Settings = Settings()) -> DataFrame:
