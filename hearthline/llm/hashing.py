@@ -31,6 +31,9 @@ _PLACE = stream(12, 4096) | U64(1)
 #: Bytes that end a word: space and tab to carriage return.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 9, 10, 11, 12, 13]] = True
+#: Bytes that end a word of ASCII digits and letters and of all other characters beyond ASCII.
+MARKS = np.ones(256, bool)
+MARKS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 #: Lower case for A-Z only.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -44,13 +47,15 @@ def joined(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, starts
 
 
-def words(data: np.ndarray, starts: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, starts: np.ndarray, lower: bool = True, ends: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and first byte of every word, and the index of each text's first word (and the end).
 
+    ends: by byte, whether it stands outside words; a space does.
+
     A word's hash is the sum of a random number per byte times an odd random number per place,
     mod 2^64, mixed with its length.
     """
-    inside = ~SPACES[data]
+    inside = ~ends[data]
     edge = np.diff(inside.astype(np.int8), prepend=np.int8(0))
     first = np.flatnonzero(edge == 1)
     last = np.flatnonzero(edge == -1)  # every text ends with a space

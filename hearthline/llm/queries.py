@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import fixity, licenses, line_rules, multiset, near_dedup, packing, pieces, quality_mil, sharding, toxicity
+from hearthline.llm import centroids, divergence, fixity, licenses, line_rules, multiset, near_dedup, packing, pieces, quality_mil, sharding, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extendible_shards": sharding.op1_extendible_shards,
@@ -19,10 +19,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": licenses.op8_licenses,
     "op9_pieces": pieces.op9_pieces,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_centroids": centroids.op12_centroids,
+    "op13_suffix_arrays": suffixes.op13_suffix_arrays,
 }
 
 ORACLES: dict[str, str] = {
     "op1_extendible_shards": sharding.ORACLE,
     "op5_line_rules": line_rules.ORACLE,
     "op6_fixity": fixity.ORACLE,
+    "op11_divergence": divergence.ORACLE,
+    "op12_centroids": centroids.ORACLE,
+    "op13_suffix_arrays": suffixes.ORACLE,
 }

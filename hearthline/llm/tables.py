@@ -34,12 +34,12 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def steps(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about STEP_BYTES of text each, one row at least."""
+def steps(batch: pa.RecordBatch, text: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `most` bytes of text each, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start = held = 0
     for i, size in enumerate(sizes):
-        if i > start and held + size > STEP_BYTES:
+        if i > start and held + size > most:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += size

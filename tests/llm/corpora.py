@@ -13,6 +13,8 @@ SMALL, TINY = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])
 LABELS = pa.schema([("doc_id", pa.int64()), ("quality", pa.int64()), ("toxic", pa.int64())])
 PAGES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())])
+BENCHMARK = pa.schema([("item_id", pa.int64()), ("text", pa.string())])
+EMBEDDINGS = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int32())])
 
 LINE = "the quick brown fox jumps over the lazy dog near the old river bank"
 LONG = " ".join(f"word{i}" for i in range(30_000))
@@ -38,7 +40,26 @@ AWKWARD = [
     (-5, "negative id " * 30, "s1"),
     (2**62, "a very large id", "s1"),
 ]
-NAMES = ["score", "n_words", "text_hash", "bucket", "h", "shard", "depth", "words", "host", "label", "region", "id", "first", "piece", "kept"]
+_NAN, _INF = float("nan"), float("inf")
+#: vec_id, embedding, label; kept are those with 64 numbers
+VECTORS = [
+    *[(i, [((i * 37 + k * 11) % 23 - 11) / 7 for k in range(64)], i % 3) for i in range(40)],
+    *[(40 + i, [0.5] * 64, None) for i in range(20)],
+    *[(7, [0.25] * 64, 0)] * 3,
+    (None, [0.125] * 64, 0),
+    (None, None, None),
+    (61, None, 0),
+    (62, [], 0),
+    (63, [1.0] * 63, 0),
+    (64, [1.0] * 65, 0),
+    (65, [1.0] * 63 + [None], 0),
+    (66, [1.0] * 63 + [_NAN], 0),
+    (67, [_INF] + [1.0] * 63, 0),
+    (68, [-_INF] + [1.0] * 63, 0),
+    (69, [1e30] + [1.0] * 63, 0),
+    (70, [-1e5] + [1.0] * 63, 0),
+]
+NAMES = ["score", "n_words", "text_hash", "bucket", "h", "shard", "depth", "words", "host", "label", "region", "id", "first", "piece", "kept", "item", "value", "rank", "n", "docs", "size", "terms", "cells", "point", "short", "spans", "items", "text_key"]
 
 
 def frame(rows: list[tuple], extra: bool = False) -> pa.Table:
@@ -49,14 +70,15 @@ def frame(rows: list[tuple], extra: bool = False) -> pa.Table:
     return found
 
 
-def write(folder: Path, rows: list[tuple], extra: bool = False, labels: list[tuple] = (), pages: list[tuple] = ()) -> str:
+def write(folder: Path, rows: list[tuple], extra: bool = False, labels: list[tuple] = (), pages: list[tuple] = (), benchmark: list[tuple] = (), embeddings: list[tuple] = ()) -> str:
     folder.mkdir(parents=True, exist_ok=True)
     pq.write_table(frame(rows, extra), folder / "documents.parquet")
-    for name, schema, data in (("labels", LABELS, labels), ("pages", PAGES, pages)):
-        columns = [list(x) for x in zip(*data, strict=True)] if data else [[], [], []]
+    for name, schema, data in (("labels", LABELS, labels), ("pages", PAGES, pages), ("benchmark", BENCHMARK, benchmark), ("embeddings", EMBEDDINGS, embeddings)):
+        columns = [list(x) for x in zip(*data, strict=True)] if data else [[] for _ in schema]
         found = pa.table(columns, schema=schema)
         if extra:
-            found = found.append_column("digest", pa.array(["x"] * len(found), pa.string())).append_column("text", pa.array(["x"] * len(found), pa.string()))
+            for clashing in {"digest", "text", "point", "words"} - set(found.column_names):
+                found = found.append_column(clashing, pa.array(["x"] * len(found), pa.string()))
         pq.write_table(found, folder / f"{name}.parquet")
     return str(folder)
 
