@@ -1,12 +1,12 @@
 """Order-independent document fingerprints: a homomorphic hash of the multiset of paragraphs.
 
 A paragraph (what stands between line ends, empty ones too) is hashed to a wide vector: EXACT numbers
-mod 2^64 from its bytes, and LIKE numbers mod 2^16 to which each word, with up to two words after it in
+mod 2^64 from its bytes, and LIKE numbers mod 2^32 to which each word, with up to two words after it in
 the paragraph, adds or takes one. A document's fingerprint is the sum of its paragraphs' vectors, so it
 doesn't depend on their order, and paragraphs are put in or taken out by adding or subtracting.
 
 Equal texts have equal fingerprints. How alike two texts are is the cosine of the second parts, read as
-signed numbers, between 0 and 1; equal first parts are 1.
+signed numbers, between 0 and 1; equal first parts are 1. A lane would have to count 2^31 words to change its sign.
 """
 
 from __future__ import annotations
@@ -30,14 +30,14 @@ _NEXT = hashing.stream(31, 2) | U64(1)
 
 
 def fingerprints(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The two parts of each text's fingerprint: a row of EXACT uint64 and a row of LIKE uint16."""
+    """The two parts of each text's fingerprint: a row of EXACT uint64 and a row of LIKE uint32."""
     exact = np.zeros((len(raw), EXACT), U64)
     with np.errstate(over="ignore"):
         for i, one in enumerate(raw):
             digests = b"".join([hashlib.blake2b(p).digest() for p in one.split(b"\n")])
             exact[i] = np.frombuffer(digests, "<u8").reshape(-1, EXACT).sum(0, dtype=U64)
     if not raw:
-        return exact, np.zeros((0, LIKE), np.uint16)
+        return exact, np.zeros((0, LIKE), np.uint32)
     data, starts = hashing.joined(raw)
     word, first, index = hashing.words(data, starts, lower=False)
     text_of = np.repeat(np.arange(len(raw)), np.diff(index))
@@ -51,17 +51,17 @@ def fingerprints(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lane = text_of * LIKE + (near >> U64(56)).astype(np.int64)
     sign = (near & U64(1)).astype(np.float64) * 2 - 1
     like = np.bincount(lane, sign, minlength=len(raw) * LIKE).reshape(-1, LIKE)
-    return exact, like.astype(np.int64).astype(np.uint16)
+    return exact, like.astype(np.int64).astype(np.uint32)
 
 
 def written(exact: np.ndarray, like: np.ndarray) -> list[str]:
     """Each fingerprint as one base64 string, little-endian."""
-    return [base64.b64encode(a.astype("<u8").tobytes() + b.astype("<u2").tobytes()).decode() for a, b in zip(exact, like, strict=True)]
+    return [base64.b64encode(a.astype("<u8").tobytes() + b.astype("<u4").tobytes()).decode() for a, b in zip(exact, like, strict=True)]
 
 
 def read(text: str) -> tuple[np.ndarray, np.ndarray]:
     raw = base64.b64decode(text)
-    return np.frombuffer(raw[: EXACT * 8], "<u8"), np.frombuffer(raw[EXACT * 8 :], "<u2")
+    return np.frombuffer(raw[: EXACT * 8], "<u8"), np.frombuffer(raw[EXACT * 8 :], "<u4")
 
 
 def combine(one: str, other: str, sign: int = 1) -> str:
@@ -71,12 +71,12 @@ def combine(one: str, other: str, sign: int = 1) -> str:
     """
     (a, b), (c, d) = read(one), read(other)
     with np.errstate(over="ignore"):
-        return written((a + U64(sign % 2**64) * c)[None], (b + np.uint16(sign % 2**16) * d)[None])[0]
+        return written((a + U64(sign % 2**64) * c)[None], (b + np.uint32(sign % 2**32) * d)[None])[0]
 
 
 def likeness(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Per row, 0 to 1."""
-    a, b = one[1].astype(np.int16).astype(float), other[1].astype(np.int16).astype(float)
+    a, b = one[1].astype(np.int32).astype(float), other[1].astype(np.int32).astype(float)
     size = np.sqrt((a * a).sum(1) * (b * b).sum(1))
     cosine = np.divide((a * b).sum(1), size, out=np.zeros(len(a)), where=size > 0)
     return np.where((one[0] == other[0]).all(1), 1.0, np.clip(cosine, 0, 1))
