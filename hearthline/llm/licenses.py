@@ -13,6 +13,7 @@ import re
 from dataclasses import dataclass, replace
 from re import _constants, _parser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -265,18 +266,23 @@ def scan(text: str) -> tuple[int, list[tuple[str, int]], list[Detection]]:
     """Number of words, base places (label, first word), and the detections that stay."""
     words = text.encode().translate(_WORDS).split()
     line = b" " + b" ".join(words) + b" "
+    blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)  # the k-th stands before word k
+
+    def word(at: int) -> int:
+        return int(np.searchsorted(blanks, at))
+
     base = []
     for phrase, label in _BASE:
         at = line.find(phrase)
         while at >= 0:
-            base.append((label, line.count(b" ", 0, at)))
+            base.append((label, word(at)))
             at = line.find(phrase, at + 1)
     wanted = sorted(i for keyword, own in _BY_KEYWORD.items() if keyword in line for i in own)
     found = []
     for i in wanted:
         rule = RULES[i]
         for m in rule.pattern.finditer(line):
-            first = line.count(b" ", 0, m.start()) - 1
+            first = word(m.start()) - 1
             found.append(Detection(rule.label, i, first, first + m[0].count(b" "), rule.weight))
     return len(words), sorted(base, key=lambda x: x[1]), _resolved_apart(found)
 
