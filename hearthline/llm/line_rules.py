@@ -27,11 +27,10 @@ _SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Settings:
-    """A line may stand in `docs` documents of a host, and in `share` of them where that is more. A document
-    is depleted with fewer than `least_words` words left, or less than `least_share` of its words."""
+    """A line may stand in `docs` documents of a host, however many the host has. A document is depleted with fewer
+    than `least_words` words left, or less than `least_share` of its words."""
 
     docs: int = 10
-    share: float = 0.005
     least_words: int = 5
     least_share: float = 0.2
     window: int = 5
@@ -115,10 +114,8 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(lines: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """host, line, n_docs of the lines above the limits."""
-    hosts = lines.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    counted = lines.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > settings.docs)
-    return counted.join(hosts, "host").where(F.col("n_docs") > settings.share * F.col("host_docs")).select("host", "line", "n_docs")
+    """host, line, n_docs of the lines above the limit."""
+    return lines.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > settings.docs)
 
 
 def depletion(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -145,7 +142,7 @@ def verdicts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, source, text, clean_text per row: the text without its lines above the limits."""
+    """doc_id, source, text, clean_text per row: the text without its lines above the limit."""
     lines = line_rows(docs)
     gone = lines.join(frequent_lines(lines, settings), ["host", "line"]).groupBy("host", "text_hash").agg(F.collect_set("line").alias("gone"))
     text = F.coalesce("text", F.lit(""))
@@ -162,10 +159,9 @@ def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str, settings: Settings = Settings()) -> DataFrame:
     """The rows of docs, all columns and whole texts, that the rules keep."""
-    bad = verdicts(docs.select("doc_id", "source", "text"), settings).where(~F.col("kept"))
-    bad = bad.select(F.col("host").alias("_rules_host"), F.col("text_hash").alias("_rules_text")).distinct()
-    host, text = F.coalesce("source", F.lit("")), F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(bad, (host == F.col("_rules_host")) & (text == F.col("_rules_text")), "left_anti")
+    bad = verdicts(docs.select("doc_id", "source", "text"), settings).where(~F.col("kept")).select("host", "text_hash").distinct().alias("bad")
+    host, text = F.coalesce("docs.source", F.lit("")), F.xxhash64(F.coalesce("docs.text", F.lit("")))
+    return docs.alias("docs").join(bad, (host == F.col("bad.host")) & (text == F.col("bad.text_hash")), "left_anti")
 
 
 ORACLE = r"""
@@ -191,10 +187,8 @@ WITH docs AS (
   FROM (SELECT r, host, text, unnest(l) AS x FROM words)
 ), frequent AS (
   SELECT host, line, count(DISTINCT text) AS n FROM lines GROUP BY host, line
-), hosts AS (
-  SELECT host, count(DISTINCT text) AS m FROM lines GROUP BY host
 ), removed AS (
-  SELECT host, line FROM frequent JOIN hosts USING (host) WHERE n > 10 AND n > 0.005 * m
+  SELECT host, line FROM frequent WHERE n > 10
 ), lost AS (
   SELECT r, sum(len(string_split(line, ' '))) AS gone FROM lines JOIN removed USING (host, line) GROUP BY r
 ), judged AS (
