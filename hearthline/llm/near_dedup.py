@@ -304,7 +304,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, sett
     key = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     chosen = rows.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(key).alias("one"))
     chosen = chosen.select("one.doc_id", "one.text_hash").alias("c")
-    hashed = "_near_dedup_text_hash"
+    hashed = "text_hash" + "_" * max(map(len, docs.columns))  # longer than any name of docs
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     marked = docs.where(worded).withColumn(hashed, F.xxhash64("text")).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col(f"d.{hashed}") == F.col("c.text_hash"))

@@ -35,14 +35,23 @@ def _prefix(column: str, depth: int) -> Column:
 
 
 def buckets(cells: DataFrame, known: int, depth: int, limit: int) -> DataFrame:
-    """(cell, shard, depth) for cells (cell, bytes) of `depth` bits: the shortest prefix of over `known` bits that
-    fits, or, for a cell that doesn't fit itself, NULL."""
-    lengths = F.sequence(F.lit(known), F.lit(depth))
-    opened = cells.select("cell", "bytes", F.explode(lengths).alias("depth")).withColumn("prefix", F.expr("substring(cell, 1, depth)"))
-    sums = opened.groupBy("depth", "prefix").agg(F.sum("bytes").alias("held"))
-    fitting = opened.join(sums, ["depth", "prefix"]).withColumn("fits", F.col("held") <= limit)
-    shortest = fitting.groupBy("cell").agg(F.min(F.when(F.col("fits"), F.struct("depth", "prefix"))).alias("leaf"))
-    return shortest.select("cell", F.col("leaf.prefix").alias("shard"), F.col("leaf.depth").alias("depth"))
+    """(cell, shard, depth) for cells (cell, bytes) of `depth` bits: the shortest prefix of `known` bits at least that
+    fits, or, for a cell that doesn't fit itself, NULL. Cells without rows may be among them.
+
+    A prefix is a shard if it fits and the one without its last bit doesn't. Sums are combined before they are
+    shuffled, a sum meets its parent's by a key of two rows, and a shard names its cells by counting them up.
+    """
+    opened = cells.select("bytes", F.explode(F.sequence(F.lit(known), F.lit(depth))).alias("depth"), "cell")
+    sums = opened.groupBy("depth", F.expr("substring(cell, 1, depth)").alias("prefix")).agg(F.sum("bytes").alias("held"))
+    parents = sums.where(F.col("held") > limit).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
+    fitting = sums.where(F.col("held") <= limit).withColumn("parent", F.expr("substring(prefix, 1, depth - 1)"))
+    split = fitting.where(F.col("depth") > known).join(parents, ["depth", "parent"], "left_semi")
+    leaves = split.select("prefix", "depth").unionByName(fitting.where(F.col("depth") == known).select("prefix", "depth"))
+    rest = F.lit(depth) - F.col("depth")
+    below = leaves.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), rest).cast("long") - 1)))
+    tail = F.when(rest > 0, F.lpad(F.bin("k"), rest, F.lit("0"))).otherwise("")
+    named = below.select(F.concat("prefix", tail).alias("cell"), F.col("prefix").alias("shard"), "depth")
+    return named.unionByName(cells.where(F.col("bytes") > limit).selectExpr("cell", "cast(NULL AS string) AS shard", "cast(NULL AS int) AS depth"))
 
 
 def sharded(df: DataFrame, hashed: list[str], size: Column, limit: int = LIMIT) -> DataFrame:
@@ -51,8 +60,10 @@ def sharded(df: DataFrame, hashed: list[str], size: Column, limit: int = LIMIT)
     size: bytes of a row, 1 at least. `hashed` names key and content. Columns named shard or depth are replaced.
     Rows come back as often as they were, a page's copies together. Columns must allow grouping (no maps).
     """
-    columns = [c for c in df.columns if c not in ("shard", "depth")]
-    rows = df.select(*columns, bits(*hashed).alias("_bits"), F.greatest(size, F.lit(1)).cast("long").alias("_size"))
+    names = [c for c in df.columns if c not in ("shard", "depth")]
+    columns = [f"c{i}" for i in range(len(names))]  # no name of df meets one used here
+    given = [F.col(f"`{name}`").alias(c) for name, c in zip(names, columns, strict=True)]
+    rows = df.select(*given, bits(*hashed).alias("_bits"), F.greatest(size, F.lit(1)).cast("long").alias("_size"))
     large = rows.where(F.col("_size") > limit)
     rest = rows.where(F.col("_size") <= limit)
     total = rest.agg(F.sum("_size")).first()[0] or 0
@@ -71,7 +82,8 @@ def sharded(df: DataFrame, hashed: list[str], size: Column, limit: int = LIMIT)
             out = out.unionByName(_pages(rest, columns, limit))
             break
         known, depth = depth + 1, min(BITS, depth + 2 * FINER)
-    return out.unionByName(_pages(large, columns, limit)).select(*columns, "shard", "depth")
+    out = out.unionByName(_pages(large, columns, limit))
+    return out.select(*[F.col(c).alias(name) for c, name in zip(columns, names, strict=True)], "shard", "depth")
 
 
 def _pages(equal: DataFrame, columns: list[str], limit: int) -> DataFrame:

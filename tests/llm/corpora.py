@@ -59,7 +59,7 @@ VECTORS = [
     (69, [1e30] + [1.0] * 63, 0),
     (70, [-1e5] + [1.0] * 63, 0),
 ]
-NAMES = ["score", "n_words", "text_hash", "bucket", "h", "shard", "depth", "words", "host", "label", "region", "id", "first", "piece", "kept", "item", "value", "rank", "n", "docs", "size", "terms", "cells", "point", "short", "spans", "items", "text_key"]
+NAMES = ["score", "n_words", "text_hash", "bucket", "h", "shard", "depth", "words", "host", "label", "region", "id", "first", "piece", "kept", "item", "value", "rank", "n", "docs", "size", "terms", "cells", "point", "short", "spans", "items", "text_key", "cell", "_size", "_n", "_bits", "_cell", "c0", "_near_dedup_text_hash", "_rules_host", "bad", "text_hash_________"]
 
 
 def frame(rows: list[tuple], extra: bool = False) -> pa.Table:

@@ -1,8 +1,10 @@
 """Fingerprints, license scans, line rules, shards and archives against brute force and SQL."""
 
 import hashlib
+import random
 import re
 import sys
+import time
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -15,7 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import compare  # noqa: E402
 
-from hearthline.llm import fixity, licenses, line_rules, multiset, sharding  # noqa: E402
+from hearthline.llm import fixity, hashing, licenses, line_rules, multiset, sharding  # noqa: E402
 from hearthline.llm.queries import ORACLES, QUERIES  # noqa: E402
 
 
@@ -236,3 +238,88 @@ def test_repeated_pages_are_records_of_their_own(spark, awkward):
     pages = spark.read.parquet(f"{awkward}/pages.parquet")
     rows = fixity.replicas(pages, fixity.Settings(damage=0)).where("replica = 'a'").collect()
     assert len(rows) == 5 and len({(r["file"], r["offset"]) for r in rows}) == 5
+
+
+@pytest.mark.parametrize("n", [33_000, 40_000, 100_000])
+def test_likeness_of_very_long_equal_words(n):
+    """A lane counts further than 2^15 without changing its sign."""
+    text = "spam " * n
+    one, other = (multiset.fingerprints([x.encode()]) for x in (text, multiset.edited(text, "a few other words")))
+    assert multiset.likeness(one, other)[0] > 0.6
+
+
+def test_fingerprints_are_sums_over_paragraphs():
+    """Each lane recomputed from single words, in Python's whole numbers."""
+    text = "one two three four\n\ntwo  three\none two three four"
+    exact, like = multiset.fingerprints([text.encode()])
+    wanted = [sum(int.from_bytes(hashlib.blake2b(p.encode()).digest()[8 * k : 8 * k + 8], "little") for p in text.split("\n")) % 2**64 for k in range(multiset.EXACT)]
+    assert exact[0].tolist() == wanted
+
+    def word(w):
+        data, starts = hashing.joined([w.encode()])
+        return int(hashing.words(data, starts, lower=False)[0][0])
+
+    weight, lanes = [1, *(int(x) for x in multiset._NEXT)], [0] * multiset.LIKE
+    for p in text.split("\n"):
+        each = [word(w) for w in p.split()]
+        for i in range(len(each)):
+            total = sum(a * b for a, b in zip(each[i : i + 3], weight, strict=False)) % 2**64
+            mixed = int(hashing.mix(np.array([total], np.uint64))[0])
+            lanes[mixed >> 56] += 1 if mixed & 1 else -1
+    assert like[0].astype(np.int32).tolist() == lanes
+
+
+def plain_scan(text):
+    """Every rule, without its keyword, on the whole line; suppression by comparing each with each."""
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", text.encode().lower())
+    line = b" " + b" ".join(words) + b" "
+    found = []
+    for i, rule in enumerate(licenses.RULES):
+        for m in rule.pattern.finditer(line):
+            first = line[: m.start()].count(b" ") - 1
+            found.append(licenses.Detection(rule.label, i, first, first + m[0].count(b" "), rule.weight))
+    return licenses.resolve(found)
+
+
+def test_scan_equals_all_rules_without_keywords():
+    deal = random.Random(4)
+    parts = ["under the MIT License", "Apache License Version 2.0", "CC BY-NC 4.0", "GNU General Public License version 3 or later", "all rights reserved", "licensed under", "the", "public domain", "may not be used to train AI models", "BSD 3-Clause", "copyright 2020", "x"]
+    for _ in range(40):
+        text = " ".join(deal.choice(parts) for _ in range(25))
+        n, base, found = licenses.scan(text)
+        assert found == plain_scan(text)
+        words = re.findall(r"[0-9a-z]+", text.lower())
+        assert n == len(words) and all(words[w] in ("under", "apache", "cc") for _, w in base)
+
+
+def test_scan_of_a_long_text_is_linear():
+    text = "This file is under the MIT License. Apache License Version 2 and CC BY NC apply. " * 8_000
+    took = []
+    for part in (text[: len(text) // 4], text):
+        started = time.process_time()
+        n, base, _ = licenses.scan(part)
+        took.append(time.process_time() - started)
+    assert len(base) == 3 * 8_000 and n - 20 < base[-1][1] < n
+    assert took[1] < 8 * took[0] + 0.5
+
+
+def test_line_limit_does_not_grow_with_the_host(spark):
+    """4000 texts on one host: a line of 10 of them stays, one of 11 goes, and texts made of it are rejected."""
+    own = [(i, f"text number {i} has words of its own such as w{i} x{i} y{i} z{i} and a few more", "hot", None, None) for i in range(4000)]
+    often = [(10_000 + i, "boiler plate line that stands in eleven documents of this host\n" + f"a{i} b", "hot", None, None) for i in range(11)]
+    seldom = [(20_000 + i, "another line that stands in ten documents of this host only\n" + f"c{i} d", "hot", None, None) for i in range(10)]
+    docs = spark.createDataFrame(own + often + seldom, "doc_id long, text string, source string, host string, text_hash string")
+    kept = {r["doc_id"]: r["kept"] for r in line_rules.verdicts(docs).collect()}
+    assert not any(kept[r[0]] for r in often) and all(kept[r[0]] for r in own + seldom)
+    assert {r["doc_id"] for r in line_rules.drop_poor(spark, docs, "").select("doc_id").collect()} == {r[0] for r in own + seldom}
+
+
+def test_buckets_are_the_shortest_prefixes_that_fit(spark):
+    deal = random.Random(6)
+    held = {format(i, "06b"): deal.choice([1, 2, 9, 40, 70]) for i in range(64) if deal.random() < 0.8}
+    rows = sharding.buckets(spark.createDataFrame(list(held.items()), "cell string, bytes long"), 0, 6, 60).collect()
+    found = {r["cell"]: (r["shard"], r["depth"]) for r in rows if r["cell"] in held}
+    assert len({r["cell"] for r in rows}) == len(rows)
+    for cell in held:
+        fits = [d for d in range(7) if sum(v for c, v in held.items() if c.startswith(cell[:d])) <= 60]
+        assert found[cell] == ((cell[: fits[0]], fits[0]) if fits else (None, None))
