@@ -251,6 +251,39 @@ def feature_steps(prefix: str, source: str, kind: str, key: str = "0") -> dict[s
     return steps
 
 
+# Every window and order. The monic orthogonal polynomials of equally spaced points t = -m..m follow from
+# P(k+1) = t P(k) - k^2 (w^2 - k^2) / (4 (4 k^2 - 1)) P(k-1); a fit is the sum of P(t) * sum(P y) / sum(P^2).
+_GRAM_LEVELS = [
+    f"t * p{k - 1} - {(k - 1) ** 2} * (w * w - {(k - 1) ** 2}) / {4.0 * (4 * (k - 1) ** 2 - 1)} * p{k - 2} AS p{k}" for k in range(2, 11)
+]
+_GRAM_TABLE = "SELECT w, t, 1.0::DOUBLE AS p0, t::DOUBLE AS p1 FROM grid_points"
+for _level in _GRAM_LEVELS:
+    _GRAM_TABLE = f"SELECT *, {_level} FROM ({_GRAM_TABLE})"
+SMOOTH_GRID = {
+    "grid_windows": "SELECT CAST(range AS INTEGER) AS w FROM range(11, 102, 2)",
+    "grid_points": "SELECT w, CAST(unnest(range(-(w // 2), w // 2 + 1)) AS INTEGER) AS t FROM grid_windows",
+    "gram_table": _GRAM_TABLE,
+    "gram_long": " UNION ALL ".join(
+        f"SELECT w, t, {k} AS k, p{k} / sqrt(sum(p{k} * p{k}) OVER (PARTITION BY w)) AS p FROM gram_table" for k in range(11)
+    ),
+    "grid_rows": """
+        SELECT *, row_number() OVER (ORDER BY month_end) - 1 AS pos, count(*) OVER () AS n FROM rate""",
+    "grid_outputs": """
+        SELECT month_end, w, pos, greatest(0, least(pos - w // 2, n - w)) + w // 2 AS mid FROM grid_rows, grid_windows WHERE w <= n""",
+    "grid_products": """
+        SELECT g.w, g.mid, k, count(v.apr) AS known, sum(v.apr * p) AS c
+        FROM (SELECT DISTINCT w, mid FROM grid_outputs) g JOIN gram_long l ON l.w = g.w JOIN grid_rows v ON v.pos = g.mid + l.t
+        GROUP BY ALL""",
+    "grid_fits": """
+        SELECT o.month_end, o.w, l.k, c.known, sum(c.c * l.p) OVER (PARTITION BY o.w, o.pos ORDER BY l.k) AS fit
+        FROM grid_outputs o JOIN grid_products c ON c.w = o.w AND c.mid = o.mid
+        JOIN gram_long l ON l.w = o.w AND l.k = c.k AND l.t = o.pos - o.mid""",
+    "smooth_grid": """
+        SELECT w AS window_length, CAST(range AS INTEGER) AS poly_order, r.month_end, CASE WHEN known = w THEN fit END AS apr_savgol
+        FROM grid_rows r CROSS JOIN grid_windows CROSS JOIN range(1, 11) LEFT JOIN grid_fits f USING (month_end, w)
+        WHERE f.k = range OR f.k IS NULL""",
+}
+
 PRICE_COLUMNS = ["apr_savgol", "hpi_sa_savgol", "apr_savgol_div_1", "apr_savgol_div_2"]
 RENT_COLUMNS = ["fmr", "apr_savgol", "apr_savgol_div_1"]
 SEASONAL = [f"{w}{h}_month" for h in range(1, 7) for w in ("sin", "cos") if (w, h) != ("sin", 6)]
@@ -490,12 +523,35 @@ def fitted_scores(p: str, prepared: str, base: list[str]) -> str:
         LEFT JOIN v_density d ON d.urban_code = b.urban_code"""
 
 
-FITTED_DIP = {
+FITTED_DIPS = {
     **BOTH_LASSOS,
-    **scenario_steps([85]),
+    **scenario_steps(list(range(131))),
     "price_scores": fitted_scores("lp", "price_prepared", PRICE_COLUMNS),
     "rent_scores": fitted_scores("lr", "rent_prepared", RENT_COLUMNS),
 }
+# A month's cost as a line over the dip. A line is lowest between its last crossing with a steeper one and its
+# first with a flatter one.
+ENVELOPE = {
+    "cost_lines": """
+        SELECT buy_code, buy_rooms, rent_code, rent_rooms, month_end,
+               max(total_cost_kusd) FILTER (dip = 0) AS a, (max(total_cost_kusd) FILTER (dip = 130) - a) / 130 AS b
+        FROM all_costs WHERE month_end > DATE '2001-08-31' GROUP BY ALL""",
+    "stretches": """
+        SELECT i.buy_code, i.buy_rooms, i.rent_code, i.rent_rooms, i.month_end AS best_date, i.a, i.b,
+               greatest(0, coalesce(max((i.a - j.a) / (j.b - i.b)) FILTER (j.b > i.b), 0)) AS low,
+               least(130, coalesce(min((j.a - i.a) / (i.b - j.b)) FILTER (j.b < i.b), 130)) AS high
+        FROM cost_lines i JOIN cost_lines j USING (buy_code, buy_rooms, rent_code, rent_rooms)
+        GROUP BY ALL HAVING count(*) FILTER (j.b = i.b AND (j.a, j.month_end) < (i.a, i.month_end)) = 0""",
+}
+
+
+def envelope(digits: int) -> str:
+    ends = {"low": "low", "high": "high", "value_low": "a + b * low", "value_high": "a + b * high"}
+    return "SELECT buy_code, buy_rooms, rent_code, rent_rooms, best_date, " + ", ".join(
+        f"{fixed(e, digits)} AS {name}" for name, e in ends.items()
+    ) + " FROM stretches WHERE high > low"
+
+
 ONE_DIP, DIP_GRID = scenario_steps([85]), scenario_steps(list(range(131)))
 COSTS = ["price_kusd", "rent_kusd", "total_cost_kusd"]
 CHOICE = "SELECT * FROM all_costs WHERE buy_code = 1 AND buy_rooms = 1 AND rent_code = 1 AND rent_rooms = 1"
@@ -567,12 +623,7 @@ ORACLES: dict[str, str] = {
         {"smooth": savgol("hpi_places", "place_name", ["hpi_sa"])},
     ),
     "savgol_sweep": statement(
-        " UNION ALL ".join(
-            f"""SELECT {w} AS window_length, {p} AS poly_order, month_end, {columns(['apr_savgol'], 8)}
-                FROM sweep_{w}_{p}"""
-            for w, p in ((11, 1), (21, 1), (11, 3))
-        ),
-        {f"sweep_{w}_{p}": savgol("rate", "0", ["apr"], w, p) for w, p in ((11, 1), (21, 1), (11, 3))},
+        f"SELECT window_length, poly_order, month_end, {columns(['apr_savgol'], 7)} FROM smooth_grid", SMOOTH_GRID
     ),
     "gradient_1": statement(
         f"SELECT place_name, month_end, {columns(['hpi_sa', 'hpi_sa_div_1'], 6)} FROM g1",
@@ -722,6 +773,8 @@ ORACLES: dict[str, str] = {
             FROM all_costs WHERE month_end > DATE '2001-08-31'
             QUALIFY row_number() OVER (PARTITION BY dip, buy_code, buy_rooms, rent_code, rent_rooms
                                        ORDER BY total_cost_kusd, month_end) = 1""",
-        FITTED_DIP,
+        FITTED_DIPS,
     ),
+    "best_date_by_dip": statement(envelope(6), {**scenario_steps([0, 130]), **ENVELOPE}),
+    "fitted_best_date_by_dip": statement(envelope(3), {**FITTED_DIPS, **dip_steps([0, 130]), **ENVELOPE}),
 }

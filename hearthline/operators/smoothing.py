@@ -12,22 +12,88 @@ from ..functions.numbers import number_array
 from .series import series_order
 
 
-def savgol_weights(window_length: int, poly_order: int) -> np.ndarray:
-    """Fitted values as weights of the window's values: row r predicts point r.
+def savgol_basis(window_length: int, poly_order: int) -> np.ndarray:
+    """Orthonormal polynomials of orders 0..``poly_order`` at the window's points, one per column.
 
-    The matrix projects onto polynomials of ``poly_order``. Its middle row smooths the
-    interior; the other rows evaluate the first or last window's polynomial at the ends.
-    Points are scaled to [-1, 1] and orthonormalised, which stays accurate for high orders.
+    Points are scaled to [-1, 1] before, which stays accurate for high orders.
     """
     if window_length < 1 or window_length % 2 == 0:
         raise ValueError(f"window_length must be odd and positive, not {window_length}")
     if not 0 <= poly_order < window_length:
         raise ValueError(f"poly_order must be in 0..{window_length - 1}, not {poly_order}")
     x = np.linspace(-1.0, 1.0, window_length)
-    basis, _ = np.linalg.qr(np.polynomial.legendre.legvander(x, poly_order))
+    return np.linalg.qr(np.polynomial.legendre.legvander(x, poly_order))[0]
+
+
+def savgol_weights(window_length: int, poly_order: int) -> np.ndarray:
+    """Fitted values as weights of the window's values: row r predicts point r.
+
+    The matrix projects onto polynomials of ``poly_order``. Its middle row smooths the
+    interior; the other rows evaluate the first or last window's polynomial at the ends.
+    """
+    basis = savgol_basis(window_length, poly_order)
     return basis @ basis.T
 
 
+def savgol_grid(
+    df: DataFrame,
+    column: str,
+    windows: Sequence[int],
+    orders: Sequence[int],
+    *,
+    keys: Sequence[str] = (),
+    order_by: str = "month_end",
+) -> DataFrame:
+    """``column`` smoothed with every window length and polynomial order, in one pass: ``keys``, ``order_by``,
+    ``window_length``, ``poly_order`` and ``<column>_savgol``.
+
+    A fit of order p is the sum of the first p + 1 orthogonal polynomials, each times its product with the
+    window's values. So all orders of a window share one set of products, summed in a hash aggregate keyed by window
+    and start; the polynomials are a table with a row per window and point, which meets the values by these keys. Each
+    start then gives the outputs that it is the window of: its middle, and at the ends of the series its first or last
+    half too. NULL where a window holds a NULL, or the series is shorter than the window. Orders that a window has
+    too few points for are an error.
+    """
+    spark, top = df.sparkSession, max(orders)
+    names = [f"b{k}" for k in range(top + 1)]
+    rows = [(w, j, *map(float, b)) for w in sorted(set(windows)) for j, b in enumerate(savgol_basis(w, top))]
+    basis = spark.createDataFrame(rows, "w int, j int, " + ", ".join(f"{b} double" for b in names))
+    part = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    numbered = df.selectExpr(
+        *keys,
+        order_by,
+        column,
+        f"cast(row_number() OVER ({series_order(keys, order_by)}) - 1 AS int) AS pos",
+        f"cast(count(1) OVER ({part}) AS int) AS n",
+    )
+    lengths = f"array({', '.join(map(str, sorted(set(windows))))})"
+    opened = numbered.selectExpr("*", f"explode({lengths}) AS w")
+    # Each value takes part in the windows that hold it.
+    fitting = opened.filter("w <= n").selectExpr(
+        *keys, column, "pos", "n", "w", "explode(sequence(greatest(0, pos - w + 1), least(pos, n - w))) AS start"
+    )
+    products = (
+        fitting.selectExpr(*keys, column, "n", "w", "start", "pos - start AS j")
+        .join(basis, ["w", "j"])
+        .groupBy(*keys, "n", "w", "start")
+        .agg(F.count(column).alias("known"), *[F.expr(f"sum({b} * {column}) AS c{k}") for k, b in enumerate(names)])
+    )
+    # The middle; the first window also the points before it, the last one those after it.
+    points = products.selectExpr(
+        "*",
+        "explode(sequence(CASE WHEN start = 0 THEN 0 ELSE w div 2 END, CASE WHEN start = n - w THEN w - 1 ELSE w div 2 END)) AS j",
+    ).join(basis, ["w", "j"])
+    terms = ["c0 * b0"]
+    for k in range(1, top + 1):
+        terms.append(f"{terms[-1]} + c{k} * b{k}")
+    each = ", ".join(f"struct({p} AS poly_order, CASE WHEN known = w THEN {terms[p]} END AS {column}_savgol)" for p in orders)
+    smooth = points.selectExpr(*keys, "cast(start + j AS int) AS pos", "w AS window_length", f"inline(array({each}))")
+    none = ", ".join(f"struct({p} AS poly_order, cast(NULL AS double) AS {column}_savgol)" for p in orders)
+    short = opened.filter("w > n").selectExpr(*keys, "pos", "w AS window_length", f"inline(array({none}))")
+    dated = numbered.select(*keys, "pos", order_by)
+    return smooth.unionByName(short).join(dated, [*keys, "pos"]).drop("pos")
+
+
 def savgol(
     df: DataFrame,
     columns: Sequence[str],

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from ..functions import calendar as cal
 from ..functions.numbers import fixed
 from ..functions.seasonal import MAX_HARMONICS, with_harmonics
 from ..operators import gram, relational, series, smoothing, trend
+from ..operators.envelope import on_grid
 from ..sources import tpch
 from . import panels
 from . import scenario as sc
@@ -44,7 +45,9 @@ DIP_GRID = tuple(range(131))
 AS_OF = "2001-08-31"
 BUY, RENT_IN = (1, 1), (1, 1)
 SLICE = (1, 3)
-SWEEP = ((11, 1), (21, 1), (11, 3))
+# The smoother's windows and orders that can be chosen.
+WINDOWS = tuple(range(11, 102, 2))
+ORDERS = tuple(range(1, 11))
 
 
 class Inputs:
@@ -259,17 +262,10 @@ def savgol_smooth(i: Inputs) -> DataFrame:
     return smoothing.savgol(i.places, ["hpi_sa"], 11, 3, keys=["place_name"])
 
 
-@query(8)
+@query(7)
 def savgol_sweep(i: Inputs) -> DataFrame:
-    """The rate smoothed with several windows and orders."""
-    rate = i.prices_only.rate
-    sweeps = [
-        smoothing.savgol(rate, ["apr"], w, p).select(
-            F.lit(w).alias("window_length"), F.lit(p).alias("poly_order"), "month_end", "apr_savgol"
-        )
-        for w, p in SWEEP
-    ]
-    return reduce(DataFrame.unionByName, sweeps)
+    """The rate smoothed with every window and order that can be chosen."""
+    return smoothing.savgol_grid(i.prices_only.rate, "apr", WINDOWS, ORDERS)
 
 
 @query()
@@ -459,8 +455,26 @@ def scenario_grid(i: Inputs) -> DataFrame:
     return i.market.scenario_grid(i.outlook(*DIP_GRID), AS_OF)
 
 
+def _best_by_dip(i: Inputs, prices: DataFrame, rents: DataFrame) -> DataFrame:
+    low, high = DIP_GRID[0], DIP_GRID[-1]
+    return i.market.best_date_by_dip(i.market.outlook(prices, rents, [low, high]), AS_OF, low=low, high=high)
+
+
+@query()
+def best_date_by_dip(i: Inputs) -> DataFrame:
+    """From which dip to which a date is the best, for every choice."""
+    return _best_by_dip(i, i.fixed_price_models, i.fixed_rent_models)
+
+
+@query(3)
+def fitted_best_date_by_dip(i: Inputs) -> DataFrame:
+    """The same with fitted models."""
+    return _best_by_dip(i, i.market.price_model.fit_all(), i.market.rent_model.fit_all())
+
+
 @query(3)
 def fitted_scenario_grid(i: Inputs) -> DataFrame:
-    """The whole way: both kinds of models fitted, history and future scored, the best date of every choice."""
-    prices, rents = i.market.price_model.fit_all(), i.market.rent_model.fit_all()
-    return i.market.scenario_grid(i.market.outlook(prices, rents, [DIP]), AS_OF)
+    """The whole way: both kinds of models fitted, history and future scored, the best date of every choice at every
+    dip of the grid, read off the lines of two dips."""
+    found = fitted_best_date_by_dip(i)
+    return on_grid(found, "dip", first=DIP_GRID[0], last=DIP_GRID[-1], value="total_cost_kusd")

@@ -203,3 +203,7 @@ class MarketData:
 
     def scenario_grid(self, outlook: Outlook, as_of: dt.date | str) -> DataFrame:
         return sc.scenario_grid(outlook.prices, self.rents_until(outlook), as_of)
+
+    def best_date_by_dip(self, outlook: Outlook, as_of: dt.date | str, *, low: float, high: float) -> DataFrame:
+        """Best date of every choice for every real dip between the two that ``outlook`` holds."""
+        return sc.best_date_by_dip(outlook.prices, self.rents_until(outlook), as_of, low, high)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import day
 from ..operators.cost import best_date, rent_paid, total_cost
+from ..operators.envelope import lower_envelope
 from ..operators.relational import market
 from ..operators.reshape import append_rows
 from ..operators.series import month_ends_after
@@ -115,11 +116,13 @@ def choice_costs(
     return total_cost(bought, rented, on=["dip", "month_end"])
 
 
-def scenario_grid(prices: DataFrame, rents: DataFrame, as_of: dt.date | str) -> DataFrame:
-    """Best date for every dip, market to buy in and market to rent in.
+CHOICE = ["buy_code", "buy_rooms", "rent_code", "rent_rooms"]
+
+
+def all_costs(prices: DataFrame, rents: DataFrame, as_of: dt.date | str) -> DataFrame:
+    """Cost after ``as_of`` of each market to buy in and market to rent in, per dip and month-end.
 
-    Both sides are at most twelve markets per dip and month and meet on (dip, month); the
-    cheapest date is combined before the shuffle.
+    Both sides are at most twelve markets per dip and month and meet on (dip, month).
     """
     later = F.col("month_end") > day(as_of)
     bought = prices.filter(later).select(
@@ -128,5 +131,23 @@ def scenario_grid(prices: DataFrame, rents: DataFrame, as_of: dt.date | str) ->
     rented = rents.filter(later).select(
         "dip", "month_end", F.col("urban_code").alias("rent_code"), F.col("rooms").alias("rent_rooms"), "rent_paid"
     )
-    costs = total_cost(bought, rented, on=["dip", "month_end"])
-    return best_date(costs, as_of, by=["dip", "buy_code", "buy_rooms", "rent_code", "rent_rooms"])
+    return total_cost(bought, rented, on=["dip", "month_end"])
+
+
+def scenario_grid(prices: DataFrame, rents: DataFrame, as_of: dt.date | str) -> DataFrame:
+    """Best date for every dip, market to buy in and market to rent in; combined before the shuffle."""
+    return best_date(all_costs(prices, rents, as_of), as_of, by=["dip", *CHOICE])
+
+
+def best_date_by_dip(prices: DataFrame, rents: DataFrame, as_of: dt.date | str, low: float, high: float) -> DataFrame:
+    """Best date of every market to buy in and market to rent in, for every real dip from ``low`` to ``high``.
+
+    ``prices`` and ``rents`` hold these two dips. Smoothing, lines, the dip and linear scores all are linear in the
+    dip, and so is the rent paid: the cost of buying at a month-end is a line over the dip, and two of its values
+    give it. The best date is the lowest line; work doesn't depend on how many dips are asked for.
+    """
+    at = lambda dip: F.max(F.when(F.col("dip") == float(dip), F.col("total_cost_kusd")))
+    lines = all_costs(prices, rents, as_of).groupBy(*CHOICE, "month_end").agg(at(low).alias("at_low"), at(high).alias("at_high"))
+    lines = lines.withColumn("slope", (F.col("at_high") - F.col("at_low")) / (float(high) - float(low)))
+    found = lower_envelope(lines, keys=CHOICE, label="month_end", at_low="at_low", slope="slope", low=low, high=high)
+    return found.withColumnRenamed("month_end", "best_date")

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from hearthline.operators import smoothing
 from hearthline.operators.smoothing import gradient, savgol, savgol_weights
 from helpers import column, monthly
 
@@ -98,3 +99,58 @@ def test_gradient_takes_its_ends_by_place_not_by_missing_neighbours(spark):
 
 def test_gradient_of_a_line_is_constant(spark):
     assert column(gradient(monthly(spark, [3.0 * i for i in range(9)]), "v", 1), "v_div_1") == [3.0] * 9
+
+
+def by_least_squares(values, window, order):
+    """Each output from a fit to its own window."""
+    n, half, out = len(values), window // 2, []
+    if n < window:
+        return [None] * n
+    for i in range(n):
+        start = max(0, min(i - half, n - window))
+        own = values[start : start + window]
+        if any(v is None for v in own):
+            out.append(None)
+            continue
+        x = (np.arange(window) - half) / half
+        out.append(float(np.polynomial.Chebyshev.fit(x, own, order)((i - start - half) / half)))
+    return out
+
+
+def test_grid_equals_least_squares_in_each_window(spark):
+    random = np.random.default_rng(4)
+    values = [float(v) for v in random.normal(size=40).cumsum()]
+    windows, orders = (11, 13, 21, 39, 41), (1, 2, 5, 10)
+    df = smoothing.savgol_grid(monthly(spark, values), "v", windows, orders)
+    rows = {(r["window_length"], r["poly_order"], r["month_end"]): r["v_savgol"] for r in df.collect()}
+    assert len(rows) == len(windows) * len(orders) * 40
+    dates = [r["month_end"] for r in monthly(spark, values).orderBy("month_end").collect()]
+    for w in windows:
+        for p in orders:
+            wanted = by_least_squares(values, w, p)
+            assert [rows[w, p, d] for d in dates] == [v if v is None else pytest.approx(v, abs=1e-8) for v in wanted]
+
+
+def test_grid_keeps_series_apart_and_blanks_windows_with_gaps(spark):
+    values = [float(i * i % 17) for i in range(30)]
+    holed = [None if i == 8 else v for i, v in enumerate(values)]
+    series = monthly(spark, values).selectExpr("'a' AS s", "*").union(monthly(spark, holed).selectExpr("'b' AS s", "*"))
+    series = series.union(monthly(spark, values[:5]).selectExpr("'c' AS s", "*"))
+    df = smoothing.savgol_grid(series, "v", [11], [3], keys=["s"])
+    rows = {s: [r["v_savgol"] for r in df.where(f"s = '{s}'").orderBy("month_end").collect()] for s in "abc"}
+    assert rows["a"] == [pytest.approx(v, abs=1e-9) for v in by_least_squares(values, 11, 3)]
+    assert rows["b"] == [v if v is None else pytest.approx(v, abs=1e-9) for v in by_least_squares(holed, 11, 3)]
+    assert rows["c"] == [None] * 5 and None in rows["b"] and rows["b"][-1] is not None
+
+
+def test_grid_equals_the_single_smoother(spark):
+    values = [float((i * 7) % 11) for i in range(25)]
+    one = smoothing.savgol(monthly(spark, values), ["v"], 11, 3).orderBy("month_end").collect()
+    grid = smoothing.savgol_grid(monthly(spark, values), "v", [11, 13], [1, 3]).where("window_length = 11 AND poly_order = 3").orderBy("month_end").collect()
+    assert [r["v_savgol"] for r in grid] == [pytest.approx(r["v_savgol"], abs=1e-10) for r in one]
+
+
+def test_grid_reads_its_series_once(spark):
+    df = smoothing.savgol_grid(monthly(spark, [1.0] * 20), "v", range(11, 102, 2), range(1, 11))
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Union") == 1 and "CartesianProduct" not in text
