@@ -408,11 +408,11 @@ RENT_TRAINING = {
 }
 
 
-def lasso_steps(p: str, folded: str, base: list[str], sweeps: int = 150) -> dict[str, str]:
+def lasso_steps(p: str, folded: str, base: list[str], alphas: tuple = (0.1, 10, 1000)) -> dict[str, str]:
     """Cross-validated lasso of every market, straight from the training rows.
 
     Problem ``k`` is trained on the rows of the other folds; -1 is the refit on all rows. Each
-    recursion is one sweep of coordinate descent over the weights of all problems.
+    recursion is one sweep of coordinate descent over the weights of all problems that haven't come to rest.
     """
     terms = [*base, *SEASONAL]
     n = len(terms)
@@ -448,23 +448,26 @@ def lasso_steps(p: str, folded: str, base: list[str], sweeps: int = 150) -> dict
         f"{p}_problems": f"""
             SELECT {problem}, alpha, h, corr, xy, [{limits}] AS top, mean, sd, y_mean
             FROM {p}_corr JOIN {p}_lists USING ({problem})
-            CROSS JOIN (VALUES (0.1::DOUBLE), (10), (1000)) AS a(alpha)
+            CROSS JOIN (VALUES {', '.join(f'({a}::DOUBLE)' for a in alphas)}) AS a(alpha)
             CROSS JOIN (SELECT CAST(range AS INTEGER) AS h FROM range(7))""",
         f"{p}_descent": f"""
-            SELECT {problem}, alpha, h, 0 AS sweep, [{', '.join(['0.0::DOUBLE'] * n)}] AS w FROM {p}_problems
+            SELECT {problem}, alpha, h, 0 AS sweep, [{', '.join(['0.0::DOUBLE'] * n)}] AS w, 1.0::DOUBLE AS moved FROM {p}_problems
             UNION ALL
-            SELECT d.urban_code, d.rooms, d.k, d.alpha, d.h, sweep + 1,
+            SELECT {problem}, alpha, h, sweep, w, list_max(list_transform(w, lambda v, i: abs(v - old[i]))) / (1 + list_max(list_transform(w, lambda v: abs(v))))
+            FROM (
+            SELECT d.urban_code, d.rooms, d.k, d.alpha, d.h, sweep + 1 AS sweep, d.w AS old,
                    list_reduce([{coordinates}], lambda acc, c: list_transform(acc, lambda v, i:
                      CASE WHEN i <> c[1] THEN v
                           ELSE sign(xy[i] - list_dot_product(corr[i], acc) + v)
-                               * greatest(abs(xy[i] - list_dot_product(corr[i], acc) + v) - top[i], 0) END), d.w)
+                               * greatest(abs(xy[i] - list_dot_product(corr[i], acc) + v) - top[i], 0) END), d.w) AS w
             FROM {p}_descent d JOIN {p}_problems q ON d.urban_code = q.urban_code AND d.rooms = q.rooms
              AND d.k = q.k AND d.alpha = q.alpha AND d.h = q.h
-            WHERE sweep < {sweeps}""",
+            WHERE moved > 1e-14)""",
+        f"{p}_rest": f"SELECT {problem}, alpha, h, arg_max(w, sweep) AS w FROM {p}_descent GROUP BY ALL",
         f"{p}_fits": f"""
             SELECT {problem}, alpha, h, list_transform(w, lambda v, i: v / sd[i]) AS coef,
                    y_mean - list_dot_product(coef, mean) AS intercept
-            FROM {p}_descent JOIN {p}_problems USING ({problem}, alpha, h) WHERE sweep = {sweeps}""",
+            FROM {p}_rest JOIN {p}_problems USING ({problem}, alpha, h)""",
         f"{p}_held": f"""
             SELECT f.urban_code, f.rooms, k, alpha, h, target,
                    intercept + list_dot_product(coef, [{values}]) AS fitted
@@ -481,9 +484,53 @@ def lasso_steps(p: str, folded: str, base: list[str], sweeps: int = 150) -> dict
 
 LASSO = {**TRAINING, **lasso_steps("lp", "folded", PRICE_COLUMNS)}
 BOTH_LASSOS = {**LASSO, **RENT_TRAINING, **lasso_steps("lr", "rent_folded", RENT_COLUMNS)}
-PRICE_COEFS = ", ".join(
-    f"{fixed(f'coef[{i}]', 4)} AS coef_{t}" for i, t in enumerate([*PRICE_COLUMNS, *SEASONAL], 1)
-)
+
+# Targets with a planted signal: a series, as many cosines as the codes say, and the actual target as noise.
+WAVES = " + ".join(f"CASE WHEN (urban_code + 3 * rooms) % 6 >= {h - 1} THEN cos({h} * 2 * pi() * month(month_end) / 12) ELSE 0 END" for h in range(1, 7))
+
+
+def planted(source: str, signal: str, height: float, noise: tuple) -> str:
+    share = f"CASE urban_code WHEN 1 THEN {noise[0]} WHEN 2 THEN {noise[1]} ELSE {noise[2]} END"
+    return f"SELECT * REPLACE (CAST({signal} + {height} * ({WAVES}) + {share} * target AS DOUBLE) AS target) FROM {source}"
+
+
+FOLD = "CAST((row_number() OVER (PARTITION BY urban_code, rooms ORDER BY md5(CAST(month_end AS VARCHAR) || '|20')) - 1) % 5 AS INTEGER) AS fold"
+PLANTED_ROWS = {
+    **TRAINING,
+    **RENT_TRAINING,
+    "rent_training": """
+        SELECT t.*, f.* EXCLUDE (month_end, series_key) FROM rent_targets t JOIN rent_f_prepared f USING (month_end)""",
+    "planted_prices": planted("training", "3.0 * hpi_sa_savgol", 40.0, (0.1, 0.6, 4.0)),
+    "planted_rents": planted("rent_training", "fmr", 200.0, (0.02, 0.1, 2.0)),
+    "pp_folded": f"SELECT *, {FOLD} FROM (SELECT *, {SEASONAL_SELECT} FROM planted_prices WHERE urban_code <= 3)",
+    "pr_folded": f"SELECT *, {FOLD} FROM (SELECT *, {SEASONAL_SELECT} FROM planted_rents WHERE urban_code <= 3)",
+}
+PLANTED = {**PLANTED_ROWS, **lasso_steps("pp", "pp_folded", PRICE_COLUMNS), **lasso_steps("pr", "pr_folded", RENT_COLUMNS)}
+PATH_ALPHAS = (0.01, 0.03, 0.3, 1.0, 3.0, 30.0, 100.0)
+
+
+def planted_model(p: str, kind: str, base: list[str]) -> str:
+    """Best models with the columns of both kinds; a column that a kind doesn't read has no weight."""
+    every = [*PRICE_COLUMNS, *(c for c in RENT_COLUMNS if c not in PRICE_COLUMNS), *SEASONAL]
+    own = [*base, *SEASONAL]
+    coefs = ", ".join(
+        f"{fixed(f'coef[{own.index(t) + 1}]', 4) if t in own else '0.0::DOUBLE'} AS coef_{t}" for t in every
+    )
+    return f"""
+        SELECT '{kind}' AS kind, b.urban_code, b.rooms, density, b.alpha, b.h AS harmonics, {fixed('b.r2', 4)} AS r2,
+               {fixed('intercept', 4)} AS intercept, {coefs}
+        FROM {p}_best b JOIN {p}_fits f ON f.k = -1 AND b.urban_code = f.urban_code AND b.rooms = f.rooms
+         AND b.alpha = f.alpha AND b.h = f.h
+        LEFT JOIN v_density d ON d.urban_code = b.urban_code"""
+
+
+def price_coefs(digits: int) -> str:
+    return ", ".join(
+        f"{fixed(f'coef[{i}]', digits)} AS coef_{t}" for i, t in enumerate([*PRICE_COLUMNS, *SEASONAL], 1)
+    )
+
+
+PRICE_COEFS = price_coefs(4)
 
 RENT_COEFS = ", ".join(
     f"{fixed(f'coef[{i}]', 4)} AS coef_{t}" for i, t in enumerate([*RENT_COLUMNS, *SEASONAL], 1)
@@ -733,7 +780,7 @@ ORACLES: dict[str, str] = {
     ),
     "score_table": statement(
         f"""SELECT p.rooms, p.urban_code, density, {fixed('p.r2', 6)} AS r2_price, {fixed('r.r2', 6)} AS r2_rent,
-                   printf('%.2f', p.r2) AS r2_price_label, p.r2 < 0.5 AS weak_price_fit
+                   printf('%.2f', p.r2) AS r2_price_label, printf('%.2f', r.r2) AS r2_rent_label, p.r2 < 0.5 AS weak_price_fit
             FROM lp_best p JOIN lr_best r ON p.urban_code = r.urban_code AND p.rooms = r.rooms
             LEFT JOIN v_density d ON d.urban_code = p.urban_code""",
         BOTH_LASSOS,
@@ -775,6 +822,42 @@ ORACLES: dict[str, str] = {
                                        ORDER BY total_cost_kusd, month_end) = 1""",
         FITTED_DIPS,
     ),
+    "planted_targets": statement(
+        f"""SELECT 'price' AS kind, month_end, urban_code, rooms, {columns(['target'], 6)} FROM planted_prices
+            UNION ALL SELECT 'rent', month_end, urban_code, rooms, {columns(['target'], 6)} FROM planted_rents""",
+        PLANTED_ROWS,
+    ),
+    "planted_cv_scores": statement(
+        f"""SELECT 'price' AS kind, urban_code, rooms, alpha, h AS harmonics, {columns(['r2'], 6)} FROM pp_scores_cv
+            UNION ALL SELECT 'rent', urban_code, rooms, alpha, h, {columns(['r2'], 6)} FROM pr_scores_cv""",
+        PLANTED,
+    ),
+    "planted_models": statement(
+        f"{planted_model('pp', 'price', PRICE_COLUMNS)} UNION ALL {planted_model('pr', 'rent', RENT_COLUMNS)}", PLANTED
+    ),
+    "planted_score_table": statement(
+        f"""SELECT p.rooms, p.urban_code, density, {fixed('p.r2', 6)} AS r2_price, {fixed('r.r2', 6)} AS r2_rent,
+                   printf('%.2f', p.r2) AS r2_price_label, printf('%.2f', r.r2) AS r2_rent_label, p.r2 < 0.5 AS weak_price_fit
+            FROM pp_best p JOIN pr_best r ON p.urban_code = r.urban_code AND p.rooms = r.rooms
+            LEFT JOIN v_density d ON d.urban_code = p.urban_code""",
+        PLANTED,
+    ),
+    "lasso_path": statement(
+        f"""SELECT f.urban_code, f.rooms, f.alpha, f.h AS harmonics, {fixed('s.r2', 2)} AS r2, {columns(['intercept'], 2)}, {price_coefs(2)}
+            FROM pa_fits f JOIN pa_scores_cv s ON f.k = -1 AND s.urban_code = f.urban_code AND s.rooms = f.rooms
+             AND s.alpha = f.alpha AND s.h = f.h""",
+        {**PLANTED_ROWS, **lasso_steps("pa", "pp_folded", PRICE_COLUMNS, PATH_ALPHAS)},
+    ),
+    "planted_best_date_by_dip": statement(
+        envelope(3),
+        {
+            **PLANTED,
+            **scenario_steps([0, 130]),
+            "price_scores": fitted_scores("pp", "price_prepared", PRICE_COLUMNS),
+            "rent_scores": fitted_scores("pr", "rent_prepared", RENT_COLUMNS),
+            **ENVELOPE,
+        },
+    ),
     "best_date_by_dip": statement(envelope(6), {**scenario_steps([0, 130]), **ENVELOPE}),
     "fitted_best_date_by_dip": statement(envelope(3), {**FITTED_DIPS, **dip_steps([0, 130]), **ENVELOPE}),
 }

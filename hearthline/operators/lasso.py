@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 
 from ..functions.seasonal import harmonic_names
 from .gram import ONE
+from .path import lasso_path, weights_at
 
 # The candidate grid.
 ALPHAS = (0.1, 10.0, 1000.0)
 HARMONICS = (0, 1, 2, 3, 4, 5, 6)
 
+#: Tasks over which markets are dealt: some for each of two kinds of twelve markets.
+SPREAD = 48
+
 _TOLERANCE, _MAX_SWEEPS, _SWEEPS_PER_CHECK, _MAX_STEPS = 1e-13, 4_000, 5, 500
 
 # Workers get this module's functions with the task and need no copy of the package.
@@ -111,7 +115,18 @@ def _training_moments(gram: np.ndarray):
     return mean, sd, corr, xy
 
 
-def grid_search(gram, means, scales, usable, alphas) -> list[dict]:
+def _path_weights(corr, xy, usable, penalties) -> np.ndarray:
+    """Weights of every candidate (penalty, harmonics) and training set, from one path per harmonics and training set."""
+    out = np.empty((len(penalties) * len(usable), len(corr), corr.shape[1]))
+    for h, shut in enumerate(usable):
+        for f in range(len(corr)):
+            path = lasso_path(corr[f], xy[f], shut)
+            for i, penalty in enumerate(penalties):
+                out[i * len(usable) + h, f] = weights_at(*path, penalty)
+    return out
+
+
+def grid_search(gram, means, scales, usable, alphas, by_path=False) -> list[dict]:
     """Cross-validated score and full refit of every candidate of one market.
 
     ``gram`` is (folds, terms, terms) of standardised terms. Each fold's model is trained
@@ -126,8 +141,11 @@ def grid_search(gram, means, scales, usable, alphas) -> list[dict]:
 
     candidates = [(a, h) for a in alphas for h in range(len(usable))]
     penalty = np.array([np.where(usable[h], a / y_scale, np.inf) for a, h in candidates])
-    tile = lambda m: np.tile(m, (len(candidates),) + (1,) * (m.ndim - 1))
-    w = lasso(tile(corr), tile(xy), np.repeat(penalty, folds + 1, axis=0))
+    if by_path:
+        w = _path_weights(corr, xy, usable, [a / y_scale for a in alphas])
+    else:
+        tile = lambda m: np.tile(m, (len(candidates),) + (1,) * (m.ndim - 1))
+        w = lasso(tile(corr), tile(xy), np.repeat(penalty, folds + 1, axis=0))
     w = w.reshape(len(candidates), folds + 1, -1) / sd
     base = mean[:, 1] - np.einsum("cfp,fp->cf", w, mean[:, 2:])
 
@@ -167,9 +185,12 @@ def fit_candidates(
     alphas: Sequence[float] = ALPHAS,
     max_harmonics: int = HARMONICS[-1],
     folds: int = 5,
+    by_path: bool = False,
 ) -> DataFrame:
     """Every (alpha, harmonics) candidate of every market: score, intercept, coefficients.
 
+    ``by_path`` reads all alphas off one exact path per market, fold and harmonics, so their number costs nothing.
+
     ``products`` comes from ``cross_products`` over (target, features, seasonal terms).
     Tasks see one small matrix per fold, never training rows. ``r2`` is the unweighted mean
     over folds, NULL if a fold has no spread to explain, if a market has too few rows for all ``folds``, or
@@ -188,7 +209,7 @@ def fit_candidates(
         )
         by_term = pdf.drop_duplicates("term").set_index("term").loc[terms[1:]]
         means, scales = by_term["mean"].to_numpy(float), by_term["scale"].to_numpy(float)
-        out = pd.DataFrame(grid_search(gram, means, scales, np.array(usable), alphas))
+        out = pd.DataFrame(grid_search(gram, means, scales, np.array(usable), alphas, by_path))
         if len(gram) < folds:
             out["r2"] = np.nan
         coefs = pd.DataFrame(np.stack(out.pop("coefs")), columns=coef_columns)
@@ -200,9 +221,8 @@ def fit_candidates(
         f"{key_types}, alpha double, harmonics int, fold_r2 array<double>, r2 double, "
         f"intercept double, " + ", ".join(f"{c} double" for c in coef_columns)
     )
-    # The solver's work is not in its bytes: spread the markets over every core, not by size.
-    cores = products.sparkSession.sparkContext.defaultParallelism
-    fitted = products.repartition(cores, *keys).groupBy(*keys).applyInPandas(fit, schema)
+    # The solver's work is not in its bytes: spread the markets by number, not by size.
+    fitted = products.repartition(SPREAD, *keys).groupBy(*keys).applyInPandas(fit, schema)
     return fitted.withColumn("r2", F.when(~F.isnan("r2"), F.col("r2")))
 
 
@@ -211,3 +231,39 @@ def best_candidates(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
     order = [F.round("r2", 12).desc_nulls_last(), F.col("alpha"), F.col("harmonics")]
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return candidates.withColumn("__place", place).filter("__place = 1").drop("__place")
+
+
+def path_breakpoints(products: DataFrame, features: Sequence[str], keys: Sequence[str], *, max_harmonics: int = HARMONICS[-1]) -> DataFrame:
+    """The whole path of every market and number of harmonics on all its rows, as plain rows.
+
+    One row per breakpoint, ``step`` counting from 0 at the alpha from which on all weights are zero; intercept and
+    coefficients are linear in alpha in between. The last row's alpha is 0.
+    """
+    keys = list(keys)
+    terms = [ONE, "target", *features, *harmonic_names(max_harmonics)]
+    usable = [[t in {*features, *harmonic_names(h)} for t in terms[2:]] for h in range(max_harmonics + 1)]
+    coef_columns = [coef_name(t) for t in terms[2:]]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        gram = np.stack([part.set_index("term").loc[terms, terms].to_numpy(float) for _, part in pdf.groupby("fold")])
+        by_term = pdf.drop_duplicates("term").set_index("term").loc[terms[1:]]
+        means, scales = by_term["mean"].to_numpy(float), by_term["scale"].to_numpy(float)
+        y_scale = scales[0] if scales[0] > 0 else 1.0
+        mean, sd, corr, xy = _training_moments(gram.sum(axis=0)[None])
+        parts = []
+        for h, shut in enumerate(usable):
+            knots, weights = lasso_path(corr[0], xy[0], np.array(shut))
+            w = weights / sd
+            coefs = y_scale * w / np.where(scales[1:] > 0, scales[1:], 1.0)
+            out = pd.DataFrame(coefs, columns=coef_columns)
+            out.insert(0, "intercept", means[0] + y_scale * (mean[0, 1] - w @ mean[0, 2:]) - coefs @ means[1:])
+            out.insert(0, "alpha", knots * y_scale)
+            out.insert(0, "step", np.arange(len(knots)))
+            out.insert(0, "harmonics", h)
+            parts.append(out)
+        found = pd.concat(parts, ignore_index=True)
+        return pd.concat([pd.DataFrame({k: [pdf[k].iloc[0]] * len(found) for k in keys}), found], axis=1)
+
+    key_types = ", ".join(f"{k} {products.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{key_types}, harmonics int, step int, alpha double, intercept double, " + ", ".join(f"{c} double" for c in coef_columns)
+    return products.repartition(SPREAD, *keys).groupBy(*keys).applyInPandas(fit, schema)

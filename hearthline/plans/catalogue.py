@@ -22,7 +22,7 @@ from ..sources import tpch
 from . import panels
 from . import scenario as sc
 from .market import MarketData, Outlook, Parameters
-from .models import MARKET, PRICE, RENT, with_actuals
+from .models import MARKET, PRICE, RENT, MarketModel, fit_keyed, keyed_candidates, score_table as table_of_scores, with_actuals
 
 # Parameters of the queries on the stand-in tables.
 PARAMETERS = Parameters(
@@ -42,6 +42,7 @@ PARAMETERS = Parameters(
 SCENARIO = PARAMETERS.scenario
 DIP = 85
 DIP_GRID = tuple(range(131))
+PATH_ALPHAS = (0.01, 0.03, 0.3, 1.0, 3.0, 30.0, 100.0)
 AS_OF = "2001-08-31"
 BUY, RENT_IN = (1, 1), (1, 1)
 SLICE = (1, 3)
@@ -93,6 +94,14 @@ class Inputs:
     def fixed_rent_models(self) -> DataFrame:
         return tpch.fixed_models(self.spark, tpch.RENT_COEFFICIENTS, RENT.terms)
 
+    @cached_property
+    def planted_models(self) -> dict[str, MarketModel]:
+        """Models of targets that hold a known signal."""
+        found = {}
+        for kind, model in (("price", self.market.price_model), ("rent", self.market.rent_model)):
+            found[kind] = MarketModel(model.spec, model.features, tpch.planted(kind, model.training_set))
+        return found
+
     def outlook(self, *dips: float) -> Outlook:
         return self.market.outlook(self.fixed_price_models, self.fixed_rent_models, dips)
 
@@ -406,6 +415,44 @@ def score_markets(i: Inputs) -> DataFrame:
     return i.market.price_model.predict(i.market.features, i.fixed_price_models)
 
 
+# Fits of targets with a planted signal, which can succeed and fail.
+
+
+@query()
+def planted_targets(i: Inputs) -> DataFrame:
+    parts = [m.targets.select(F.lit(kind).alias("kind"), "*") for kind, m in i.planted_models.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query()
+def planted_cv_scores(i: Inputs) -> DataFrame:
+    return keyed_candidates(i.planted_models, by_path=True).select("kind", *MARKET, "alpha", "harmonics", "r2")
+
+
+@query(4)
+def planted_models(i: Inputs) -> DataFrame:
+    """The best model of each kind and market, read off the exact paths."""
+    return fit_keyed(i.planted_models, by_path=True).drop("fold_r2")
+
+
+@query()
+def planted_score_table(i: Inputs) -> DataFrame:
+    return table_of_scores(fit_keyed(i.planted_models, by_path=True))
+
+
+@query(2)
+def lasso_path(i: Inputs) -> DataFrame:
+    """Fits of the planted prices at alphas between the grid's, each harmonics, from one path."""
+    return i.planted_models["price"].candidates(PATH_ALPHAS, by_path=True).drop("fold_r2")
+
+
+@query(3)
+def planted_best_date_by_dip(i: Inputs) -> DataFrame:
+    """From which dip to which a date is the best, for every choice, with models that fit."""
+    prices, rents = (m.fit_all() for m in i.planted_models.values())
+    return _best_by_dip(i, prices, rents)
+
+
 # Scenario.
 
 

@@ -14,7 +14,7 @@ from ..operators.cost import best_date
 from ..sources import files
 from . import panels
 from . import scenario as sc
-from .models import PRICE, RENT, MarketModel, score_table, with_actuals
+from .models import PRICE, RENT, MarketModel, fit_keyed, score_table, with_actuals
 
 
 @dataclass(frozen=True)
@@ -156,7 +156,11 @@ class MarketData:
         return MarketModel(RENT, panels.join_macro(self.fmr, self.rate), self.rent_targets)
 
     def scores(self) -> DataFrame:
-        return score_table(self.price_model.fit_all(), self.rent_model.fit_all())
+        return score_table(self.fit_both())
+
+    def fit_both(self) -> DataFrame:
+        """The best models of both kinds, told apart by ``kind``, from one fit."""
+        return fit_keyed({"price": self.price_model, "rent": self.rent_model})
 
     def continued(self, dips: Sequence[float]) -> DataFrame:
         """Observed and projected macro series, one frame per dip."""

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.seasonal import MAX_HARMONICS, harmonic_names, with_harmonics
 from ..operators.gram import cross_products, standardise, with_folds
-from ..operators.lasso import ALPHAS, best_candidates, fit_candidates
+from ..operators.lasso import ALPHAS, best_candidates, fit_candidates, path_breakpoints
 from ..operators.relational import DENSITIES, market, select_features, with_density
 from ..operators.scoring import score_markets
 from ..operators.smoothing import gradient, savgol
@@ -95,14 +95,18 @@ class MarketModel:
             cross_products, terms, MARKET
         )
 
-    def candidates(self, alphas: Sequence[float] = ALPHAS) -> DataFrame:
+    def candidates(self, alphas: Sequence[float] = ALPHAS, *, by_path: bool = False) -> DataFrame:
         """Every grid point of every market."""
-        return fit_candidates(self.products, self.spec.columns, MARKET, alphas=alphas)
+        return fit_candidates(self.products, self.spec.columns, MARKET, alphas=alphas, by_path=by_path)
 
     def fit_all(self) -> DataFrame:
         """The best grid point of every market, refitted on all its rows."""
         return best_candidates(self.candidates(), MARKET).transform(with_density)
 
+    def breakpoints(self) -> DataFrame:
+        """The whole path of every market and number of harmonics, fitted on all rows."""
+        return path_breakpoints(self.products, self.spec.columns, MARKET)
+
     def predict(
         self, features: DataFrame, models: DataFrame, *, keys: Sequence[str] = ()
     ) -> DataFrame:
@@ -117,16 +121,49 @@ def with_actuals(scores: DataFrame, targets: DataFrame, *, how: str = "inner") -
     return scores.join(targets.select(*on, "target"), on, how)
 
 
-def score_table(price_models: DataFrame, rent_models: DataFrame) -> DataFrame:
-    """Cross-validated scores of both models per market; weak price fits are flagged."""
-    price = price_models.select(*MARKET, "density", F.col("r2").alias("r2_price"))
-    rent = rent_models.select(*MARKET, F.col("r2").alias("r2_rent"))
-    return price.join(rent, MARKET).select(
+KEYED = ["kind", *MARKET]
+
+
+def keyed_products(models: dict[str, MarketModel]) -> tuple[DataFrame, list[str]]:
+    """Cross-products of several kinds of models in one table keyed by kind and market, and their macro columns.
+
+    A column that a kind doesn't read is zero in its rows; the solver leaves constant columns out.
+    """
+    columns = list(dict.fromkeys(c for m in models.values() for c in m.spec.columns))
+    terms = ["target", *columns, *harmonic_names(MAX_HARMONICS)]
+    parts = []
+    for kind, m in models.items():
+        given = [t if t in m.folds.columns else f"0D AS {t}" for t in terms]
+        parts.append(m.folds.selectExpr(f"'{kind}' AS kind", *MARKET, "fold", *given))
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.transform(standardise, terms, KEYED).transform(cross_products, terms, KEYED), columns
+
+
+def keyed_candidates(models: dict[str, MarketModel], alphas: Sequence[float] = ALPHAS, *, by_path: bool = False) -> DataFrame:
+    """Every grid point of every kind and market, from one aggregate and one pass of the solver."""
+    products, columns = keyed_products(models)
+    return fit_candidates(products, columns, KEYED, alphas=alphas, by_path=by_path)
+
+
+def fit_keyed(models: dict[str, MarketModel], *, by_path: bool = False) -> DataFrame:
+    """The best grid point of every kind and market."""
+    return best_candidates(keyed_candidates(models, by_path=by_path), KEYED).transform(with_density)
+
+
+def score_table(fitted: DataFrame) -> DataFrame:
+    """Cross-validated scores of both kinds of models per market, from ``fit_keyed``; weak price fits are flagged.
+
+    Markets that have both kinds.
+    """
+    r2 = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("r2"))).alias(f"r2_{kind}")
+    rows = fitted.groupBy(*MARKET, "density").agg(r2("price"), r2("rent"), F.count_distinct("kind").alias("kinds"))
+    return rows.filter("kinds = 2").select(
         "rooms",
         "urban_code",
         "density",
         "r2_price",
         "r2_rent",
         F.format_string("%.2f", "r2_price").alias("r2_price_label"),
+        F.format_string("%.2f", "r2_rent").alias("r2_rent_label"),
         (F.col("r2_price") < 0.5).alias("weak_price_fit"),
     )

@@ -11,6 +11,7 @@ every order-based source is read off the cells.
 from __future__ import annotations
 
 import datetime as dt
+import math
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,14 +23,8 @@ from ..operators.relational import ROOMS
 
 # Nations without rents, so that the eligibility test has something to drop.
 NATIONS_WITHOUT_RENT = (6, 20)
-# What the code table carries besides the columns used.
-UNUSED_CODE_COLUMNS = (
-    "CBSA title",
-    "CBSA 2012 pop",
-    "2006 code",
-    "1990-based code",
-    "County 2012 pop",
-)
+# What the code table carries besides the columns used.
+UNUSED_CODE_COLUMNS = ("note 1", "note 2")
 
 
 # Columns the sources use, so that opening a table needs no look at its files.
@@ -221,3 +216,24 @@ def fixed_models(spark: SparkSession, coefficients: dict[str, str], terms: list[
         f"cast({coefficients['intercept']} AS double) AS intercept",
         *[f"cast({coefficients.get(t, '0.0')} AS double) AS coef_{t}" for t in terms],
     )
+
+
+# Fixed rules of the planted targets: what carries the signal, the season's height, and how much of the actual
+# target is laid over it, by density code. Orders alone hold no signal that a model could find.
+PLANTED = {
+    "price": ("3.0 * hpi_sa_savgol", 40.0, (0.1, 0.6, 4.0)),
+    "rent": ("fmr", 200.0, (0.02, 0.1, 2.0)),
+}
+
+
+def planted(kind: str, training_set: DataFrame) -> DataFrame:
+    """Targets with a known signal: a macro series, as many cosines of the month as the market has by its codes,
+    and the actual target as noise, which is small in urban and large in rural markets."""
+    signal, height, noise = PLANTED[kind]
+    waves = "(urban_code + 3 * rooms) % 6 + 1"
+    season = " + ".join(
+        f"CASE WHEN {waves} >= {h} THEN cos(month(month_end) * {h * 2 * math.pi / 12!r}D) ELSE 0D END" for h in range(1, 7)
+    )
+    share = f"CASE urban_code WHEN 1 THEN {noise[0]}D WHEN 2 THEN {noise[1]}D ELSE {noise[2]}D END"
+    target = f"{signal} + {height}D * ({season}) + {share} * target AS target"
+    return training_set.selectExpr("month_end", "urban_code", "rooms", target)

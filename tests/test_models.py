@@ -241,8 +241,11 @@ def test_score_table_flags_weak_price_fits(spark):
     schema = "urban_code int, rooms int, density string, r2 double"
     price = spark.createDataFrame([(1, 1, "urban", 0.87654), (3, 1, "rural", 0.4)], schema)
     rent = spark.createDataFrame([(1, 1, "urban", 0.3), (3, 1, "rural", 0.2)], schema)
-    got = {r.urban_code: r for r in score_table(price, rent).collect()}
-    assert got[1].r2_price_label == "0.88" and not got[1].weak_price_fit and got[1].r2_rent == 0.3
+    alone = spark.createDataFrame([(2, 1, "suburb", 0.9)], schema)
+    fitted = price.union(alone).selectExpr("'price' AS kind", "*").union(rent.selectExpr("'rent' AS kind", "*"))
+    got = {r.urban_code: r for r in score_table(fitted).collect()}
+    assert set(got) == {1, 3}
+    assert got[1].r2_price_label == "0.88" and got[1].r2_rent_label == "0.30" and not got[1].weak_price_fit and got[1].r2_rent == 0.3
     assert got[3].weak_price_fit
 
 

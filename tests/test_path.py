@@ -1,0 +1,137 @@
+"""The lasso path: optimality at and between breakpoints, awkward features, and the same models as by descent."""
+
+import numpy as np
+import pytest
+
+from hearthline.operators import lasso
+from hearthline.operators.path import lasso_path, weights_at
+from hearthline.plans import catalogue
+from hearthline.plans.models import KEYED, MARKET, fit_keyed
+
+SF = "/root/testdata/sf0.01"
+
+
+def problem(seed, kind):
+    deal = np.random.default_rng(seed)
+    p = int(deal.integers(3, 12))
+    x = deal.normal(size=(int(deal.integers(p + 3, 60)), p))
+    if kind == "near":  # correlation about 1 - 1e-8
+        x[:, 1] = x[:, 0] + 1.4e-4 * deal.normal(size=len(x))
+    if kind == "equal":
+        x[:, 2] = -x[:, 0]
+    if kind == "sum":
+        x[:, 2] = x[:, 0] + x[:, 1]
+    y = x @ (deal.normal(size=p) * (deal.random(p) < 0.6)) + deal.normal(size=len(x))
+    x, y = (x - x.mean(0)) / x.std(0), y - y.mean()
+    corr = x.T @ x / len(x)
+    np.fill_diagonal(corr, 1.0)
+    return corr, x.T @ y / len(x)
+
+
+def off(corr, xy, w, penalty):
+    """How far weights are from optimal: pulls above the penalty, and active ones not at it."""
+    pull = xy - corr @ w
+    active = np.abs(w) > 1e-7 * (1 + np.abs(w).max())
+    at = np.abs(pull - penalty * np.sign(w))[active].max(initial=0.0)
+    return max(at, (np.abs(pull) - penalty).max(initial=0.0)) / np.abs(xy).max()
+
+
+@pytest.mark.parametrize("kind, tolerance", [("plain", 1e-10), ("near", 1e-6), ("equal", 1e-9), ("sum", 1e-9)])
+@pytest.mark.parametrize("seed", range(12))
+def test_weights_are_optimal_everywhere(kind, tolerance, seed):
+    corr, xy = problem(seed, kind)
+    knots, weights = lasso_path(corr, xy, np.ones(len(xy), bool))
+    assert (np.diff(knots) < 0).all() and knots[-1] == 0 and not weights[0].any()
+    between = (knots[1:] + knots[:-1]) / 2
+    for penalty in [*knots, *between, knots[0] * 2]:
+        assert off(corr, xy, weights_at(knots, weights, penalty), penalty) < tolerance
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_equals_coordinate_descent(seed):
+    corr, xy = problem(seed, "plain")
+    usable = np.arange(len(xy)) % 3 != 1
+    path = lasso_path(corr, xy, usable)
+    for penalty in (0.0, 0.05, 0.3):
+        limits = np.where(usable, penalty, np.inf)
+        w = lasso.lasso(corr[None], xy[None], limits[None])[0]
+        assert weights_at(*path, penalty) == pytest.approx(w, abs=1e-9)
+        assert not weights_at(*path, penalty)[~usable].any()
+
+
+def test_nothing_to_explain_and_constant_features():
+    knots, weights = lasso_path(np.eye(2), np.zeros(2), np.ones(2, bool))
+    assert knots.tolist() == [0.0] and not weights_at(knots, weights, 0.0).any()
+    corr = np.diag([1.0, 0.0])
+    knots, weights = lasso_path(corr, np.array([0.5, 0.0]), np.ones(2, bool))
+    assert weights_at(knots, weights, 0.2).tolist() == pytest.approx([0.3, 0.0])
+    assert weights_at(knots, weights, 0.0).tolist() == [0.5, 0.0]
+
+
+def test_features_that_join_at_once():
+    corr = np.array([[1.0, 0.2, 0.0], [0.2, 1.0, 0.0], [0.0, 0.0, 1.0]])
+    knots, weights = lasso_path(corr, np.array([1.0, 1.0, -1.0]), np.ones(3, bool))
+    for penalty in (0.0, 0.4, 0.999):
+        assert off(corr, np.array([1.0, 1.0, -1.0]), weights_at(knots, weights, penalty), penalty) < 1e-12
+
+
+def test_one_fit_of_both_kinds_equals_two(spark):
+    market = catalogue.Inputs(spark, SF).market
+    both = market.fit_both()
+    assert both._jdf.queryExecution().executedPlan().toString().count("FlatMapGroups") == 1
+    rows = {(r["kind"], r["urban_code"], r["rooms"]): r for r in both.collect()}
+    assert len(rows) == 24
+    for kind, model in (("price", market.price_model), ("rent", market.rent_model)):
+        for r in model.fit_all().collect():
+            other = rows[kind, r["urban_code"], r["rooms"]]
+            assert (r["alpha"], r["harmonics"]) == (other["alpha"], other["harmonics"])
+            assert r["r2"] == pytest.approx(other["r2"], abs=1e-9)
+            for name in (c for c in r.asDict() if c.startswith("coef_")):
+                assert r[name] == pytest.approx(other[name], rel=1e-6, abs=1e-6)
+
+
+def test_score_table_plans_one_fit(spark):
+    df = catalogue.run("score_table", spark, SF)
+    assert df._jdf.queryExecution().executedPlan().toString().count("FlatMapGroups") == 1
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    return [r.asDict() for r in catalogue.run("planted_models", spark, SF).collect()]
+
+
+def test_planted_signals_make_fits_that_succeed_and_fail(spark, planted):
+    prices = [r for r in planted if r["kind"] == "price"]
+    assert max(r["r2"] for r in prices) > 0.8 and min(r["r2"] for r in prices) < 0.5
+    assert {r["alpha"] for r in planted} == {0.1, 10.0, 1000.0}
+    assert len({r["harmonics"] for r in planted}) >= 4
+    assert all(r["r2"] > 0.8 for r in planted if r["urban_code"] == 1)
+    flags = {r["weak_price_fit"] for r in catalogue.run("planted_score_table", spark, SF).collect()}
+    assert flags == {True, False}
+
+
+def test_planted_best_dates_lie_inside_the_horizon(spark):
+    rows = catalogue.run("planted_best_date_by_dip", spark, SF).collect()
+    ends = {"2001-09-30", "2010-12-31"}
+    inside = sum(r["high"] - r["low"] for r in rows if str(r["best_date"]) not in ends)
+    assert inside > 0.5 * sum(r["high"] - r["low"] for r in rows)
+    assert len({r["best_date"] for r in rows}) >= 5
+
+
+def test_breakpoints_hold_the_grid_fits(spark):
+    """Coefficients between breakpoints are linear in alpha, and give the fits of the grid."""
+    model = catalogue.Inputs(spark, SF).planted_models["price"]
+    points = model.breakpoints().toPandas()
+    names = [c for c in points.columns if c.startswith("coef_") or c == "intercept"]
+    assert points.groupby([*MARKET, "harmonics"]).alpha.apply(lambda a: (np.diff(a) < 0).all() and a.iloc[-1] == 0).all()
+    grid = model.candidates().toPandas()
+    for _, c in grid.sample(60, random_state=1).iterrows():
+        own = points[(points.urban_code == c.urban_code) & (points.rooms == c.rooms) & (points.harmonics == c.harmonics)].sort_values("alpha")
+        for name in names:
+            assert np.interp(c.alpha, own.alpha, own[name]) == pytest.approx(c[name], rel=1e-6, abs=1e-5)
+
+
+def test_keys_of_the_one_fit(spark):
+    assert KEYED == ["kind", *MARKET]
+    fitted = fit_keyed(catalogue.Inputs(spark, SF).planted_models, by_path=True)
+    assert fitted.groupBy(*KEYED).count().where("count > 1").count() == 0
