@@ -822,6 +822,28 @@ ORACLES: dict[str, str] = {
                                        ORDER BY total_cost_kusd, month_end) = 1""",
         FITTED_DIPS,
     ),
+    "rate_from_csv": statement(f"SELECT month_end, {columns(['apr'], 8)} FROM rate"),
+    "panel_from_csv": statement(f'SELECT month_end AS "Date", region_name AS "RegionName", {MEASURES_4} FROM v_panel'),
+    "stored_panel_since": statement(
+        f"""SELECT month_end AS "Date", region_name AS "RegionName", {MEASURES_4} FROM v_panel WHERE year(month_end) >= 1999"""
+    ),
+    "stored_panel_years": statement(
+        f"""SELECT month_end AS "Date", region_name AS "RegionName", {MEASURES_4} FROM all_panel
+            WHERE year(month_end) IN (SELECT year(month_end) FROM rate GROUP BY 1 HAVING avg(apr) > 0.0499)""",
+        {"all_panel": STEPS["v_panel"].replace("WHERE month_end >= DATE '1996-01-01' ", "")},
+    ),
+    "stored_market_model": statement(
+        f"""SELECT b.urban_code, b.rooms, density, b.alpha, b.h AS harmonics, {fixed('b.r2', 4)} AS r2,
+                   {columns(['intercept'], 4)}, {PRICE_COEFS}
+            FROM lp_best b JOIN lp_fits f ON f.k = -1 AND b.urban_code = f.urban_code AND b.rooms = f.rooms
+             AND b.alpha = f.alpha AND b.h = f.h
+            LEFT JOIN v_density d ON d.urban_code = b.urban_code WHERE b.urban_code = 1 AND b.rooms = 3""",
+        LASSO,
+    ),
+    "stored_models_vs_actual": statement(
+        f"SELECT month_end, rooms, urban_code, density, {columns(['y_hat', 'target'], 4)} FROM model_rows",
+        {**LASSO, **feature_steps("all", "features", "price"), "model_rows": fitted("lp", "all_prepared", "price_targets", PRICE_COLUMNS)},
+    ),
     "planted_targets": statement(
         f"""SELECT 'price' AS kind, month_end, urban_code, rooms, {columns(['target'], 6)} FROM planted_prices
             UNION ALL SELECT 'rent', month_end, urban_code, rooms, {columns(['target'], 6)} FROM planted_rents""",

@@ -1,6 +1,7 @@
 """Every query over the TPC-H stand-in tables, by name.
 
-A query is a function of ``Inputs`` and builds one lazy plan; nothing runs before an action.
+A query is a function of ``Inputs`` and builds one lazy plan; nothing runs before an action, but for queries of
+stored tables, which write these to the shared folder first.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ from ..functions.numbers import fixed
 from ..functions.seasonal import MAX_HARMONICS, with_harmonics
 from ..operators import gram, relational, series, smoothing, trend
 from ..operators.envelope import on_grid
-from ..sources import tpch
+from ..sources import files, tpch
+from ..sources.shared import fresh_path, write_csv
 from . import panels
 from . import scenario as sc
 from .market import MarketData, Outlook, Parameters
 from .models import MARKET, PRICE, RENT, MarketModel, fit_keyed, keyed_candidates, score_table as table_of_scores, with_actuals
+from .store import ModelStore
 
 # Parameters of the queries on the stand-in tables.
 PARAMETERS = Parameters(
@@ -43,6 +46,7 @@ SCENARIO = PARAMETERS.scenario
 DIP = 85
 DIP_GRID = tuple(range(131))
 PATH_ALPHAS = (0.01, 0.03, 0.3, 1.0, 3.0, 30.0, 100.0)
+STORED_SINCE, STORED_RATE = 1999, 0.0499
 AS_OF = "2001-08-31"
 BUY, RENT_IN = (1, 1), (1, 1)
 SLICE = (1, 3)
@@ -110,11 +114,17 @@ Query = Callable[[Inputs], DataFrame]
 QUERIES: dict[str, tuple[Query, int]] = {}
 
 
-def query(digits: int = 6):
+#: Queries that write a table to the shared folder when they are built, and read it back.
+STORED: set[str] = set()
+
+
+def query(digits: int = 6, *, stored: bool = False):
     """Register a query; its doubles are reported with ``digits`` decimals."""
 
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = (f, digits)
+        if stored:
+            STORED.add(f.__name__)
         return f
 
     return register
@@ -196,6 +206,63 @@ def date_fns(i: Inputs) -> DataFrame:
     )
 
 
+# Tables written and read again.
+
+
+@query(8, stored=True)
+def rate_from_csv(i: Inputs) -> DataFrame:
+    """The weekly rate through a gzipped CSV file, its dates parsed again, per month."""
+    path = fresh_path(i.spark, "rate")
+    write_csv(i.prices_only.sources.weekly_rate, path, compression="gzip")
+    return panels.monthly_rate(files.mortgage_rate(i.spark, path))
+
+
+@query(4, stored=True)
+def panel_from_csv(i: Inputs) -> DataFrame:
+    """The county panel through CSV files, plain and headed."""
+    path = fresh_path(i.spark, "panel")
+    write_csv(i.market.sources.panel, path)
+    return panels.recent_panel(files.county_panel(i.spark, path), PARAMETERS.min_year)
+
+
+def _panel_by_year(i: Inputs) -> str:
+    path = fresh_path(i.spark, "panel-by-year")
+    files.write_by_year(i.market.sources.panel, path)
+    return path
+
+
+@query(4, stored=True)
+def stored_panel_since(i: Inputs) -> DataFrame:
+    """The panel written by year and read from a year on: earlier folders are left out when the query is planned."""
+    return files.read_since(i.spark, _panel_by_year(i), files.COUNTY_PANEL, STORED_SINCE)
+
+
+@query(4, stored=True)
+def stored_panel_years(i: Inputs) -> DataFrame:
+    """The panel of the years whose mean rate is above a bound: folders are left out when the query runs."""
+    rate = i.prices_only.rate.groupBy(F.year("month_end").alias("year")).agg(F.avg("apr").alias("apr"))
+    return files.read_years(i.spark, _panel_by_year(i), files.COUNTY_PANEL, rate.filter(F.col("apr") > STORED_RATE))
+
+
+def _stored_models(i: Inputs) -> ModelStore:
+    store = ModelStore(i.spark, fresh_path(i.spark, "models"), PRICE.columns)
+    store.write(i.market.price_model.fit_all(), 1)
+    return store
+
+
+@query(4, stored=True)
+def stored_market_model(i: Inputs) -> DataFrame:
+    """One market's model out of the store."""
+    return _stored_models(i).model(1, *SLICE)
+
+
+@query(4, stored=True)
+def stored_models_vs_actual(i: Inputs) -> DataFrame:
+    """Prices predicted by stored models, beside the actual ones."""
+    model = i.market.price_model
+    return with_actuals(model.predict(i.market.features, _stored_models(i).read(1)), i.market.price_targets)
+
+
 # Aggregates and reshaping.
 
 

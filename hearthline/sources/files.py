@@ -85,6 +85,19 @@ def write_by_year(df: DataFrame, path: str, *, date: str = "Date", rows_per_file
     )
 
 
+def read_years(spark: SparkSession, path: str, schema: T.StructType, years: DataFrame) -> DataFrame:
+    """Rows of a table of ``write_by_year`` in the years of ``years`` (column ``year``, each once).
+
+    The join on the folder column prunes folders when it runs, by the years that are left on the other side.
+    """
+    return read_parquet(spark, path, schema).join(years.select("year"), "year").select(*schema.names)
+
+
+def read_since(spark: SparkSession, path: str, schema: T.StructType, year: int) -> DataFrame:
+    """Rows of a table of ``write_by_year`` from a year on; folders of earlier years are not listed or read."""
+    return read_parquet(spark, path, schema).filter(F.col("year") >= year).select(*schema.names)
+
+
 def county_panel(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, COUNTY_PANEL)
 

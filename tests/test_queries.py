@@ -47,16 +47,17 @@ def test_series_with_natural_gaps_equal_their_sql(spark, name):
 
 def test_building_a_query_runs_nothing(spark):
     tracker = spark.sparkContext.statusTracker()
-    for name in catalogue.QUERIES:
+    lazy = set(catalogue.QUERIES) - catalogue.STORED
+    for name in lazy:
         catalogue.run(name, spark, SF)  # reads the tables' footers, which is no job of the group
     spark.sparkContext.setJobGroup("building", "")
     try:
-        for name in catalogue.QUERIES:
+        for name in lazy:
             catalogue.run(name, spark, SF)
         jobs = tracker.getJobIdsForGroup("building")
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    schemas = len(catalogue.QUERIES) * 4  # Spark may read a Parquet footer with a job of one task
+    schemas = len(lazy) * 4  # Spark may read a Parquet footer with a job of one task
     assert all(sum(tracker.getStageInfo(s).numTasks for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)) <= 1 for j in jobs)
     assert len(jobs) <= schemas
 
@@ -94,3 +95,32 @@ def test_entry_runs(spark):
     rows = contract.entry(spark).collect()
     assert len(rows) > 70 and set(rows[0].asDict()) == {"month_end", "apr"}
 
+
+
+def test_stored_panels_skip_the_folders_of_other_years(spark):
+    text = formatted(spark, catalogue.run("stored_panel_since", spark, SF))
+    assert "PartitionFilters: [isnotnull(year" in text and ">= 1999)" in text
+    df = catalogue.run("stored_panel_years", spark, SF)
+    assert "dynamicpruning" in formatted(spark, df).lower()
+    read = df.collect()
+    assert 0 < len({r["Date"].year for r in read}) < 7
+
+
+def test_a_stored_model_is_found_in_its_own_folder(spark, tmp_path):
+    from hearthline.plans.models import PRICE
+    from hearthline.plans.store import ModelStore
+
+    model = catalogue.Inputs(spark, SF).market.price_model
+    store = ModelStore(spark, str(tmp_path / "models"), PRICE.columns)
+    fitted = model.fit_all().cache()
+    store.write(fitted, 1)
+    store.write(fitted.withColumn("r2", fitted.r2 + 1), 2)
+    names = [c for c in fitted.columns if c != "fold_r2"]
+    assert sorted(map(str, store.read(1).select(names).collect())) == sorted(map(str, fitted.select(names).collect()))
+    one = store.model(2, 2, 4)
+    assert "PartitionFilters: [isnotnull(version" in formatted(spark, one) and "urban_code" in formatted(spark, one).split("PartitionFilters")[1]
+    old = fitted.where("urban_code = 2 AND rooms = 4").first()
+    assert [r["r2"] for r in one.collect()] == [old["r2"] + 1]
+    assert store.model(1, 9, 9).count() == 0
+    with pytest.raises(Exception, match="exist"):
+        store.write(fitted, 1)
