@@ -10,11 +10,10 @@ aren't connected yet:
 2. neighbours in sorted order, whose common prefix is the longest, and the regions' other centres; a region
    with more than `crowd` vertices is parted by `depth` more values first,
 3. in the regions of one centre together, if more than one component is left: whatever isn't in the largest
-   one with all others, exactly and without a limit, by counting common shingles in blocks. Blocks hold a bounded
-   number of shingles and only links leave them.
-So a pair is only missed if it shares no region: (1 - s^depth)^trees at similarity s, 3e-6 at 0.8.
-The third round's work is (vertices outside the largest component) x (vertices that share shingles with them);
-after the first two rounds that is little wherever texts are alike.
+   one with all others that share one of its rarest shingles, exactly and without a limit. Large groups are taken
+   apart by shingle.
+So a pair is only missed if it shares no region, with probability (1 - s^depth)^trees at similarity s, 3e-6 at 0.8, or
+if its signatures agree far less often than its sets (six standard deviations, 6e-8 at 0.85).
 
 Definitions: a missing text or one without words has an empty set and is linked with nothing. Fewer words
 than a shingle make one shingle. Repeated rows are equal texts. A missing doc_id is never the least one of its
@@ -28,7 +27,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +39,7 @@ U64 = np.uint64
 
 @dataclass(frozen=True)
 class Settings:
-    """`percent`: least similarity. `crowd`: vertices that one sorted stretch may hold. `block`: shingles in a block, about."""
+    """`percent`: least similarity. `crowd`: vertices that one sorted stretch may hold. `block`: shingles that one task compares."""
 
     shingle: int = 5
     percent: int = 80
@@ -155,65 +153,101 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFr
     return mapped(found, work, "id binary, shingles binary").dropDuplicates(["id"])
 
 
-def closed(hubs: DataFrame, sets: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+def closed(hubs: DataFrame, sets: DataFrame, signatures: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
     """Links (a, b) between components that are left within the groups (hub, id).
 
-    In a group all vertices outside its largest component are held against all its vertices. Both are dealt to
-    blocks by a hash; each pair of blocks is one unit of work.
+    In a group all vertices outside its largest component are held against all its vertices: exactly, but only
+    where they share one of the outer vertex's rarest shingles. A set that is similar enough lacks so few of them
+    that it holds one of any `spare` of them, the rarest ones too. A group of up to `block` shingles is one unit of
+    work; a larger one is taken apart by shingle (see rare_pairs).
     """
-    percent, limit = settings.percent, settings.block
     sized = sets.select("id", (F.octet_length("shingles") / 8).alias("n"))
     group = hubs.join(sized, "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     group = keep(group.select("hub", "id", "n", "label"))
     parts = group.groupBy("hub", "label").agg(F.count("*").alias("vertices"), F.sum("n").alias("held"))
     open_ = parts.groupBy("hub").agg(
-        F.max(F.struct("vertices", "label", "held")).alias("main"), F.count("*").alias("parts"), F.sum("vertices").alias("vertices"), F.sum("held").alias("held")
+        F.max(F.struct("vertices", "label")).alias("main"), F.count("*").alias("parts"), F.sum("vertices").alias("vertices"), F.sum("held").alias("held")
     )
-    open_ = open_.where((F.col("parts") > 1) & (F.col("vertices") > settings.neighbours + 1)).select(
-        "hub",
-        F.col("main.label").alias("main"),
-        F.ceil((F.col("held") - F.col("main.held")) / limit).cast("int").alias("few"),
-        F.ceil(F.col("held") / limit).cast("int").alias("many"),
-    )
-    left = group.join(open_, "hub")
+    open_ = open_.where((F.col("parts") > 1) & (F.col("vertices") > settings.neighbours + 1))
+    left = group.join(open_.select("hub", F.col("main.label").alias("main"), (F.col("held") > settings.block).alias("large")), "hub")
+    left = left.select("hub", "id", "label", (F.col("label") != F.col("main")).alias("outer"), "large").join(sets, "id")
+    small = _small_groups(left.where(~F.col("large")).drop("large"), settings)
+    large = rare_pairs(left.where("large").drop("large"), settings)
+    return small.unionByName(confirmed(large, signatures, sets, settings))
+
+
+def spare(size, percent: int):
+    """Of so many shingles of a set, each set that is similar enough holds one: it lacks fewer than these."""
+    return size - (-(-percent * size // 100)) + 1
 
-    def dealt(rows: DataFrame, outer: bool) -> DataFrame:
-        own, other = ("few", "many") if outer else ("many", "few")
-        mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias("mine")
-        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other")
-        rows = rows.select("hub", "id", "label", mine, every)
-        i, j = ("mine", "other") if outer else ("other", "mine")
-        return rows.select("hub", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(outer).alias("outer"), "id", "label")
 
-    units = dealt(left.where(F.col("label") != F.col("main")), True).unionByName(dealt(left, False)).join(sets, "id")
+def _small_groups(rows: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) within groups that a task can hold; rows: hub, id, label, outer, shingles."""
+    percent = settings.percent
 
     def unit(found: pa.Table) -> pa.Table:
-        outer = found.filter(pc.field("outer"))
-        inner = found.filter(~pc.field("outer"))
-        ids, names = inner.column("id").to_pylist(), inner.column("label").to_pylist()
-        arrays = [np.frombuffer(x, "<u8") for x in inner.column("shingles").to_pylist()]
+        ids, names, outer = (found.column(c).to_pylist() for c in ("id", "label", "outer"))
+        arrays = [np.frombuffer(x, "<u8") for x in found.column("shingles").to_pylist()]
         sizes = np.array([len(x) for x in arrays])
         owner = np.repeat(np.arange(len(arrays)), sizes)
-        values = np.concatenate(arrays) if arrays else np.zeros(0, "<u8")
+        values = np.concatenate(arrays)
         order = np.argsort(values, kind="stable")
         values, owner = values[order], owner[order]
+
+        def owners(low, high):
+            length = high - low
+            return owner[np.repeat(low - np.cumsum(length) + length, length) + np.arange(length.sum())]
+
         a, b = [], []
-        for x, name, raw in zip(*(outer.column(c).to_pylist() for c in ("id", "label", "shingles")), strict=True):
-            one = np.frombuffer(raw, "<u8")
+        for i in (k for k, is_outer in enumerate(outer) if is_outer):
+            one = arrays[i]
             low, high = np.searchsorted(values, one, "left"), np.searchsorted(values, one, "right")
-            length = high - low
-            at = np.repeat(low - np.cumsum(length) + length, length) + np.arange(length.sum())
-            common = np.bincount(owner[at], minlength=len(arrays))
-            seen = {name}
-            for k in np.flatnonzero(100 * common >= percent * (len(one) + sizes - common)).tolist():
+            rare = np.argsort(high - low, kind="stable")[: spare(len(one), percent)]
+            near = np.unique(owners(low[rare], high[rare]))
+            near = near[near != i]
+            if len(near) > 64:
+                common = np.bincount(owners(low, high), minlength=len(arrays))[near]
+            else:
+                common = np.array([len(np.intersect1d(one, arrays[k], assume_unique=True)) for k in near.tolist()], np.int64)
+            seen = {names[i]}
+            for k in near[100 * common >= percent * (len(one) + sizes[near] - common)].tolist():
                 if names[k] not in seen:  # one link to each component is enough
                     seen.add(names[k])
-                    a.append(x)
+                    a.append(ids[i])
                     b.append(ids[k])
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    ship(hubs.sparkSession)
-    return units.groupBy("hub", "i", "j").applyInArrow(unit, "a binary, b binary")
+    ship(rows.sparkSession)
+    return rows.groupBy("hub").applyInArrow(unit, "a binary, b binary")
+
+
+def rare_pairs(rows: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (a, b) of different components that share one of an outer vertex's `spare` rarest shingles of its group.
+
+    rows: hub, id, label, outer, shingles. Shingles are counted per group, each with the least and the greatest
+    component that has it. A shingle of a single vertex, or of a single component, brings no pair, but takes its
+    place among the rarest. So a template that many unlike pages share costs one count per shingle and page: pages
+    have enough shingles of their own to fill those places.
+    """
+
+    def opened(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw = batch.column("shingles").to_pylist()
+        size = np.array([len(x) // 8 for x in raw], np.int64)
+        each = pa.array(np.repeat(np.arange(len(raw)), size))
+        token = np.frombuffer(b"".join(raw), "<u8").view(np.int64)
+        columns = [batch.column(c).take(each) for c in ("hub", "id", "label", "outer")]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(size, size)), pa.array(token)], ["hub", "id", "label", "outer", "size", "token"])
+
+    schema = "hub binary, id binary, label binary, outer boolean, size long, token long"
+    tokens = mapped(rows.select("hub", "id", "label", "outer", "shingles"), opened, schema, "shingles")
+    counts = tokens.groupBy("hub", "token").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("n > 1")
+    shared = tokens.where("outer").join(counts, ["hub", "token"])
+    own = Window.partitionBy("hub", "id")
+    placed = shared.withColumns({"place": F.row_number().over(own.orderBy("n", "token")), "shared": F.count("*").over(own)})
+    room = F.expr(f"size - ceil({settings.percent} * size / 100) + 1 - (size - shared)")
+    rare = placed.where((F.col("place") <= room) & (F.col("least") != F.col("most"))).select("hub", "token", F.col("id").alias("one"), F.col("label").alias("of"))
+    met = rare.join(tokens.select("hub", "token", "id", "label"), ["hub", "token"]).where(F.col("of") != F.col("label"))
+    return _pairs(met.select("one", "id").distinct(), "one", "id")
 
 
 def linked(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -275,7 +309,7 @@ def linked(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     labels = joined(confirmed(second, signatures, sets, settings))
 
     hubs = centres.select(F.col("top.id").alias("hub"), "id").distinct()
-    labels = joined(closed(hubs, sets, labels, settings))
+    labels = joined(closed(hubs, sets, signatures, labels, settings))
 
     component = rows.join(labels.select(F.col("id").alias("set_id"), "label"), "set_id", "left")
     return component.select("doc_id", "text_hash", "n_shingles", "set_id", F.coalesce("label", "set_id").alias("component"))

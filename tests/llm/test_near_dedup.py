@@ -103,3 +103,39 @@ def test_components_of_paths_and_stars(spark):
     labels = {r["id"]: r["label"] for r in components(edges).collect()}
     assert labels == {k: 0 for k in range(61)} | {1000 + k: 1000 for k in range(80)}
     assert components(edges.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("block", [1_000_000, 20_000])
+def test_pages_of_a_template_below_the_threshold(spark, block):
+    """170 of 200 words alike: every page is a class of its own, but for three that are really alike."""
+    rng = np.random.default_rng(10)
+    frame = [f"common{k}" for k in range(170)]
+    rows = [(k, " ".join(frame + [f"w{rng.integers(1e9)}" for _ in range(30)])) for k in range(240)]
+    rows += [(1000, rows[5][1] + " more"), (1001, "less " + rows[5][1]), (1002, rows[7][1][:-3] + "zzz")]
+    settings = Settings(shingle=3, percent=85, block=block)
+    assert found(spark, rows, settings) == brute(rows, 3, 85)
+
+
+def test_rare_pairs_hold_every_similar_pair(spark):
+    rng = np.random.default_rng(11)
+    words = [f"t{k}" for k in range(300)]  # few words, so that shingles of one word are shared by many
+    sets = [sorted(set(rng.choice(words, 40, replace=False)) | {f"own{i // 2}"}) for i in range(80)]
+    for i in range(0, 80, 2):
+        sets[i + 1] = sorted(set(sets[i][2:]) | {f"other{i}"})
+    raw = [np.unique(np.array([hash_of(w) for w in s], "<u8")) for s in sets]
+    rows = [(b"g", bytes([i]), bytes([i]), i % 3 > 0, s.tobytes()) for i, s in enumerate(raw)]
+    df = spark.createDataFrame(rows, "hub binary, id binary, label binary, outer boolean, shingles binary")
+    pairs = {(bytes(r["a"])[0], bytes(r["b"])[0]) for r in near_dedup.rare_pairs(df, Settings(percent=85)).collect()}
+    alike = {(i, j) for i, j in combinations(range(80), 2) if 100 * (c := len(np.intersect1d(raw[i], raw[j]))) >= 85 * (len(raw[i]) + len(raw[j]) - c)}
+    assert len(alike) >= 40 and {p for p in alike if p[0] % 3 or p[1] % 3} <= pairs
+    assert len(pairs) < 80 * 79 / 4
+
+
+def hash_of(word: str) -> int:
+    import hashlib
+
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+
+
+def test_rarest_shingles_that_must_be_shared():
+    assert [near_dedup.spare(n, 85) for n in (1, 6, 7, 20, 100)] == [1, 1, 2, 4, 16]
