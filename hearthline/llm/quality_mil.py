@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthline.llm import hashing
-from hearthline.llm.tables import mapped, table, texts
+from hearthline.llm.tables import keep, mapped, table, texts
 from hearthline.llm.toxicity import labelled
 
 U64 = np.uint64
@@ -25,9 +25,12 @@ U64 = np.uint64
 @dataclass(frozen=True)
 class Settings:
     """`sample` bounds the labelled texts that the fit sees, half of each label where there are as many (those
-    with the smallest md5 of their id). The fit and the scores use whole texts."""
+    with the smallest md5 of their id). `passages` bounds the passages that the driver holds for the fit, half of
+    them for each label: in that order, a text of the sample is left out if it doesn't fit into what is left of
+    them. The fit and the scores use whole texts."""
 
     sample: int = 3000
+    passages: int = 150_000
     words: int = 64
     encoded: int = 24
     attention: int = 12
@@ -49,7 +52,8 @@ WIDTH = _CLASSES + _CLASSES**2 + _BUCKETS + 6
 def passages(raw: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     """A row of WIDTH numbers per passage, and where each text's rows start (and the last ends).
 
-    A text without words is one passage of zeros.
+    A text without words is one passage of zeros. What comes before a text's first word belongs to its first
+    passage, what follows a word to the word's; a row depends on its own text alone.
     """
     data, starts = hashing.joined(raw)
     hashed, first, index = hashing.words(data, starts)
@@ -64,12 +68,15 @@ def passages(raw: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     if not len(hashed):
         return out, rows
     begins = np.concatenate(([0], np.flatnonzero(np.diff(row)) + 1))
-    bounds = np.concatenate((first[begins], [len(data)]))
-    byte_row = np.repeat(row[begins], np.diff(bounds))
-    kind = _CLASS[data[bounds[0] :]]
-    size = np.maximum(1, np.bincount(byte_row, minlength=n))[:, None]
+    place = np.zeros(n + 1, np.int64)  # of each row's first byte
+    place[row[begins]] = first[begins]
+    place[rows] = starts
+    byte_row = np.repeat(np.arange(n), np.diff(place))
+    kind = _CLASS[data]
+    size = np.maximum(1, np.diff(place))[:, None]
     out[:, :_CLASSES] = np.bincount(byte_row * _CLASSES + kind, minlength=n * _CLASSES).reshape(n, -1) / size
     pair = (byte_row[1:] * _CLASSES + kind[:-1]) * _CLASSES + kind[1:]
+    pair = np.delete(pair, starts[1:-1] - 1)  # a text's last byte and the next one's first are no pair
     out[:, _CLASSES : _CLASSES + _CLASSES**2] = np.bincount(pair, minlength=n * _CLASSES**2).reshape(n, -1) / size
     held = np.maximum(1, np.bincount(row, minlength=n)).astype(float)
     bucket = (hashed >> U64(58)).astype(np.int64)
@@ -84,7 +91,7 @@ def passages(raw: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
         flag = np.zeros(len(hashed))
         flag[back:] = (hashed[back:] == hashed[:-back]) & (row[back:] == row[:-back])
         out[:, at + k] = share(flag)
-    length = np.diff(np.append(first, len(data)))
+    length = np.minimum(np.append(first[1:], len(data)), starts[text_of + 1]) - first
     out[:, at + 2] = share(np.minimum(length, 40) / 40)
     out[:, at + 3] = np.bincount(row, minlength=n) / words
     order = np.lexsort((hashed, row))
@@ -92,6 +99,7 @@ def passages(raw: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     fresh[order[1:]] = (hashed[order[1:]] != hashed[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
     out[:, at + 4] = share(fresh)
     out[:, at + 5] = share(_seen_before(hashed, index))
+    out[rows[:-1][counts == 0]] = 0
     return out, rows
 
 
@@ -169,10 +177,21 @@ def scores(raw: list[bytes], model: dict[str, np.ndarray], words: int) -> np.nda
     return forward(x, rows, model)[0]
 
 
+def fitting(sizes: list[tuple[int, int, int]], room: int) -> list[int]:
+    """Of (id, label, passages) in their order: the ids that fit into the room of their label."""
+    left, ids = {0: room, 1: room}, []
+    for doc_id, y, n in sizes:
+        if n <= left[y]:
+            left[y] -= n
+            ids.append(doc_id)
+    return ids
+
+
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> dict[str, np.ndarray]:
     """A model from the labelled rows whose crc32(doc_id) mod 5 is not 0.
 
-    Tasks turn whole texts into passages' numbers; those of the sampled rows are collected.
+    Tasks turn whole texts into passages' numbers and store them; the driver reads how many each text of the sample
+    has, and then those of the texts that fit into the bound.
     """
     rows = labelled(docs, labels, "quality", 5, 0, settings.sample)
 
@@ -182,7 +201,11 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(bags, pa.binary())], ["doc_id", "y", "bag"])
 
     rows = rows.select("doc_id", "text", F.col("y").cast("int").alias("y"))
-    found = mapped(rows, work, "doc_id long, y int, bag binary").toArrow().sort_by("doc_id")  # `sample` rows at most
+    stored = keep(mapped(rows, work, "doc_id long, y int, bag binary"))
+    size = (F.octet_length("bag") / (4 * WIDTH)).cast("long").alias("n")
+    sizes = stored.select("doc_id", "y", size).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").collect()  # `sample` rows at most
+    chosen = stored.where(F.col("doc_id").isin(fitting(sizes, settings.passages // 2)))
+    found = chosen.toArrow().sort_by("doc_id")  # `passages` passages at most
     bags = [np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in found.column("bag").to_pylist()]
     x = np.concatenate([np.zeros((0, WIDTH), np.float32), *bags])
     starts = np.cumsum([0, *map(len, bags)])
@@ -204,7 +227,8 @@ def op2_quality(spark: SparkSession, sf_dir: str, settings: Settings = Settings(
     """Every document's quality: doc_id, held_out, score, predicted.
 
     Empty and missing texts are one empty passage; repeated rows get a row each; a missing doc_id is
-    scored, with held_out NULL. Without labels every score is about 1.
+    scored, with held_out NULL. Without labels every score is about 1; no documents: no rows. A text of any
+    length is scored whole.
     """
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), settings)

@@ -1,13 +1,15 @@
 """Toxicity scores from character n-grams: a linear classifier on naive-Bayes-scaled features.
 
-A text's features are the distinct 3- to 5-grams of its bytes (A-Z lowered, runs of white space as
-one space), hashed to `bits` bits. Over the labelled texts each feature has a log-count ratio
-r = log(p/|p|) - log(q/|q|), where p and q count toxic and other texts that hold it, plus one.
-A logistic regression is fitted on the features times r; a text's score is its probability.
+A text's features are the distinct 3- to 5-grams of its characters (code points; A-Z lowered, runs of
+white space as one space), hashed to `bits` bits. Over the labelled texts each feature has a log-count ratio
+r = log((1 + p) / (1 + P)) - log((1 + q) / (1 + Q)), where p of P toxic and q of Q other texts hold it:
+features are held or not, so each class is scaled by its number of texts. A logistic regression is
+fitted on the features times r; a text's score is its probability.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,23 +26,45 @@ U64 = np.uint64
 @dataclass(frozen=True)
 class Settings:
     """`sample` bounds the labelled texts that the fit sees, half of them toxic where there are as many;
-    of each label those with the smallest md5 of their id are taken. The fit and the scores use whole texts."""
+    of each label those with the smallest md5 of their id are taken. The fit and the scores use whole texts.
+
+    Features in fewer than `least_texts` of these texts, or whose ratio is within `least_ratio` of zero (about as
+    frequent in both classes), get no weight. After `steps` Newton steps a fit that hasn't come to rest warns.
+    """
 
     sample: int = 4000
     bits: int = 18
     least_texts: int = 5
+    least_ratio: float = 0.7
     penalty: float = 1.0
-    steps: int = 12
+    steps: int = 40
     threshold: float = 0.3
 
 
 _GRAMS = (3, 4, 5)
 _WEIGHT = hashing.stream(21, 8) | U64(1)
-_CODE = hashing.stream(22, 256)
+_SEED = U64(22)
+
+
+def _codes(points: np.ndarray) -> np.ndarray:
+    """A fixed 64-bit number for each code point."""
+    with np.errstate(over="ignore"):
+        return hashing.mix((points.astype(U64) + U64(1) + _SEED * U64(1 << 32)) * U64(0x9E3779B97F4A7C15))
+
+
+_ASCII = _codes(np.arange(128))
+
+
+def _characters(clean: bytes) -> np.ndarray:
+    """The characters' numbers, A-Z lowered; bytes that are no UTF-8 count as one character of their own kind."""
+    if clean.isascii():
+        return _ASCII[hashing.LOWER[np.frombuffer(clean, np.uint8)]]
+    points = np.frombuffer(clean.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    return _codes(np.where((points >= 65) & (points <= 90), points + np.uint32(32), points))
 
 
 def features(raw: list[bytes], bits: int) -> list[np.ndarray]:
-    """Distinct feature numbers of each text; none for a text shorter than three bytes with its border spaces."""
+    """Distinct feature numbers of each text; none for a text without characters but white space."""
     stamp = np.zeros(1 << bits, np.int32)
     out = []
     for one in raw:
@@ -48,7 +72,7 @@ def features(raw: list[bytes], bits: int) -> list[np.ndarray]:
         if len(clean) <= 2:
             out.append(np.zeros(0, np.int32))
             continue
-        code = _CODE[hashing.LOWER[np.frombuffer(clean, np.uint8)]]
+        code = _characters(clean)
         found = []
         with np.errstate(over="ignore"):
             rolled = code[: len(code) - 1] * _WEIGHT[0] + code[1:] * _WEIGHT[1]
@@ -86,7 +110,7 @@ def fit_sets(sets: list[np.ndarray], labels: list[int], settings: Settings = Set
         if label:
             toxic[own] += 1
     ratio = np.log((1 + toxic) / (y.sum() + 1)) - np.log((1 + held - toxic) / ((1 - y).sum() + 1))
-    names = np.flatnonzero((held >= settings.least_texts) & (np.abs(ratio) > 0.7))
+    names = np.flatnonzero((held >= settings.least_texts) & (np.abs(ratio) > settings.least_ratio))
     place = np.full(size, -1, np.int32)
     place[names] = np.arange(len(names), dtype=np.int32)
     sets = [found[found >= 0] for found in (place[own] for own in sets)]
@@ -124,6 +148,8 @@ def fit_sets(sets: list[np.ndarray], labels: list[int], settings: Settings = Set
                 break
             pw, pb, rr = rw + new / rr * pw, rb + new / rr * pb, new
         w, b = w + dw, b + db
+    else:
+        warnings.warn(f"the toxicity model hasn't come to rest in {settings.steps} steps", RuntimeWarning, stacklevel=2)
     full = np.zeros(size, np.float32)
     full[names] = w * ratio[names]
     return full, float(b)
@@ -138,7 +164,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_
     """A bounded sample of labelled texts: doc_id, text, y, at most `limit` // 2 of each label.
 
     Rows whose crc32(doc_id) mod `modulus` is `held_out` are left out; so are missing ids, texts and
-    labels. Which rows are taken depends on their id only.
+    labels. Which rows are taken depends on their id only. Of several labels of an id the larger counts,
+    of several texts the first in order of their bytes.
     """
     learn = F.crc32(F.col("doc_id").cast("string")) % modulus != held_out
     named = labels.where(learn & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
@@ -197,7 +224,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str, settings: Settings = Setting
     """Every document's toxicity: doc_id, held_out, score, predicted.
 
     Empty and missing texts get the score of a text without features; repeated rows get a row each; a
-    missing doc_id is scored, with held_out NULL. Without labels every score is about 0.
+    missing doc_id is scored, with held_out NULL. Without labels every score is about 0; no documents: no rows.
+    A text of any length is scored whole.
     """
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = train(spark, docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), settings)
