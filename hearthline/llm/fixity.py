@@ -28,7 +28,7 @@ class Settings:
     file_bytes: int = 256 << 20
     range_bytes: int = 64 << 10
     fan: int = 16
-    damage: int = 500
+    damage: int = 100
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -119,7 +119,8 @@ def audit(records: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def op6_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record of the pages' archive that its damaged replica lacks or holds otherwise.
 
-    Missing urls and bodies are empty. Repeated rows are records of their own, one after another.
+    Missing urls and bodies are empty, and so is a missing page_id in the record's id. Repeated rows are records of
+    their own, one after another. A record of any length is hashed whole. No pages: no rows.
     """
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
     return audit(keep(replicas(pages)))

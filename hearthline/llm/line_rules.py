@@ -153,10 +153,18 @@ def cleaned(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and verdict of every document."""
+    """Counts and verdict of every document. No documents: no rows."""
     return verdicts(table(spark, sf_dir, "documents", "doc_id", "source", "text")).drop("host", "text_hash")
 
 
+def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its frequent lines: doc_id, n_chars and clean_chars (code points before and after), and
+    clean_md5 (lowercase hex MD5 of what is left, in UTF-8). All are missing for a missing text."""
+    rows = cleaned(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    chars = [F.length(c).cast("long").alias(name) for c, name in (("text", "n_chars"), ("clean_text", "clean_chars"))]
+    return rows.select("doc_id", *chars, F.md5("clean_text").alias("clean_md5"))
+
+
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str, settings: Settings = Settings()) -> DataFrame:
     """The rows of docs, all columns and whole texts, that the rules keep."""
     bad = verdicts(docs.select("doc_id", "source", "text"), settings).where(~F.col("kept")).select("host", "text_hash").distinct().alias("bad")
@@ -203,3 +211,19 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   CAST(n_words - out_words AS BIGINT) AS words_left
 FROM judged
 """
+
+CLEAN_ORACLE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, text FROM documents
+), lines AS (
+  SELECT r, host, text, pos, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS bare
+  FROM (SELECT r, host, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs)
+), frequent AS (
+  SELECT host, bare FROM lines WHERE bare <> '' GROUP BY host, bare HAVING count(DISTINCT text) > 10
+), stays AS (
+  SELECT r, string_agg(line, chr(10) ORDER BY pos) AS clean FROM lines ANTI JOIN frequent USING (host, bare) GROUP BY r
+)
+SELECT doc_id, length(text) AS n_chars, CASE WHEN text IS NOT NULL THEN length(coalesce(clean, '')) END AS clean_chars,
+  CASE WHEN text IS NOT NULL THEN md5(coalesce(clean, '')) END AS clean_md5
+FROM docs LEFT JOIN stays USING (r)
+"""

@@ -10,10 +10,12 @@ from hearthline.llm import centroids, divergence, fixity, licenses, line_rules,
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extendible_shards": sharding.op1_extendible_shards,
+    "shard_directory": sharding.shard_directory,
     "op2_quality": quality_mil.op2_quality,
     "op3_packing": packing.op3_packing,
     "op4_multiset": multiset.op4_multiset,
     "op5_line_rules": line_rules.op5_line_rules,
+    "clean_lines": line_rules.clean_lines,
     "op6_fixity": fixity.op6_fixity,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_licenses": licenses.op8_licenses,
@@ -26,7 +28,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_extendible_shards": sharding.ORACLE,
+    "shard_directory": sharding.DIRECTORY_ORACLE,
     "op5_line_rules": line_rules.ORACLE,
+    "clean_lines": line_rules.CLEAN_ORACLE,
     "op6_fixity": fixity.ORACLE,
     "op11_divergence": divergence.ORACLE,
     "op12_centroids": centroids.ORACLE,

@@ -22,6 +22,8 @@ BITS = 60
 #: Bits by which the histogram is finer than shards of the limit.
 FINER = 4
 LIMIT = 64 << 20
+#: The limit of the directory query.
+SMALL = 256 << 10
 
 
 def bits(*columns: str) -> Column:
@@ -113,8 +115,18 @@ def op1_extendible_shards(spark: SparkSession, sf_dir: str, limit: int = LIMIT)
     return sharded(rows, ["doc_id", "text"], F.col("n_bytes"), limit).select("doc_id", "n_bytes", "shard", "depth")
 
 
-#: Without overflow pages: distinct rows of the limit at most.
-ORACLE = f"""
+def shard_directory(spark: SparkSession, sf_dir: str, limit: int = SMALL) -> DataFrame:
+    """The directory of shards of 256 KiB at most, as small tables fill several: shard, depth, n_docs, n_bytes per shard.
+
+    Sums over op1_extendible_shards, so of its rows each is in one shard. No documents: no shards.
+    """
+    rows = op1_extendible_shards(spark, sf_dir, limit)
+    return rows.groupBy("shard", "depth").agg(F.count("*").alias("n_docs"), F.sum("n_bytes").alias("n_bytes"))
+
+
+def oracle(limit: int) -> str:
+    """Without overflow pages: distinct rows of the limit at most."""
+    return f"""
 WITH rows AS (
   SELECT doc_id, strlen(coalesce(text, '')) + 1 AS n_bytes,
     to_base(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(31) || coalesce(text, '')), 1, 15) AS BIGINT), 2, {BITS}) AS bits
@@ -123,8 +135,14 @@ WITH rows AS (
   SELECT substr(bits, 1, d) AS prefix, d, sum(n_bytes) AS held
   FROM rows, (SELECT unnest(generate_series(0, 30)) AS d) GROUP BY ALL
 ), leaf AS (
-  SELECT bits, min(d) AS depth FROM rows JOIN prefixes ON prefix = substr(bits, 1, d) WHERE held <= {LIMIT} GROUP BY bits
+  SELECT bits, min(d) AS depth FROM rows JOIN prefixes ON prefix = substr(bits, 1, d) WHERE held <= {limit} GROUP BY bits
 )
 SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, substr(bits, 1, depth) AS shard, CAST(depth AS INTEGER) AS depth
 FROM rows JOIN leaf USING (bits)
 """
+
+
+ORACLE = oracle(LIMIT)
+DIRECTORY_ORACLE = f"""
+SELECT shard, depth, count(*) AS n_docs, CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM ({oracle(SMALL)}) GROUP BY shard, depth
+"""

@@ -155,6 +155,9 @@ def test_frequent_lines_go_and_depleted_documents_with_them(spark, tmp_path):
     assert rows[0]["words_left"] == 40 and rows[37]["words_left"] == 3
     assert all(rows[100 + k]["kept"] for k in range(30))  # copies are one document
     texts = {r["doc_id"]: r["clean_text"] for r in line_rules.cleaned(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    clean = {r["doc_id"]: r for r in line_rules.clean_lines(spark, sf).collect()}
+    assert all(clean[i]["clean_md5"] == hashlib.md5(t.encode()).hexdigest() and clean[i]["clean_chars"] == len(t) for i, t in texts.items())
+    assert sum(r["clean_chars"] < r["n_chars"] for r in clean.values()) >= 40
     assert texts[37] == "left over 0" and texts[50].startswith("Home") and texts[100].startswith("a text")
 
 
@@ -198,6 +201,16 @@ def test_equal_and_oversized_rows(spark, tmp_path):
     assert sum(x == [5001] for x in held.values()) == 3
 
 
+def test_queries_of_the_given_tables_have_rows_that_can_fail(spark):
+    """Several shards, lines that go, and records changed, cut and lost."""
+    directory = sharding.shard_directory(spark, corpora.SMALL).collect()
+    assert len(directory) > 8 and len({r["depth"] for r in directory}) > 1 and all(r["n_bytes"] <= sharding.SMALL for r in directory)
+    assert line_rules.clean_lines(spark, corpora.SMALL).where("clean_chars < n_chars").count() > 5
+    damage = fixity.op6_fixity(spark, corpora.SMALL).collect()
+    kinds = {"lost" if r["kind"] == "missing" else "cut" if r["length_b"] < r["length_a"] else "changed" for r in damage}
+    assert kinds == {"lost", "cut", "changed"}
+
+
 def test_shards_are_written_whole(spark, tmp_path):
     docs = spark.read.parquet(f"{corpora.TINY}/documents.parquet")
     path = str(tmp_path / "shards")
