@@ -29,22 +29,22 @@ def fitted(p: str, prepared: str, targets: str, base: list[str]) -> str:
 STEPS: dict[str, str] = {
     "unit_prices": """
         SELECT l_orderkey,
-               CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 / sum(l_quantity)
+               CAST(sum(CAST(l_extendedprice AS DECIMAL(30, 10))) AS DOUBLE) / sum(l_quantity)
                  AS unit_price
         FROM lineitem GROUP BY l_orderkey""",
     "located_orders": """
         SELECT c_nationkey, last_day(CAST(o_orderdate AS DATE)) AS month_end,
                CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS k,
-               CAST(round(o_totalprice * 100) AS BIGINT) AS cents, unit_price
+               CAST(o_totalprice AS DECIMAL(30, 10)) AS amount, unit_price
         FROM orders JOIN customer ON o_custkey = c_custkey
         LEFT JOIN unit_prices ON o_orderkey = l_orderkey""",
     "v_rate_weekly": """
         SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS week,
-               CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(l_discount) AS percent
+               CAST(sum(CAST(l_discount AS DECIMAL(30, 10))) AS DOUBLE) * 100 / count(l_discount) AS percent
         FROM lineitem GROUP BY 1""",
     "v_panel": "SELECT month_end, c_nationkey AS region_name, "
     + ", ".join(
-        f"CAST(sum(cents) FILTER (k = {r}) AS DOUBLE) / 100 / count(cents) FILTER (k = {r}) AS lp{r}, "
+        f"CAST(sum(amount) FILTER (k = {r}) AS DOUBLE) / count(amount) FILTER (k = {r}) AS lp{r}, "
         f"CASE WHEN c_nationkey NOT IN (6, 20) THEN avg(unit_price) FILTER (k = {r}) END AS rp{r}"
         for r in range(1, 5)
     )
@@ -55,13 +55,13 @@ STEPS: dict[str, str] = {
         FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "v_density": "SELECT * FROM (VALUES (1, 'urban'), (2, 'suburb'), (3, 'rural')) AS d(urban_code, density)",
     "index_rows": """
-        SELECT r_name AS place_name, month_end, cents
+        SELECT r_name AS place_name, month_end, amount
         FROM located_orders JOIN nation ON c_nationkey = n_nationkey
         JOIN region ON n_regionkey = r_regionkey""",
     "hpi_places": """
         SELECT place_name, month_end,
-               CAST(sum(cents) AS DOUBLE) / 100 / count(cents) / 1000 AS hpi_sa,
-               CAST(sum(cents) AS DOUBLE) / 100 / 1000000 AS hpi_nsa
+               CAST(sum(amount) AS DOUBLE) / count(amount) / 1000 AS hpi_sa,
+               CAST(sum(amount) AS DOUBLE) / 1000000 AS hpi_nsa
         FROM index_rows GROUP BY 1, 2""",
     "hpi": f"SELECT month_end, hpi_sa FROM hpi_places WHERE place_name = '{PLACE}'",
     "dim": f"SELECT * FROM v_codes WHERE state = '{STATE}'",
@@ -94,7 +94,7 @@ STEPS: dict[str, str] = {
                             AND (SELECT max(month_end) FROM rate_months)""",
     "fmr_county": "SELECT year(month_end) AS y, c_nationkey AS region_name, "
     + ", ".join(
-        f"CAST(sum(cents) FILTER (k = {r}) AS DOUBLE) / 100 / count(cents) FILTER (k = {r}) / 100 AS fmr_{r}"
+        f"CAST(sum(amount) FILTER (k = {r}) AS DOUBLE) / count(amount) FILTER (k = {r}) / 100 AS fmr_{r}"
         for r in range(1, 5)
     )
     + " FROM located_orders GROUP BY 1, 2",
@@ -824,6 +824,7 @@ ORACLES: dict[str, str] = {
     ),
     "rate_from_csv": statement(f"SELECT month_end, {columns(['apr'], 8)} FROM rate"),
     "panel_from_csv": statement(f'SELECT month_end AS "Date", region_name AS "RegionName", {MEASURES_4} FROM v_panel'),
+    "panel_from_buckets": statement(f'SELECT month_end AS "Date", region_name AS "RegionName", {MEASURES_4} FROM v_panel'),
     "stored_panel_since": statement(
         f"""SELECT month_end AS "Date", region_name AS "RegionName", {MEASURES_4} FROM v_panel WHERE year(month_end) >= 1999"""
     ),

@@ -11,18 +11,13 @@ def missing_as_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def hundredths_sql(column: str) -> str:
-    """SQL of ``hundredths``; what is not a number becomes NULL."""
-    return f"try_cast(rint({column} * 100) AS bigint)"
+def exact(column: str) -> str:
+    """SQL of an amount as a decimal: the shortest number that reads as the same double, to eight places.
 
-
-def hundredths(column: str) -> Column:
-    """A two-decimal amount as a whole number of hundredths.
-
-    Whole-number sums are exact, so results do not depend on the order in which
-    tasks finish.
+    Sums of decimals are exact, so results do not depend on the order in which tasks finish. What is
+    not a number becomes NULL, and so does an amount of 1e20 or more.
     """
-    return F.expr(hundredths_sql(column))
+    return f"try_cast({column} AS decimal(28, 8))"
 
 
 def fixed(column: str, digits: int) -> Column:

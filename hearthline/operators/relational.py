@@ -8,7 +8,6 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Area density by urban code.
 DENSITIES = {1: "urban", 2: "suburb", 3: "rural"}
@@ -60,20 +59,6 @@ def means_through(
     )
 
 
-def group_means(df: DataFrame, keys: Sequence[str], drop: Sequence[str] = ()) -> DataFrame:
-    """Mean of every numeric column by ``keys``; rows with a missing key vanish."""
-    measures = [
-        f.name
-        for f in df.schema.fields
-        if isinstance(f.dataType, T.NumericType) and f.name not in {*keys, *drop}
-    ]
-    return (
-        df.dropna(subset=list(keys))
-        .groupBy(*keys)
-        .agg(*[F.avg(c).alias(c) for c in measures])
-    )
-
-
 def without_cell(df: DataFrame, *, last_year: int, rooms: int, urban_code: int) -> DataFrame:
     """Drop one sparse cell: rows of one market up to and including ``last_year``."""
     keep = [

@@ -4,8 +4,7 @@ Orders stand in for listings: nations are counties, the order priority's first d
 bedroom count (5 is left out of every measure), order totals are prices and the price per
 unit of an order's lines is its rent. Discounts are the weekly mortgage rate.
 
-The facts are reduced to *cells* (nation and month) in one pass, with whole-number sums, and
-every order-based source is read off the cells.
+The facts are reduced to *cells* (nation and month) in one pass, with exact sums, and every order-based source is read off the cells.
 """
 
 from __future__ import annotations
@@ -18,14 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_end
-from ..functions.numbers import hundredths, hundredths_sql, missing_as_null
+from ..functions.numbers import exact, missing_as_null
 from ..operators.relational import ROOMS
+from .buckets import BucketStore
 
 # Nations without rents, so that the eligibility test has something to drop.
 NATIONS_WITHOUT_RENT = (6, 20)
-# What the code table carries besides the columns used.
-UNUSED_CODE_COLUMNS = ("note 1", "note 2")
-
 
 # Columns the sources use, so that opening a table needs no look at its files.
 SCHEMAS = {
@@ -47,34 +44,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def unit_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Price per unit of each order, from its lines."""
-    cents = F.sum(hundredths("l_extendedprice"))
+LINE_SUMS = "l_orderkey bigint, amount decimal(38, 8), quantity double"
+
+
+def line_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price and quantity of each order's lines, in the columns of ``LINE_SUMS``."""
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey")
-        .agg(F.try_divide(cents / 100, F.sum(missing_as_null(F.col("l_quantity")))).alias("unit_price"))
+        .agg(
+            F.expr(f"sum({exact('l_extendedprice')}) AS amount"),
+            F.sum(missing_as_null(F.col("l_quantity"))).alias("quantity"),
+        )
     )
 
 
+def unit_prices(sums: DataFrame) -> DataFrame:
+    """Price per unit of each order."""
+    return sums.select("l_orderkey", F.expr("try_divide(cast(amount AS double), quantity) AS unit_price"))
+
+
+def store_facts(spark: SparkSession, sf_dir: str, path: str, rows_per_bucket: int = 10_000_000) -> BucketStore:
+    """Orders and the sums of their lines, both dealt to buckets by order once; cells read off them shuffle neither."""
+    orders = table(spark, sf_dir, "orders")
+    buckets = max(8, math.ceil(orders.count() / rows_per_bucket))
+    store = BucketStore(spark, path, buckets, {"orders": SCHEMAS["orders"], "line_sums": LINE_SUMS})
+    store.write("orders", orders, "o_orderkey")
+    store.write("line_sums", line_sums(spark, sf_dir), "l_orderkey")
+    return store
+
+
 def order_cells(
-    spark: SparkSession, sf_dir: str, *, rents: bool = True, since: dt.date | None = None
+    spark: SparkSession, sf_dir: str, *, rents: bool = True, since: dt.date | None = None, stored: BucketStore | None = None
 ) -> DataFrame:
     """Priced orders and their totals per nation and month: of all, and for each room count.
 
     Orders are combined per customer, month and priority before they meet the customer table, so
     a customer with a large share of all orders is a few rows by then. Lines are combined per
-    order. ``since`` is a filter the order scan can use to skip data.
+    order. ``since`` is a filter the order scan can use to skip data. ``stored``: facts of ``store_facts``.
     """
-    orders = table(spark, sf_dir, "orders")
+    orders = stored.read("orders", "o_orderkey") if stored else table(spark, sf_dir, "orders")
     if since is not None:
         orders = orders.filter(F.col("o_orderdate") >= F.lit(since).cast("timestamp_ntz"))
-    cents = hundredths_sql("o_totalprice")
-    sums = {"orders": f"count({cents})", "cents": f"sum({cents})"}
+    price = exact("o_totalprice")
+    sums = {"orders": f"count({price})", "amount": f"sum({price})"}
     if rents:
-        orders = orders.join(
-            unit_prices(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left"
-        )
+        lines = stored.read("line_sums", "l_orderkey") if stored else line_sums(spark, sf_dir)
+        orders = orders.join(unit_prices(lines), F.col("o_orderkey") == F.col("l_orderkey"), "left")
         sums |= {"rents": "count(unit_price)", "rent_total": "sum(unit_price)"}
     by_customer = orders.groupBy(
         "o_custkey",
@@ -88,7 +104,7 @@ def order_cells(
     return (
         by_customer.join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy(F.col("c_nationkey").alias("nation"), "month_end")
-        .agg(F.sum("orders").alias("orders"), F.sum("cents").alias("cents"), *per_room)
+        .agg(F.sum("orders").alias("orders"), F.sum("amount").alias("amount"), *per_room)
     )
 
 
@@ -97,7 +113,9 @@ def rate_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.date_trunc("week", "l_shipdate").cast("date").alias("DATE"))
-        .agg(F.avg(hundredths("l_discount")).alias("MORTGAGE30US"))
+        .agg(
+            F.expr(f"try_divide(cast(sum({exact('l_discount')}) AS double) * 100, count({exact('l_discount')})) AS MORTGAGE30US")
+        )
     )
 
 
@@ -107,7 +125,7 @@ def county_panel(cells: DataFrame) -> DataFrame:
     return cells.selectExpr(
         "month_end AS Date",
         "nation AS RegionName",
-        *[f"try_divide(cents_{r} / 100, orders_{r}) AS MedianListingPrice_{r}Bedroom" for r in ROOMS],
+        *[f"try_divide(cast(amount_{r} AS double), orders_{r}) AS MedianListingPrice_{r}Bedroom" for r in ROOMS],
         *[
             f"CASE WHEN nation NOT IN ({unrented}) THEN try_divide(rent_total_{r}, rents_{r}) END "
             f"AS MedianRentalPrice_{r}Bedroom"
@@ -117,13 +135,12 @@ def county_panel(cells: DataFrame) -> DataFrame:
 
 
 def county_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code table under its original column names, with the columns nobody uses."""
+    """Code table under its original column names."""
     return table(spark, sf_dir, "nation").selectExpr(
         "n_nationkey AS `FIPS code`",
         "n_nationkey % 4 + 1 AS `2013 code`",
         "CASE WHEN n_regionkey < 3 THEN 'AA' ELSE 'BB' END AS `State Abr.`",
         "n_name AS `County name`",
-        *[f"n_name AS `{c}`" for c in UNUSED_CODE_COLUMNS],
     )
 
 
@@ -140,12 +157,12 @@ def price_index(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame
     return (
         cells.join(places, F.col("nation") == F.col("n_nationkey"))
         .selectExpr(
-            "place_name", "'traditional' AS hpi_type", "year(month_end) AS yr", "orders", "cents", kinds
+            "place_name", "'traditional' AS hpi_type", "year(month_end) AS yr", "orders", "amount", kinds
         )
         .groupBy("hpi_type", "hpi_flavor", "frequency", "place_name", "yr", "period")
         .agg(
-            F.expr("try_divide(sum(cents) / 100, sum(orders)) / 1000 AS index_sa"),
-            F.expr("sum(cents) / 100 / 1000000 AS index_nsa"),
+            F.expr("try_divide(cast(sum(amount) AS double), sum(orders)) / 1000 AS index_sa"),
+            F.expr("cast(sum(amount) AS double) / 1000000 AS index_nsa"),
         )
     )
 
@@ -154,7 +171,7 @@ def fair_rent(cells: DataFrame) -> DataFrame:
     """Fair rent per year, dated 1 October, and county."""
     date = F.expr("make_date(year(month_end), 10, 1) AS Date")
     return cells.groupBy(date, F.col("nation").alias("fips_simple")).agg(
-        *[F.expr(f"try_divide(sum(cents_{r}) / 100, sum(orders_{r})) / 100 AS fmr_{r}") for r in ROOMS]
+        *[F.expr(f"try_divide(cast(sum(amount_{r}) AS double), sum(orders_{r})) / 100 AS fmr_{r}") for r in ROOMS]
     )
 
 

@@ -123,13 +123,6 @@ def test_codes_without_a_density_keep_their_rows(spark):
     assert got == {1: "urban", 2: "suburb", 3: "rural", 4: None, 6: None, None: None}
 
 
-def test_group_means_skip_text_and_missing_keys(spark):
-    df = spark.createDataFrame([(1, 2.0, 3, "a"), (1, None, 5, "b"), (None, 9.0, 9, "c")], "k int, x double, n int, s string")
-    out = relational.group_means(df, ["k"])
-    assert out.columns == ["k", "x", "n"]
-    assert [tuple(r) for r in out.collect()] == [(1, 2.0, 4.0)]
-
-
 def test_fair_rent_is_rolled_back_averaged_and_spread(spark, dim):
     schema = "Date date, fips_simple int, fmr_1 double, fmr_2 double, fmr_3 double, fmr_4 double"
     rows = [
