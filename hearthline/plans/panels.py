@@ -19,9 +19,20 @@ from ..operators.relational import (
 from ..operators.reshape import unpivot_rooms
 from ..operators.series import interpolate_monthly, resample_monthly
 
-# Counties count only if they report both of these at least once.
+# Counties count only if they report both of these at least once.
 REQUIRED_MEASURES = ("MedianListingPrice_1Bedroom", "MedianRentalPrice_1Bedroom")
 
+# The index rows that are read.
+INDEX_TYPE, INDEX_FLAVOR = "traditional", "purchase-only"
+
+# Column names of the published county table, and the names used here.
+COUNTY_NAMES = {
+    "FIPS code": "RegionName",
+    "2013 code": "urban_code",
+    "State Abr.": "state",
+    "County name": "county_name",
+}
+
 
 def monthly_rate(weekly: DataFrame) -> DataFrame:
     """Weekly percent to a monthly fraction; months without a week are kept, as NULL."""
@@ -38,7 +49,7 @@ def index_series(
     Monthly rows only unless another frequency is asked for: the period of a quarterly row is
     not a month.
     """
-    wanted = (F.col("hpi_type") == "traditional") & (F.col("hpi_flavor") == "purchase-only")
+    wanted = (F.col("hpi_type") == INDEX_TYPE) & (F.col("hpi_flavor") == INDEX_FLAVOR)
     if frequency is not None:
         wanted &= F.col("frequency") == frequency
     if place is not None:
@@ -53,15 +64,8 @@ def index_series(
 
 def county_dim(codes: DataFrame, state: str) -> DataFrame:
     """Counties of one state: ``RegionName, urban_code, state, county_name``."""
-    names = {
-        "FIPS code": "RegionName",
-        "2013 code": "urban_code",
-        "State Abr.": "state",
-        "County name": "county_name",
-    }
-    return (
-        codes.withColumnsRenamed(names).select(*names.values()).filter(F.col("state") == state)
-    )
+    named = codes.withColumnsRenamed(COUNTY_NAMES).select(*COUNTY_NAMES.values())
+    return named.filter(F.col("state") == state)
 
 
 def recent_panel(panel: DataFrame, min_year: int) -> DataFrame:
