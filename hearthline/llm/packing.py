@@ -294,9 +294,9 @@ def packed(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     counts = {r["first"]: r["n"] for r in rows.groupBy("first").agg(F.count("*").alias("n")).collect()}  # `room` rows at most
     total = sum(counts.values())
     spots, sequences = places(plan(counts, settings))
-    table_ = spark.createDataFrame(spots or [(0, 0, 0, 0, 0)], "first int, lo long, hi long, sequence long, offset long")
-    before = np.cumsum([0, *(counts.get(n, 0) for n in range(1, settings.room))])
-    earlier = F.array(*[F.lit(int(b)) for b in before])[F.col("first") - 1]
+    before = np.cumsum([0, *(counts.get(n, 0) for n in range(settings.room))]).tolist()  # shorter first pieces, by length
+    spots = [(*spot, before[spot[0]]) for spot in spots]
+    table_ = spark.createDataFrame(spots, "first int, lo long, hi long, sequence long, offset long, earlier long")
 
     parts = max(1, -(-total // settings.rows))
     part = F.pmod(F.hash("ordinal"), F.lit(parts))
@@ -308,7 +308,7 @@ def packed(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     numbered = dealt.withColumn("inside", inside).join(sums, ["first", "part"]).withColumn("rank", F.col("below") + F.col("inside"))
     spot = (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
     placed = numbered.join(F.broadcast(table_), "first").where(spot)  # the plan: bounded by `room`, not by the corpus
-    row = (earlier + F.col("rank")) * F.lit(1 << 22)
+    row = (F.col("earlier") + F.col("rank")) * F.lit(1 << 22)
     pieces = placed.select("doc_id", "first", "sequence", "lo", "rank", "offset", row.alias("row"), F.posexplode("crcs").alias("piece", "ids_crc32"))
     head = F.col("piece") == 0
     return pieces.select(

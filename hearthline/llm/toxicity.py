@@ -10,10 +10,12 @@ fitted on the features times r; a text's score is its probability.
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,8 +95,8 @@ def fit(raw: list[bytes], labels: list[int], settings: Settings = Settings()) ->
     return fit_sets(features(raw, settings.bits), labels, settings)
 
 
-def fit_sets(sets: list[np.ndarray], labels: list[int], settings: Settings = Settings()) -> tuple[np.ndarray, float]:
-    """Weights per feature (already times the log-count ratio) and the intercept, from each text's features.
+def fit_sets(sets: Iterable[np.ndarray], labels: list[int], settings: Settings = Settings()) -> tuple[np.ndarray, float]:
+    """Weights per feature (already times the log-count ratio) and the intercept, from each text's features (gone through twice).
 
     Newton steps with conjugate gradients on the penalised logistic loss; classes weigh the same in total.
     Without texts of both labels the weights are zero and the score is the share of toxic ones (0 without any).
@@ -191,6 +193,16 @@ def _read(written: bytes, bits: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(np.frombuffer(written, np.uint8))).astype(np.int32)
 
 
+class _Sets:
+    """Texts' features, read from their written form one text at a time, whenever they are gone through."""
+
+    def __init__(self, written: pa.ChunkedArray, order: pa.Array, bits: int) -> None:
+        self.written, self.order, self.bits = written, order.to_pylist(), bits
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return (_read(self.written[i].as_py(), self.bits) for i in self.order)
+
+
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, settings: Settings = Settings()):
     """Weights and intercept from the labelled rows whose crc32(doc_id) mod 4 is not 2.
 
@@ -203,9 +215,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, settings: Set
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(sets, pa.binary())], ["doc_id", "y", "features"])
 
     rows = rows.select("doc_id", "text", F.col("y").cast("int").alias("y"))
-    found = mapped(rows, work, "doc_id long, y int, features binary").toArrow().sort_by("doc_id")  # `sample` rows at most
-    sets = [_read(x, settings.bits) for x in found.column("features").to_pylist()]
-    return fit_sets(sets, found.column("y").to_pylist(), settings)
+    found = mapped(rows, work, "doc_id long, y int, features binary").toArrow()  # `sample` rows at most
+    order = pc.sort_indices(found, sort_keys=[("doc_id", "ascending")])
+    return fit_sets(_Sets(found.column("features"), order, settings.bits), found.column("y").take(order).to_pylist(), settings)
 
 
 def scored(docs: DataFrame, weights: np.ndarray, intercept: float, settings: Settings = Settings()) -> DataFrame:

@@ -1,5 +1,6 @@
 """The fits see whole texts: what marks a label may stand at either end of a long one."""
 
+import weakref
 import zlib
 
 import corpora
@@ -39,3 +40,22 @@ def test_feature_numbers_travel_whole(n):
     found = np.random.default_rng(n).permutation(1 << 18)[:n].astype(np.int32)
     written = toxicity._written(found, 18)
     assert len(written) <= 1 << 15 and np.array_equal(toxicity._read(written, 18), np.sort(found))
+
+
+def test_the_driver_reads_a_texts_features_when_it_needs_them(spark, monkeypatch):
+    alive, most, read = [0], [0], toxicity._read
+
+    def gone():
+        alive[0] -= 1
+
+    def watched(written, bits):
+        found = read(written, bits)
+        weakref.finalize(found, gone)
+        alive[0] += 1
+        most[0] = max(most[0], alive[0])
+        return found
+
+    monkeypatch.setattr(toxicity, "_read", watched)
+    docs, labels = (spark.read.parquet(f"{corpora.SMALL}/{name}.parquet") for name in ("documents", "labels"))
+    weights, _ = toxicity.train(spark, docs, labels.select("doc_id", "toxic"))
+    assert weights.any() and 0 < most[0] < 5

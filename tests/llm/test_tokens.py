@@ -136,3 +136,9 @@ def test_packing_query(spark):
     for _, sequence in rows.sort_values("offset").groupby("sequence_id"):
         assert sequence.offset.tolist() == [0, *sequence.length.cumsum()[:-1]] and sequence.length.sum() <= 1024
     assert rows.sequence_id.nunique() <= 1.01 * rows.length.sum() / 1024 + 2
+
+
+def test_lengths_stand_in_a_table_and_not_in_the_plan(spark):
+    """A literal per length, in every copy that the driver makes of a plan, took its memory."""
+    rows = packing.op3_packing(spark, corpora.TINY)
+    assert rows._jdf.queryExecution().analyzed().toJSON().count("expressions.Literal") < 100
