@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hearthline.llm.tables import keep, ship, steps, table, texts
+from hearthline.llm.tables import keep, ship, steps, table
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,8 @@ class Settings:
 
 
 UNIT = 1_000_000_000
+#: Counts from here on are multiplied by UNIT as decimals.
+WIDE = 9_000_000_000
 #: Counts that a task holds before it gives them out.
 HELD = 400_000
 #: Terms end where ASCII has no letter; A-Z are lowered.
@@ -59,17 +61,19 @@ def counted(docs: DataFrame) -> DataFrame:
     """lang, source, term, n, docs: occurrences, and documents that hold the term."""
 
     def given(held: dict) -> pa.RecordBatch:
-        rows = [(lang, source, term, n, docs[term]) for (lang, source), (found, docs) in held.items() for term, n in found.items()]
-        lang, source, term, n, docs = zip(*rows, strict=True) if rows else ([],) * 5
-        columns = [pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+        sized = [len(found) for found, _ in held.values()]
+        lang, source = (pa.array([key[i] for key in held], pa.string()).take(pa.array(np.repeat(np.arange(len(held)), sized))) for i in (0, 1))
+        term = pa.array([t for found, _ in held.values() for t in found], pa.binary()).cast(pa.string())
+        n = pa.array([n for found, _ in held.values() for n in found.values()], pa.int64())
+        docs = pa.array([n for found, docs in held.values() for n in map(docs.__getitem__, found)], pa.int64())
+        return pa.RecordBatch.from_arrays([lang, source, term, n, docs], ["lang", "source", "term", "n", "docs"])
 
     def run(batches):
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         for batch in (step for whole in batches for step in steps(whole)):
-            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts(batch), strict=True):
+            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 found, docs = held.setdefault((lang, source), (Counter(), Counter()))
-                words = text.encode().translate(_TERMS).split()
+                words = (text or b"").translate(_TERMS).split()
                 found.update(words)
                 docs.update(set(words))
             if sum(len(found) for found, _ in held.values()) > HELD:
@@ -83,8 +87,10 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def share(count: str, size: str) -> Column:
-    """p of a count where kept terms occur `size` times and there are `terms` of them."""
-    return F.expr(f"1 + ({UNIT} * (cast({count} as decimal(20,0)) + 1)) div (cast({size} as decimal(20,0)) + terms)")
+    """p of a count where kept terms occur `size` times and there are `terms` of them. Decimals, which take longer,
+    only where a long can't hold the product."""
+    wide = f"({UNIT} * (cast({count} as decimal(20,0)) + 1)) div (cast({size} as decimal(20,0)) + terms)"
+    return F.expr(f"1 + if({count} < {WIDE}, ({UNIT}L * ({count} + 1)) div ({size} + terms), {wide})")
 
 
 @dataclass(frozen=True)
@@ -97,16 +103,17 @@ class Counts:
 
 
 def counts(docs: DataFrame, settings: Settings = Settings()) -> Counts:
-    found = keep(counted(docs))
-    terms = found.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= settings.least)
-    cells = keep(found.join(terms.drop("docs"), ["lang", "term"]).select("lang", "source", "term", "n", "lang_n"))
-    by_group = cells.groupBy("lang", "source").agg(F.sum("n").alias("size"), F.count("*").alias("cells"))
+    term = Window.partitionBy("lang", "term")  # a row per source
+    found = counted(docs).withColumns({"lang_n": F.sum("n").over(term), "held": F.sum("docs").over(term), "least": F.min("source").over(term)})
     # A term's language count stands in each of its cells: the first of its sources speaks for it.
-    by_lang = cells.groupBy("lang", "term").agg(F.max("lang_n").alias("n")).groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("lang_size"))
-    in_lang = by_group.groupBy("lang").agg(F.sum("cells").alias("cells"))
+    found = found.where(F.col("held") >= settings.least).withColumn("first", F.col("source") == F.col("least"))
+    found = keep(found.select("lang", "source", "term", "n", "lang_n", "first"))
+    spoken = [F.sum(F.when(F.col("first"), x)).alias(name) for name, x in (("terms", F.lit(1)), ("lang_size", F.col("lang_n")))]
+    by_group = keep(found.groupBy("lang", "source").agg(F.sum("n").alias("size"), F.count("*").alias("cells"), *spoken))
+    by_lang = by_group.groupBy("lang").agg(*(F.sum(c).alias(c) for c in ("terms", "lang_size", "cells")))
     groups = docs.select(*_names(docs)).distinct()
-    joined = groups.join(by_group.drop("cells"), ["lang", "source"], "left").join(by_lang, "lang", "left").join(in_lang, "lang", "left")
-    return Counts(cells, keep(joined.na.fill(0)))
+    joined = groups.join(by_group.select("lang", "source", "size"), ["lang", "source"], "left").join(by_lang, "lang", "left")
+    return Counts(found.drop("first"), keep(joined.na.fill(0)))
 
 
 def skyband(n: np.ndarray, lang_n: np.ndarray, term: np.ndarray, top: int) -> np.ndarray:
@@ -116,7 +123,10 @@ def skyband(n: np.ndarray, lang_n: np.ndarray, term: np.ndarray, top: int) -> np
     later ones: whoever is dominated by `top` rows is so by `top` that stay.
     """
     order = np.lexsort((term, lang_n, -n))
-    count, names = lang_n[order], term[order]
+    new = (np.diff(n[order], prepend=-1) != 0) | (np.diff(lang_n[order], prepend=-1) != 0)
+    place = np.arange(len(order))
+    order = order[place - np.maximum.accumulate(np.where(new, place, 0)) < top]  # of equal counts, the first terms
+    count, names = lang_n[order], term[order].astype(np.int32)
     stays = np.zeros(0, np.int64)
     for at in range(0, len(order), 256):
         c, t = count[at : at + 256, None], names[at : at + 256, None]

@@ -56,6 +56,21 @@ def test_divergences_equal_the_definition():
     assert divergences(source, term, p[have], absent, 40).tolist() == wanted
 
 
+def test_shares_are_exact_and_take_decimals_for_large_counts_only(spark):
+    deal = random.Random(6)
+    edges = [0, 1, divergence.WIDE - 1, divergence.WIDE, 10 * divergence.WIDE, 10**17]
+    rows = [(n, n + deal.randrange(10**deal.randrange(1, 17)), deal.randrange(1, 10**9)) for n in [*edges, *(deal.randrange(10**11) for _ in range(200))]]
+    found = spark.createDataFrame(rows, "n long, size long, terms long").select("n", "size", "terms", divergence.share("n", "size").alias("p")).collect()
+    assert all(r["p"] == 1 + 10**9 * (r["n"] + 1) // (r["size"] + r["terms"]) for r in found) and len(found) == len(rows)
+
+
+def test_cells_are_counted_with_one_sort_and_without_a_join(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(divergence, "keep", lambda df: written.append(corpora.plan(df)) or df)
+    counts(spark.read.parquet(f"{corpora.TINY}/documents.parquet"))
+    assert "Join" not in written[0] and written[0].count("Exchange hashpartitioning") == 2 and written[0].count("+- Sort [") == 1
+
+
 def plain(docs, least=3, top=200):
     import re
     from collections import Counter
